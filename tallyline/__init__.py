@@ -1 +1,8 @@
 """Call-record analytics on Spark: interval metrics, lookups, rules, rating and roll-ups."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel whole, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
