@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,35 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str], how: str, row
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of the id as text, which deals rows into folds; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, may_learn: Column, rows_a_class: int) -> DataFrame:
+    """(doc_id, label, text): at most rows_a_class labelled documents of each class, those of the smallest id hashes.
+
+    Classes are 0 and 1. The ids are chosen without the texts; their number bounds the broadcast and the result. A
+    null label or id, and ids that are labelled with both classes, are left out.
+    """
+    known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & may_learn).groupBy("doc_id").agg(F.min(column).alias("label"), F.max(column).alias("other"))
+    known = known.where("label = other").select("doc_id", "label")
+    chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_a_class) for k in (0, 1)]
+    chosen = checkpointed(chosen[0].unionByName(chosen[1]))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
+
+
+def sigmoid(z):
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+
+def platt(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[float, float]:
+    """(a, b) of the logistic curve sigmoid(a x + b), each class with half the weight; x may have any scale."""
+    scale = float(np.std(x)) or 1.0
+    f = np.stack([x / scale, np.ones_like(x)], axis=1)
+    w = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    t, c = np.where(y == 1, 0.999, 0.001), np.zeros(2)
+    for _ in range(steps):
+        p = sigmoid(f @ c)
+        step = np.linalg.solve((f * (w * p * (1 - p))[:, None]).T @ f + ridge * np.eye(2), f.T @ (w * (p - t)) + ridge * c)
+        c -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return c[0] / scale, c[1]
