@@ -56,8 +56,8 @@ def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, with_digest:
         again = checkpointed(again)
     best = F.min(F.struct((-F.col("cp")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d")))
     groups = again.groupBy("len", "digest").agg(best.alias("best"), F.count("*").alias("group_size"))
-    groups = groups.select("len", "digest", F.col("best.d").alias("keep_id"), "group_size")
-    members = again.join(groups, ["len", "digest"])
+    groups = checkpointed(groups.select("len", "digest", F.col("best.d").alias("keep_id"), "group_size"))
+    members = join_counted(again, groups, ["len", "digest"], "inner")
     out = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), *(["digest"] if with_digest else [])]
     single = alone.withColumn("keep_id", F.col("doc_id")).withColumn("group_size", F.lit(1).cast("long"))
     return single.select(*out).unionByName(members.select(*out))
