@@ -1,10 +1,64 @@
-"""A corpus pipeline of five stages; each stage's rows are written as Parquet and read by the next."""
+"""A corpus pipeline of five stages; each stage's rows are written as Parquet and read by the next.
+
+Quality classifier (rejected documents go), exact dedup, SimHash near-dedup (one document of each group stays),
+benchmark decontamination, and SentencePiece encoding. Every stage but the last returns the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyline.llm import decontamination, exact_dedup, quality, sentencepieces, simhash
+from tallyline.llm.common import table
+
+#: A document is rejected if it is less likely than this to be good; below 0.5, so that doubt keeps a document.
+LEAST_QUALITY = 0.35
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.drop_low_quality(docs, table(spark, sf_dir, "labels"), least=LEAST_QUALITY)
+
+
+def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def simhash_near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_duplicates(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, ids, n_pieces and exact: whether decoding the ids gives the text back."""
+    found = docs.select("doc_id", "lang", "source", sentencepieces.encoded(F.col("text"), sentencepieces.shared(spark)).alias("e"))
+    return found.select("doc_id", "lang", "source", "e.ids", F.size("e.ids").cast("long").alias("n_pieces"), "e.exact")
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_deduplication),
+    ("SimHash near-dedup", simhash_near_deduplication),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("SentencePiece encoding", sentencepiece_encoding),
+]
+
+#: The classifier and the tokenizer have no SQL form; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over all documents; the stages' Parquet goes to the shared checkpoint folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    folder = f"{shared}/corpus-pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
