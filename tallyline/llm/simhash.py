@@ -144,7 +144,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int =
     members = found.join(nodes, found["node"] == nodes["fp"]).select("fp", "root", "rep")
     smallest = members.groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = checkpointed(members.join(smallest, "root").select("fp", "component_id"))
-    label = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    label = checkpointed(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")))
     return rows.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
