@@ -28,7 +28,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def join_counted(left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int | None = None) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str, rows: int | None = None) -> DataFrame:
     """Join with a right side that is broadcast only if its counted rows are few; otherwise Spark shuffles.
 
     right should be cheap to count (checkpointed). Its rows hold a few numbers or one digest each.
