@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tallyline.operators import filters, intervals, products
+
+_MODULES = [intervals, products, filters]
+
+QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
