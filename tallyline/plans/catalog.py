@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyline.operators import filters, intervals, products
+from tallyline.operators import filters, intervals, lookups, products
 
-_MODULES = [intervals, products, filters]
+_MODULES = [intervals, products, filters, lookups]
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
