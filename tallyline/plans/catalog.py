@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tallyline.operators import filters, intervals, lookups, products
+from tallyline.operators import filters, intervals, lookups, products, rating, rollups, rules, scalars, sequences
 
-_MODULES = [intervals, products, filters, lookups]
+_MODULES = [intervals, products, filters, lookups, sequences, rules, rating, rollups, scalars]
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
