@@ -59,19 +59,25 @@ def fit(docs: DataFrame, may_learn: Column, rows_a_language: int = FIT_ROWS_A_LA
         part = words.select("lang", "n", F.explode(F.transform(at, lambda i, s=size: F.substring(padded, i, F.lit(s)))).alias("key"))
         grams = part if grams is None else grams.unionByName(part)
     grams = grams.groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    return {"langs": langs, "words": _table(_top(words, WORDS_A_LANGUAGE, langs), langs), "grams": _table(_top(grams, GRAMS_A_LANGUAGE, langs), langs)}
+    top_words, top_grams = _top(words, WORDS_A_LANGUAGE, langs), _top(grams, GRAMS_A_LANGUAGE, langs)
+    langs = sorted({r["lang"] for r in top_words})  # those with any word
+    return {"langs": langs, "words": _table(top_words, langs), "grams": _table(top_grams, langs)} if langs else None
 
 
 def _table(rows: list, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """key -> row, and for each row the log frequency in each language; half a count stands for none."""
+    """key -> row, and for each row the log frequency in each language.
+
+    What a language lacks has half a count of the largest language in every one, so that little text is no advantage.
+    """
     at = {k: i for i, k in enumerate(langs)}
     index: dict[str, int] = {}
     for r in rows:
         index.setdefault(r["key"], len(index))
-    counts = np.full((len(index), len(langs)), 0.5)
+    counts = np.zeros((len(index), len(langs)))
     for r in rows:
         counts[index[r["key"]], at[r["lang"]]] = r["n"]
-    return index, np.log(counts / counts.sum(0)).astype(np.float32)
+    total = np.maximum(counts.sum(0), 1)
+    return index, np.log(np.where(counts > 0, counts / total, 0.5 / total.max())).astype(np.float32)
 
 
 class Scorer:
