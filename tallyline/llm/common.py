@@ -42,15 +42,28 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
+def bounded_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """At most `rows` of df's `total` rows, chosen by the hash of a key.
+
+    Only rows whose hash falls in the share that is needed, and half as much again, leave their tasks; of these the
+    smallest hashes stay. What is gathered is bounded by `rows`, however many tasks there are.
+    """
+    parts = 1 << 30
+    share = parts if total <= 2 * rows else int(1.5 * parts * rows / total) + 1
+    near = df if share >= parts else df.where(F.pmod(F.xxhash64(key), F.lit(parts)) < share)
+    return near.orderBy(F.xxhash64(key), key).limit(rows)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, may_learn: Column, rows_a_class: int) -> DataFrame:
-    """(doc_id, label, text): at most rows_a_class labelled documents of each class, those of the smallest id hashes.
+    """(doc_id, label, text): at most rows_a_class labelled documents of each class, chosen by the hashes of their ids.
 
     Classes are 0 and 1. The ids are chosen without the texts; their number bounds the broadcast and the result. A
     null label or id, and ids that are labelled with both classes, are left out.
     """
     known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & may_learn).groupBy("doc_id").agg(F.min(column).alias("label"), F.max(column).alias("other"))
     known = known.where("label = other").select("doc_id", "label")
-    chosen = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_a_class) for k in (0, 1)]
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    chosen = [bounded_sample(known.where(F.col("label") == k), "doc_id", rows_a_class, sizes.get(k, 0)) for k in (0, 1)]
     chosen = checkpointed(chosen[0].unionByName(chosen[1]))
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
 

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import checkpointed, crc_of_id, table
+from tallyline.llm.common import bounded_sample, checkpointed, crc_of_id, table
 
 #: At most so many documents of each language are read to fit, and so many languages are told apart.
 FIT_ROWS_A_LANGUAGE, LANGUAGES = 4000, 200
@@ -42,12 +42,13 @@ def _top(counts: DataFrame, n: int, langs: list[str]) -> list:
 def fit(docs: DataFrame, may_learn: Column, rows_a_language: int = FIT_ROWS_A_LANGUAGE) -> dict | None:
     """Log frequencies of words and n-grams by language, from a bounded sample of documents counted by Spark."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & may_learn).select("doc_id", "lang")
-    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    langs = sorted(sizes)
     if not langs:
         return None
     chosen = None
     for k in langs:
-        part = known.where(F.col("lang") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_a_language)
+        part = bounded_sample(known.where(F.col("lang") == k), "doc_id", rows_a_language, sizes[k])
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = F.broadcast(checkpointed(chosen.distinct()))
     words = docs.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0)).alias("key"))

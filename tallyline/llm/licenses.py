@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import platt, sigmoid, table
+from tallyline.llm.common import bounded_sample, platt, sigmoid, table
 
 SHINGLE, SIMILAR, SURE = 5, 0.8, 0.5
 #: Variants that training makes of each template, background documents it reads at most, and lines it takes of each.
@@ -111,9 +111,9 @@ def _examples(background: list[str]) -> list[tuple[list[str], str]]:
 def fit(docs: DataFrame, background_rows: int = BACKGROUND_ROWS) -> dict:
     """{weights: gram -> family -> weight, bias, a, b}: one regression for each family, against all other examples.
 
-    Background paragraphs come from a bounded number of documents, those of the smallest id hashes.
+    Background paragraphs come from a bounded number of documents, chosen by the hashes of their ids.
     """
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(background_rows).collect()
+    rows = bounded_sample(docs.select("doc_id", "text").where(F.col("text").isNotNull()), "doc_id", background_rows, docs.count()).collect()
     lines = [line for r in sorted(rows, key=lambda r: str(r["doc_id"])) for line in [x for x in r["text"].split("\n") if words_of(x) and not _CUES.search(x)][:BACKGROUND_LINES]]
     examples = _examples(lines)
     counts = Counter(g for words, k in examples if k != "unknown" for g in grams(words))
