@@ -124,13 +124,17 @@ def find_pii(docs: DataFrame) -> DataFrame:
     entities = with_base.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= LEAST_ROWS)
     pair = lambda x: F.transform(x["terms"], lambda t: F.struct(x["entity"].alias("entity"), t["value"].alias("term")))
     pairs = with_base.select(F.explode(F.array_distinct(F.flatten(F.transform("near", pair)))).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_pair"))
-    pairs = checkpointed(pairs.where(F.col("n_pair") >= LEAST_ROWS).join(entities, "entity"))
+    values = lambda x: F.transform(x["terms"], lambda t: t["value"])
+    around = with_base.select(F.explode(F.array_distinct(F.flatten(F.transform("near", values)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
+    # a term occurs at least as often as near entities, which bounds its share from above: common words go before the count
+    information = F.nullif(F.log2(n / F.col("n_entity")), F.lit(0.0))
+    share = lambda n_term: F.log2(n * F.col("n_pair") / (F.col("n_entity") * F.col(n_term))) / information
+    pairs = pairs.where(F.col("n_pair") >= LEAST_ROWS).join(entities, "entity").join(around, "term")
+    pairs = checkpointed(pairs.where(share("n_near") >= GENERALISE))
     candidates = checkpointed(pairs.select("term").distinct())
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))).alias("term"))
     terms = join_counted(words, candidates, ["term"], "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    information = F.log2(n / F.col("n_entity"))
-    share = F.log2(n * F.col("n_pair") / (F.col("n_entity") * F.col("n_term"))) / F.nullif(information, F.lit(0.0))
-    disclosing = checkpointed(pairs.join(terms, "term").withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", "share"))
+    disclosing = checkpointed(pairs.join(terms, "term").withColumn("share", share("n_term")).where(F.col("share") >= GENERALISE).select("entity", "term", "share"))
 
     places = with_base.select("doc_id", "text_key", F.explode("near").alias("x")).select("doc_id", "text_key", "x.entity", F.explode("x.terms").alias("t"))
     places = places.select("doc_id", "text_key", "entity", F.col("t.value").alias("term"), "t.start", "t.stop")
