@@ -14,7 +14,6 @@ Other columns are not read.
 from __future__ import annotations
 
 import math
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -44,7 +43,7 @@ class Vocabulary(NamedTuple):
     pieces: list
     byte_ids: list
     lowest: float
-    splits: bool
+    chunk: str
 
 
 def double_array(keys: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +112,24 @@ def load(path: str = MODEL_PATH, scores: str = "zipf") -> Vocabulary:
         raw[i] = bytes([b])
     texts = [sp.id_to_piece(i) for i in plain]
     trie = double_array([(t.encode(), i) for t, i in zip(texts, plain)])
-    return Vocabulary(*trie, score, raw, byte_ids, float(score[plain].min()), not any(MARK in t.lstrip(MARK) for t in texts))
+    return Vocabulary(*trie, score, raw, byte_ids, float(score[plain].min()), chunk_pattern(texts))
+
+
+def chunk_pattern(pieces: list[str]) -> str:
+    """A pattern of chunks at whose ends every segmentation has a boundary, so that they can be segmented alone.
+
+    No piece holds a marker after another character, a line break or tab at all, or certain signs after a letter; each
+    is checked on the pieces. Where the first doesn't hold, a text is one chunk.
+    """
+    if any(MARK in p.lstrip(MARK) for p in pieces):
+        return r"(?s).+"
+    inside = set("".join(pieces))
+    alone = "".join(c for c in "\n\t" if c not in inside)
+    after_letters = {p[i] for p in pieces for i in range(1, len(p)) if p[i - 1].isalpha()}
+    signs = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after_letters)
+    stop = regex.escape(MARK + alone)
+    words = f"{MARK}*\\p{{L}}++(?![^{stop}{regex.escape(signs, special_only=False)}])"
+    return "|".join([words, *([f"[{regex.escape(alone)}]+"] if alone else []), f"{MARK}*[^{stop}]+", f"{MARK}+"])
 
 
 def viterbi(chunk: bytes, trie, scores: list[float], unknown: float, byte_ids: list[int]) -> list[int]:
@@ -152,55 +168,59 @@ def viterbi(chunk: bytes, trie, scores: list[float], unknown: float, byte_ids: l
     return out[::-1]
 
 
-def viterbi_together(chunks: list[bytes], trie, scores: np.ndarray, unknown: float, byte_ids: list[int]) -> list[list[int]]:
-    """viterbi() for many short chunks at once: each step moves all of them one byte along the trie."""
+def viterbi_together(chunks: list[bytes], trie, scores: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
+    """viterbi() for many short chunks at once: each step moves all of them one byte along the trie.
+
+    Returns all ids behind each other, -1 for an uncovered character, and how many each chunk has.
+    """
     base, check, value = trie
     lens = np.array([len(c) for c in chunks])
     width, n = int(lens.max()), len(chunks)
-    data = np.frombuffer(b"".join(c.ljust(width, b"\0") for c in chunks), np.uint8).reshape(n, width).astype(np.int32)
-    best = np.full((n, width + 1), -np.inf)
-    best[:, 0] = 0
-    origin, piece = np.zeros((n, width + 1), np.int32), np.full((n, width + 1), -1, np.int32)
+    row = width + 1  # a chunk's cells stand together in flat arrays
+    data = np.frombuffer(b"".join(c.ljust(row, b"\0") for c in chunks), np.uint8).astype(np.int32)
+    best = np.full(n * row, -np.inf)
+    begin = np.arange(n) * row
+    end = begin + lens
+    best[begin] = 0
+    origin, piece = np.zeros(n * row, np.int64), np.full(n * row, -1, np.int32)
     for i in range(width):
-        start = np.flatnonzero((lens > i) & (best[:, i] > -np.inf))
-        if not len(start):
+        cell = begin + i
+        cell = cell[(cell < end) & (best[cell] > -np.inf)]
+        if not len(cell):
             continue
-        first = data[start, i]
-        step = 1 + (first >= 192) + (first >= 224) + (first >= 240)
-        covered = np.zeros(n, bool)
-        stop = np.zeros(n, np.int32)
-        stop[start] = i + step
-        at, node, j = start, np.zeros(len(start), np.int32), i
-        while len(at) and j < width:
-            t = base[node] + data[at, j] + 1
-            on = (lens[at] > j) & (check[t] == node)
-            at, node, j = at[on], t[on], j + 1
+        first = data[cell]
+        stop = cell + 1 + (first >= 192) + (first >= 224) + (first >= 240)
+        covered = np.zeros(len(cell), bool)
+        which, node, at = np.arange(len(cell)), np.zeros(len(cell), np.int32), cell
+        while len(which):
+            t = base[node] + data[at] + 1
+            on = check[t] == node  # behind a chunk's end stand zeros, which no piece has
+            which, node, at = which[on], t[on], at[on] + 1
             v = value[node]
-            ends = v >= 0
-            c, v = at[ends], v[ends]
-            covered[c[stop[c] == j]] = True
-            s = best[c, i] + scores[v]
-            better = s > best[c, j]
-            c = c[better]
-            best[c, j], origin[c, j], piece[c, j] = s[better], i, v[better]
-        bare = start[~covered[start]]
-        to, s = stop[bare], best[bare, i] + unknown
-        better = s > best[bare, to]
-        bare, to = bare[better], to[better]
-        best[bare, to], origin[bare, to], piece[bare, to] = s[better], i, -1
-    out = []
-    for chunk, end, o, p in zip(chunks, lens.tolist(), origin.tolist(), piece.tolist()):
-        found = []
-        while end:
-            v, start = p[end], o[end]
-            if v >= 0:
-                found.append(v)
-            else:
-                found += [byte_ids[x] for x in reversed(chunk[start:end])]
-            end = start
-        found.reverse()
-        out.append(found)
-    return out
+            ends = np.flatnonzero(v >= 0)
+            w, to, v = which[ends], at[ends], v[ends]
+            covered[w[stop[w] == to]] = True
+            score = best[cell[w]] + scores[v]
+            better = np.flatnonzero(score > best[to])
+            to = to[better]
+            best[to], origin[to], piece[to] = score[better], cell[w[better]], v[better]
+        bare = np.flatnonzero(~covered)
+        to, score = stop[bare], best[cell[bare]] + unknown
+        better = np.flatnonzero(score > best[to])
+        to = to[better]
+        best[to], origin[to], piece[to] = score[better], cell[bare[better]], -1
+    found, counts, at, open_ = [], np.zeros(n, np.int64), end.copy(), np.flatnonzero(lens > 0)
+    while len(open_):
+        column = np.full(n, -2, np.int32)
+        column[open_] = piece[at[open_]]
+        found.append(column)
+        counts[open_] += 1
+        at[open_] = origin[at[open_]]
+        open_ = open_[at[open_] > begin[open_]]
+    if not found:
+        return np.zeros(0, np.int32), counts
+    back = np.stack(found[::-1], axis=1)
+    return back[back > -2], counts
 
 
 class Encoder:
@@ -212,29 +232,35 @@ class Encoder:
         self.trie, self.lists = room, [x.tolist() for x in room]
         self.scores, self.score_list, self.pieces, self.byte_ids = v.scores, v.scores.tolist(), v.pieces, v.byte_ids
         self.unknown = v.lowest - UNKNOWN_PENALTY
-        self.known: dict[str, list[int]] = {}
-        # where no piece has a marker after another character, chunks that begin with markers are independent
-        self.chunks = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall if v.splits else lambda s: [s]
+        self.known: dict[str, bytes] = {}  # the ids as int32 in bytes, which join fast
+        self.chunks = regex.compile(v.chunk).findall
 
     def learn(self, chunks: set[str]) -> None:
-        """Segments the chunks that aren't known yet: short ones together, long ones one by one."""
+        """Segments the chunks that aren't known yet: short ones together, long or uncovered ones one by one."""
         new = chunks - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = chunks
-        by_width: dict[int, list[tuple[str, bytes]]] = {}
+        by_width: dict[int, list[str]] = {}
         for c in new:
-            raw = c.encode()
-            by_width.setdefault(-(-len(raw) // 4), []).append((c, raw))
+            by_width.setdefault(len(c) // 4, []).append(c)
         for width, group in by_width.items():
             for k in range(0, len(group), 20_000):
                 part = group[k : k + 20_000]
-                raws = [raw for _, raw in part]
-                if width <= 12:
-                    ids = viterbi_together(raws, self.trie, self.scores, self.unknown, self.byte_ids)
-                else:
-                    ids = [viterbi(raw, self.lists, self.score_list, self.unknown, self.byte_ids) for raw in raws]
-                self.known.update(zip((c for c, _ in part), ids))
+                raws = [c.encode() for c in part]
+                if width > 10:
+                    for c, raw in zip(part, raws):
+                        self.known[c] = self._alone(raw)
+                    continue
+                ids, counts = viterbi_together(raws, self.trie, self.scores, self.unknown)
+                flat, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+                self.known.update(zip(part, [flat[a:b] for a, b in zip([0, *ends], ends)]))
+                bare = np.unique(np.repeat(np.arange(len(part)), counts)[ids < 0])
+                for i in bare.tolist():
+                    self.known[part[i]] = self._alone(raws[i])
+
+    def _alone(self, raw: bytes) -> bytes:
+        return np.array(viterbi(raw, self.lists, self.score_list, self.unknown, self.byte_ids), np.int32).tobytes()
 
     def _parts(self, text: str) -> list[tuple[bool, list[str]]]:
         """(marker that stands in the text itself?, chunks) in order."""
@@ -252,8 +278,8 @@ class Encoder:
             parts = [self._parts(t) if t else [] for t in texts[k : k + 256]]
             self.learn({c for p in parts for literal, chunks in p if not literal for c in chunks})
             for p in parts:
-                found = [[[self.byte_ids[x] for x in chunks[0].encode()]] if literal else map(self.known.__getitem__, chunks) for literal, chunks in p]
-                out.append(np.fromiter(chain.from_iterable(chain.from_iterable(found)), np.int32))
+                found = (np.array([self.byte_ids[x] for x in chunks[0].encode()], np.int32).tobytes() if literal else b"".join(map(self.known.__getitem__, chunks)) for literal, chunks in p)
+                out.append(np.frombuffer(b"".join(found), np.int32))
         return out
 
     def encode(self, text: str | None) -> np.ndarray:
