@@ -16,7 +16,7 @@ from tallyline.llm import decontamination, exact_dedup, quality, sentencepieces,
 from tallyline.llm.common import table
 
 #: A document is rejected if it is less likely than this to be good; below 0.5, so that doubt keeps a document.
-LEAST_QUALITY = 0.35
+LEAST_QUALITY = 0.4
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 A text is cut into pieces, each piece is compressed with either dictionary, and the difference of the two total sizes
 over the text's own size is mapped to a score by a logistic curve fitted on labelled rows that no dictionary has seen.
-(Over the sum of the two sizes, texts that repeat themselves and compress to nothing under both would look good.)
+(Over the sum of the two sizes, texts that repeat themselves and compress to nothing under both would look good.) A few
+bytes say little, so each text counts as if PRIOR_BYTES of a usual good text stood beside it. Lines that both classes
+have, such as boilerplate, are in neither dictionary.
 
-Defined cases: a null or empty text compresses to nothing under either, so its difference is 0 and its score the
-curve's value there. Without labelled rows of both classes every score is 0.5. Ties and repeated rows score alike.
+Defined cases: a null or empty text has no bytes, so its score is that of a usual good text. Without labelled rows of both classes every score is 0.5. Ties and repeated rows score alike.
 Only text is an input of a score; other columns are not read.
 """
 
@@ -23,6 +24,8 @@ from tallyline.llm.common import crc_of_id, labelled_sample, platt, sigmoid, tab
 FIT_ROWS_A_CLASS = 2500
 #: Bytes of a dictionary and of a piece, and the compression level.
 DICTIONARY_BYTES, PIECE_BYTES, LEVEL = 112640, 1024, 3
+#: Bytes of a usual good text that stand beside each text.
+PRIOR_BYTES = 64
 
 
 def pieces(text: bytes, size: int = PIECE_BYTES) -> list[bytes]:
@@ -47,28 +50,36 @@ def compressors(dictionaries: tuple[bytes, bytes], level: int = LEVEL) -> list:
     return out
 
 
-def difference(text: bytes | None, pair: list) -> float:
-    """(bytes with the bad dictionary - bytes with the good one) / bytes, over the whole text."""
+def difference(text: bytes | None, pair: list, usual: float = 0.0) -> float:
+    """(bytes with the bad dictionary - bytes with the good one) / bytes, over the whole text and the prior bytes."""
     good = bad = 0
     text = text or b""
     for p in pieces(text):
         bad += len(pair[0].compress(p))
         good += len(pair[1].compress(p))
-    return (bad - good) / len(text) if text else 0.0
+    return (bad - good + usual * PRIOR_BYTES) / (len(text) + PRIOR_BYTES)
+
+
+def own_lines(texts: list[bytes], others: list[bytes]) -> list[bytes]:
+    """The texts without lines that the others have too."""
+    known = {line for t in others for line in t.split(b"\n")}
+    return [b"\n".join(line for line in t.split(b"\n") if line not in known) for t in texts]
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "quality", rows_a_class: int = FIT_ROWS_A_CLASS) -> dict | None:
-    """{dictionaries, a, b} from a bounded sample, or None if a class is missing."""
+    """{dictionaries, usual, a, b} from a bounded sample, or None if a class is missing."""
     rows = sorted((r["doc_id"], r["label"], (r["text"] or "").encode()) for r in labelled_sample(docs, labels, label, may_learn, rows_a_class).collect())
     by_class = [[t for _, k, t in rows if k == c] for c in (0, 1)]
     if min(map(len, by_class)) < 2:
         return None
-    dictionaries = tuple(train(texts[::2]) for texts in by_class)
+    bad, good = (texts[::2] for texts in by_class)
+    dictionaries = train(own_lines(bad, good)), train(own_lines(good, bad))
     pair = compressors(dictionaries)
-    x = np.array([difference(t, pair) for texts in by_class for t in texts[1::2]])
+    usual = float(np.median([difference(t, pair) for t in by_class[1][1::2]]))
+    x = np.array([difference(t, pair, usual) for texts in by_class for t in texts[1::2]])
     y = np.repeat([0, 1], [len(texts[1::2]) for texts in by_class])
     a, b = platt(x, y)
-    return {"dictionaries": dictionaries, "a": float(a), "b": float(b)}
+    return {"dictionaries": dictionaries, "usual": usual, "a": float(a), "b": float(b)}
 
 
 def score(model: dict | None, text: Column, spark: SparkSession) -> Column:
@@ -82,7 +93,7 @@ def _score_udf(model):
         if m is None:
             return pa.array(np.full(len(texts), 0.5))
         pair = compressors(m["dictionaries"])
-        x = np.array([difference(t, pair) for t in texts.cast(pa.binary()).to_pylist()], np.float64)
+        x = np.array([difference(t, pair, m["usual"]) for t in texts.cast(pa.binary()).to_pylist()], np.float64)
         return pa.array(sigmoid(m["a"] * x + m["b"]))
 
     return F.arrow_udf(scan, "double")

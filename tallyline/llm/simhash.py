@@ -7,8 +7,8 @@ what survives is verified bit by bit.
 The columns also say where pairs can meet. The references are zero and, for each two neighbouring bits, the fingerprint
 with just these set; a column less the column of zero is -2, 0 or 2, and two fingerprints at distance r differ in at
 most r of these 32 values. Dealt into r + 3 groups, at least three groups agree in all their columns. So rows meet in
-cells: one for each choice of three groups, keyed by the values in them. No pair in reach is lost and no other pairs
-are formed.
+cells: one for each choice of three groups, keyed by the values in them. A pair counts in the first cell that it
+shares, which the groups that agree tell, so each pair in reach is formed once and no other pair leaves the join.
 
 Defined cases: null, empty and blank texts have fingerprint zero and are linked like others. A text of fewer words
 than a shingle is one shingle. Rows that repeat a doc_id count once as a node; each gets its row. A null doc_id is
@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm.common import MAX_BROADCAST_ROWS, checkpointed, table
@@ -33,6 +33,8 @@ SHINGLE, RADIUS, SEED, EXTRA_PIVOTS = 3, 3, 42, 8
 
 #: Zero, then one reference for each two neighbouring bits.
 CELL_PIVOTS = [0, *(3 << i for i in range(0, 64, 2))]
+#: A cell's key ends in the number of its choice of groups, below this.
+CELL_NUMBERS = 64
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -76,9 +78,34 @@ def cells(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """The keys of each fingerprint's cells, a column for each choice of three groups of columns."""
     d = distance_table(fps, CELL_PIVOTS).astype(np.int64)
     value = (d[:, 1:] - d[:, :1]) // 2 + 1
-    groups = [g @ 3 ** np.arange(g.shape[1]) for g in np.array_split(value, radius + 3, axis=1)]
+    groups = [value[:, g] @ 3 ** np.arange(len(g)) for g in _groups(radius)]
     size = 3 ** (-(-32 // (radius + 3)))
-    return np.stack([((groups[a] * size + groups[b]) * size + groups[c]) * 64 + k for k, (a, b, c) in enumerate(combinations(range(radius + 3), 3))], axis=1)
+    return np.stack([((groups[a] * size + groups[b]) * size + groups[c]) * CELL_NUMBERS + k for k, (a, b, c) in enumerate(combinations(range(radius + 3), 3))], axis=1)
+
+
+def _groups(radius: int) -> list[np.ndarray]:
+    """The pairs of bits, 0 to 31, of each group."""
+    return np.array_split(np.arange(32), radius + 3)
+
+
+def first_cell(agree: Column, radius: int) -> Column:
+    """The number of the first cell that two fingerprints share, from a bit for each group in which they agree."""
+    choices = list(combinations(range(radius + 3), 3))
+    first = [next((k for k, c in enumerate(choices) if all(m >> g & 1 for g in c)), -1) for m in range(1 << (radius + 3))]
+    return F.element_at(F.array(*map(F.lit, first)), agree + 1)
+
+
+def agreeing_groups(a: Column, b: Column, radius: int) -> Column:
+    """A number with a bit for each group whose pairs of bits all have the same count of ones in a and b."""
+    low = F.lit(0x5555555555555555)
+    one = lambda x: x.bitwiseXOR(F.shiftrightunsigned(x, 1))
+    two = lambda x: x.bitwiseAND(F.shiftrightunsigned(x, 1))
+    apart = one(a).bitwiseXOR(one(b)).bitwiseOR(two(a).bitwiseXOR(two(b))).bitwiseAND(low)
+    out = F.lit(0)
+    for g, pairs in enumerate(_groups(radius)):
+        mask = sum(1 << 2 * int(i) for i in pairs)
+        out += F.when(apart.bitwiseAND(F.lit(mask)) == 0, 1 << g).otherwise(0)
+    return out
 
 
 def links(fps: DataFrame, radius: int = RADIUS, pivots: list[int] | None = None) -> DataFrame:
@@ -103,7 +130,8 @@ def links(fps: DataFrame, radius: int = RADIUS, pivots: list[int] | None = None)
     for p in names:
         survives &= F.abs(F.col(f"a_{p}") - F.col(f"b_{p}")) <= radius
     verified = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    return a.join(b.hint("merge"), "cell").where(survives).where(verified).select("a", "b").distinct()
+    once = first_cell(agreeing_groups(F.col("a"), F.col("b"), radius), radius) == F.col("cell") % CELL_NUMBERS
+    return a.join(b.hint("merge"), "cell").where(survives).where(verified).where(once).select("a", "b")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

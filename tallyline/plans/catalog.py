@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tallyline.operators import filters, intervals, lookups, products, rating, rollups, rules, scalars, sequences
+from tallyline.operators import filters, intervals, listing, lookups, products, rating, rollups, rules, scalars, sequences
 from tallyline.streaming import jobs
 
-_MODULES = [intervals, products, filters, lookups, sequences, rules, rating, rollups, scalars, jobs]
+_MODULES = [intervals, products, filters, lookups, sequences, rules, rating, rollups, scalars, listing, jobs]
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
