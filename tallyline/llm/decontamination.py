@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import table
+from tallyline.llm.common import checkpointed, table
 
 #: Words of a window, words of a block, and words of the benchmark whose windows one pass holds in memory.
 WINDOW, BLOCK, WORDS_A_PASS = 10, 2, 2_000_000
@@ -105,18 +105,22 @@ def _passes(benchmark: DataFrame, words_a_pass: int):
         yield block
 
 
-def hits(benchmark: DataFrame, text: Column, window: int = WINDOW, words_a_pass: int = WORDS_A_PASS) -> Column:
-    """struct(n_words, starts, ends, items): the hit runs of words, ends exclusive, and the items that occur.
+def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, words_a_pass: int = WORDS_A_PASS) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: struct(n_words, starts, ends, items), the hit runs of words, ends
+    exclusive, and the items that occur.
 
-    The benchmark is a given set of queries: every document is held against all of it, by one search for each block of
-    words_a_pass words, so memory is bounded whatever the benchmark's size. Documents are not shuffled.
+    The benchmark is a given set of queries: every document is held against all of it, by one pass over the documents
+    for each block of words_a_pass words. What a pass has found is written before the next one begins, so a task holds
+    the tables of one block whatever the benchmark's size. Documents are not shuffled.
     """
-    sc = benchmark.sparkSession.sparkContext
-    found = None
+    sc, name = benchmark.sparkSession.sparkContext, "_hits"
+    while name in docs.columns:
+        name = f"_{name}"
+    out = None
     for block in _passes(benchmark, words_a_pass):
-        one = _search_udf(sc.broadcast([tuple(t) for t in tables_of(block, window)]))(text)
-        found = one if found is None else _both(found, one)
-    return _search_udf(sc.broadcast([]))(text) if found is None else found
+        one = _search_udf(sc.broadcast([tuple(t) for t in tables_of(block, window)]))(F.col("text"))
+        out = docs.withColumn(name, one) if out is None else checkpointed(out).withColumn(name, _both(F.col(name), one))
+    return (docs.withColumn(name, _search_udf(sc.broadcast([]))(F.col("text"))) if out is None else out), name
 
 
 def _search_udf(tables):
@@ -164,12 +168,14 @@ def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, words_a_pass: int = WORDS_A_PASS) -> DataFrame:
     """doc_id, n_words, starts, ends, items for each document."""
-    return docs.select("doc_id", hits(benchmark, F.col("text"), window, words_a_pass).alias("f")).select("doc_id", "f.*")
+    found, name = with_hits(docs.select("doc_id", "text"), benchmark, window, words_a_pass)
+    return found.select("doc_id", f"{name}.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs without those in which a benchmark window occurs; all columns remain."""
-    return docs.where(F.size(hits(benchmark, F.col("text"), window).getField("starts")) == 0)
+    found, name = with_hits(docs, benchmark, window)
+    return found.where(F.size(f"{name}.starts") == 0).drop(name)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
