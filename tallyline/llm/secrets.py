@@ -1,9 +1,10 @@
 """Secret scan with a recursive decoding worklist.
 
-Base secrets are found in the text itself. Then runs that look encoded (percent escapes, Unicode and byte escapes,
-base64, and compressed bytes below it) are decoded into layers, each layer is scanned and searched for encoded runs
-again, until no layer gives a new one. Layers seen before are skipped, which ends cycles. Every character of a layer
-knows which characters of the original it came from, so a find deep inside maps to a span of the text.
+Base secrets are found in the text itself. Then what looks encoded is decoded into layers: the whole text with its
+percent escapes, or its Unicode, byte and backslash escapes, replaced; base64 runs; and compressed bytes below them.
+Each layer is scanned and searched again, until no layer gives a new one. Layers seen before are skipped, which ends
+cycles. Every character of a layer knows which characters of the original it came from, so a find deep inside maps to
+a span of the text. A secret that a layer only repeats from the one above it is not reported again.
 
 Defined cases: a null text counts as empty; empty texts have no finds. Finds of a layer whose spans and kinds are equal
 are reported once. A decoded layer is at most LAYER_CHARS long; a compressed run that would unpack beyond it is scanned
@@ -17,7 +18,10 @@ import bz2
 import hashlib
 import re
 import zlib
+from array import array
+from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,9 +37,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
 
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9+/_.=:~-])+")
-ESCAPED = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\})+")
+PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
+ESCAPED = re.compile(r"""\\(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|(["'/\\bfnrt]))""")
+PLAIN_ESCAPES = dict(zip("bfnrt", "\b\f\n\r\t"))
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % BASE64_LEAST)
+#: Where compressed bytes may begin in a layer whose escapes were replaced.
+PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\x28\xb5\x2f\xfd")
 
 _FOUND = "struct<base:array<struct<kind:string,start:int,stop:int>>,hidden:array<struct<kind:string,start:int,stop:int>>>"
 
@@ -52,20 +59,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _characters(raw: bytes, froms: list[tuple[int, int]]):
-    """Text of bytes in UTF-8 with each character's source; None if it isn't readable text."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    if not text or sum(c.isprintable() or c in "\t\n\r" for c in text) < 0.95 * len(text):
-        return None
-    out, at = [], 0
-    for c in text:
-        n = len(c.encode())
-        out.append((froms[at][0], froms[at + n - 1][1]))
-        at += n
-    return text, out
+def _characters(raw: bytes, starts: np.ndarray, stops: np.ndarray):
+    """Text of bytes in UTF-8, an undecodable byte as one character, with each character's source."""
+    text = raw.decode(errors="surrogateescape")
+    if len(text) == len(raw):
+        return text, starts, stops
+    size = _widths(text)
+    ends = np.cumsum(size)
+    return text, starts[ends - size], stops[ends - 1]
+
+
+def _widths(text: str) -> np.ndarray:
+    """Bytes of each character; an undecodable byte is one."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    size = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+    return np.where((code >= 0xDC80) & (code <= 0xDCFF), 1, size)
 
 
 def _unpacked(raw: bytes) -> tuple[str, bytes] | None:
@@ -84,28 +92,40 @@ def _unpacked(raw: bytes) -> tuple[str, bytes] | None:
     return None
 
 
-def _percent(text: str, m: re.Match):
-    raw, froms, at = bytearray(), [], m.start()
-    while at < m.end():
-        if text[at] == "%" and (code := re.match(r"%([0-9A-Fa-f]{2})", text[at : at + 3])):
-            raw.append(int(code[1], 16))
-            froms.append((at, at + 3))
-            at += 3
-        else:
-            raw.append(ord(text[at]))  # only ASCII stands between escapes
-            froms.append((at, at + 1))
-            at += 1
-    return bytes(raw), froms
+def _percent_byte(e: re.Match) -> bytes:
+    return bytes([int(e[1], 16)])
+
+
+def _escaped_bytes(e: re.Match) -> bytes:
+    if e[4]:
+        return PLAIN_ESCAPES.get(e[4], e[4]).encode()
+    code = int(e[1] or e[2] or e[3], 16)
+    return bytes([code]) if e[3] and code > 127 else chr(code).encode(errors="replace") if code < 0x110000 else b"?"
+
 
+def _replaced(text: str, escape: re.Pattern, value):
+    """Bytes of a whole text with its escapes replaced, and each byte's source."""
+    raw, starts, stops, at = bytearray(), array("q"), array("q"), 0
 
-def _escapes(text: str, m: re.Match):
-    raw, froms = bytearray(), []
-    for e in re.finditer(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})", m[0]):
-        code = int(e[1] or e[2] or e[3], 16)
-        part = bytes([code]) if e[3] and code > 127 else chr(code).encode(errors="replace") if code < 0x110000 else b"?"
-        raw += part
-        froms += [(m.start() + e.start(), m.start() + e.end())] * len(part)
-    return bytes(raw), froms
+    def plain(begin: int, end: int) -> None:
+        piece = text[begin:end].encode(errors="surrogateescape")
+        place = np.arange(begin, end)
+        if len(piece) != end - begin:
+            place = np.repeat(place, _widths(text[begin:end]))
+        raw.extend(piece)
+        starts.frombytes(place.tobytes())
+        stops.frombytes((place + 1).tobytes())
+
+    for e in escape.finditer(text):
+        if at < e.start():
+            plain(at, e.start())
+        part = value(e)
+        raw.extend(part)
+        starts.extend([e.start()] * len(part))
+        stops.extend([e.end()] * len(part))
+        at = e.end()
+    plain(at, len(text))
+    return bytes(raw), np.frombuffer(starts, np.int64), np.frombuffer(stops, np.int64)
 
 
 def _base64(m: re.Match):
@@ -116,45 +136,102 @@ def _base64(m: re.Match):
         raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
     except ValueError:
         return None
-    return raw, [(m.start() + 8 * k // 6, m.start() + -(-8 * (k + 1) // 6)) for k in range(len(raw))]
-
-
-def layers_of(text: str):
-    """(name, decoded text, sources) of each run of a text that one decoding step opens."""
-    runs = []
-    if "%" in text:
-        runs += [("url", *_percent(text, m)) for m in PERCENT.finditer(text) if "%" in m[0]]
-    if "\\" in text:
-        runs += [("unicode", *_escapes(text, m)) for m in ESCAPED.finditer(text)]
-    runs += [("base64", *d) for m in BASE64.finditer(text) if (d := _base64(m))]
-    for name, raw, froms in runs:
+    k = np.arange(len(raw))
+    return raw, m.start() + 8 * k // 6, m.start() - (-8 * (k + 1) // 6)
+
+
+def _packed_layers(name: str, raw: bytes, start: int, stop: int):
+    """(name, text, starts, stops) of compressed bytes; all of it comes from the whole run."""
+    packed = _unpacked(raw)
+    while packed and packed[1]:
+        name, raw = f"{name}.{packed[0]}", packed[1]
         packed = _unpacked(raw)
-        while packed:  # bytes in bytes: all of it comes from the whole run
-            name, raw = f"{name}.{packed[0]}", packed[1]
-            froms = [(froms[0][0], froms[-1][1])] * len(raw) if froms else []
-            packed = _unpacked(raw)
-        opened = _characters(raw, froms)
-        if opened:
-            yield name, *opened
+        if not packed:
+            yield name, *_characters(raw, *_same(start, stop, len(raw)))
+
+
+def _same(start: int, stop: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.broadcast_to(np.int64(start), n), np.broadcast_to(np.int64(stop), n)
+
+
+class _Search:
+    """The hidden secrets of one text."""
+
+    def __init__(self, text: str):
+        self.found, self.seen, self.told = set(), {_digest(text)}, set()
+        stack = [self.layers("", text, None)]
+        while stack:  # a layer is searched before the next one of its parent is opened
+            child = next(stack[-1], None)
+            if child is None:
+                stack.pop()
+            else:
+                stack.append(self.layers(*child))
+
+    def layers(self, path: str, layer: str, sources):
+        """(path, text, sources) of the new layers that one decoding step opens, once their secrets are noted.
+
+        Escapes are replaced in the layer as a whole, so what is only partly escaped is read with its surroundings. Its
+        runs as they stand come first: those that replacing leaves as they are then count as seen.
+        """
+        whole, later = [], []
+        if "%" in layer and PERCENT.search(layer):
+            whole.append(("url", *_replaced(layer, PERCENT, _percent_byte)))
+        if "\\" in layer and ESCAPED.search(layer):
+            whole.append(("unicode", *_replaced(layer, ESCAPED, _escaped_bytes)))
+        known = base_spans(layer) if whole else []
+        for name, raw, starts, stops in whole:
+            later += self.opened(path, sources, name, *_characters(raw, starts, stops), known)
+        for m in BASE64.finditer(layer):
+            if run := _base64(m):
+                yield from self.opened(path, sources, "base64", *_characters(*run))
+                for part in _packed_layers("base64", run[0], m.start(), m.end()):
+                    yield from self.opened(path, sources, *part)
+        for name, raw, starts, stops in whole:
+            for m in PACKED.finditer(raw):
+                if m[0][:1] == b"B" or (stops - starts)[m.start() : m.end()].max() > 1:
+                    end = raw.find(b"\n", m.start()) if name == "url" else -1
+                    for part in _packed_layers(name, raw[m.start() :], int(starts[m.start()]), int(stops[end])):
+                        yield from self.opened(path, sources, *part)
+        yield from later
+
+    def opened(self, path: str, sources, name: str, text: str, starts: np.ndarray, stops: np.ndarray, known=()) -> list:
+        """The layer to search, if it is new; notes its secrets but those inside `known` spans of its parent."""
+        if not text:
+            return []
+        ends = (int(starts[0]), int(stops[-1]))
+        if sources is not None:
+            ends = (int(sources[0][ends[0]]), int(sources[1][ends[1] - 1]))
+        key = _digest(text, *ends)
+        if key in self.seen:
+            return []
+        self.seen.add(key)
+        inside = {kind: [(a, b) for k, a, b in known if k == kind] for kind in KINDS} if known else {}
+        for kind, a, b in base_spans(text):
+            begin, end = int(starts[a]), int(stops[b - 1])
+            spans = inside.get(kind, ())
+            at = bisect_right(spans, (begin, float("inf"))) - 1
+            if at >= 0 and end <= spans[at][1]:
+                continue  # it stands in the parent as it is
+            if sources is not None:
+                begin, end = int(sources[0][begin]), int(sources[1][end - 1])
+            same = (kind, _digest(text[a:b]), begin, end)
+            if same not in self.told:  # else it was opened in another order of steps
+                self.told.add(same)
+                self.found.add((f"{kind}{path}.{name}", begin, end))
+        if "%" not in text and "\\" not in text and not BASE64.search(text):
+            return []
+        if sources is not None:
+            starts, stops = sources[0][starts], sources[1][stops - 1]
+        return [(f"{path}.{name}", text, (starts, stops))]
+
+
+def _digest(text: str, *ends: int) -> bytes:
+    return hashlib.sha256(text.encode(errors="surrogatepass") + repr(ends).encode()).digest()
 
 
 def hidden_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, stop) of the secrets in decoded layers; the kind names the decodings, e.g. assign.base64.gzip."""
-    found, seen = set(), {hashlib.sha256(text.encode(errors="replace")).digest()}
-    worklist = [("", text, None)]
-    while worklist:
-        path, layer, sources = worklist.pop()
-        for name, inner, froms in layers_of(layer):
-            if sources is not None:
-                froms = [(sources[a][0], sources[b - 1][1]) for a, b in froms]
-            key = hashlib.sha256(inner.encode(errors="replace") + repr(froms[:1] + froms[-1:]).encode()).digest()
-            if key in seen:
-                continue
-            seen.add(key)
-            where = f"{path}.{name}"
-            found.update((kind + where, froms[a][0], froms[b - 1][1]) for kind, a, b in base_spans(inner))
-            worklist.append((where, inner, froms))
-    return sorted(found, key=lambda s: (s[1], s[0], s[2]))
+    return sorted(_Search(text).found, key=lambda s: (s[1], s[0], s[2]))
 
 
 def find_secrets(text: Column) -> Column:

@@ -122,3 +122,20 @@ def test_secret_edges(edge_docs, no_docs, spark):
     found = edge_docs.select(secrets.find_secrets(F.col("text")).alias("f"))
     assert found.count() == edge_docs.count() and found.where("size(f.base) + size(f.hidden) > 0").count() == 0
     assert no_docs.select(secrets.find_secrets(F.col("text"))).count() == 0
+
+
+def opened(text):
+    return {(k, text[a:b]) for k, a, b in secrets.hidden_spans(text)}
+
+
+def test_partly_escaped_secrets_are_found():
+    u = lambda c: f"\\u{ord(c):04x}"
+    assert opened(f"é token{u('=')}abcdefghijkl!") == {("assign.unicode", f"token{u('=')}abcdefghijkl")}
+    q = u('"')
+    assert opened(f"{q}password{q}:{q}abcdefghijkl{q}") == {("assign.unicode", f"password{q}:{q}abcdefghijkl")}
+    assert opened("x%FFtoken%3Dabcdefghijkl") == {("assign.url", "token%3Dabcdefghijkl")}
+    broken = base64.b64encode(b"a>>>?secret: qwertyuiopasdf??>>").decode().replace("+", u("+")).replace("/", u("/"))
+    assert ("assign.unicode.base64" in {k for k, _ in opened(broken)}) and "\\u" in broken
+    assert opened(f"a{u(' ')}b token=abcdefghijkl %20") == set()  # it stands in the text as it is
+    both = f"token{u('%')}3Dabcdefghijkl"
+    assert opened(both) == {("assign.unicode.url", both)}
