@@ -7,19 +7,23 @@ cycles. Every character of a layer knows which characters of the original it cam
 a span of the text. A secret that a layer only repeats from the one above it is not reported again.
 
 Defined cases: a null text counts as empty; empty texts have no finds. Finds of a layer whose spans and kinds are equal
-are reported once. A decoded layer is at most LAYER_CHARS long; a compressed run that would unpack beyond it is scanned
-as far as it goes there (bombs), the text itself is always scanned whole. Other columns are not read.
+are reported once. Compressed content is read to its end, member by member, in blocks, so memory is bounded but a bomb
+takes the time of its whole content. One bound is left: in unpacked content, a single run without any character that
+ends runs is held LAYER_CHARS at a time in overlapping windows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import bz2
+import codecs
 import hashlib
 import re
 import zlib
 from array import array
 from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +33,12 @@ from pyspark.sql import functions as F
 
 from tallyline.llm.common import table
 
-#: Characters of a decoded layer at most; and of a base64 run at least.
-LAYER_CHARS, BASE64_LEAST = 4_000_000, 16
+#: Characters of a base64 run at least.
+BASE64_LEAST = 16
+#: Unpacked content is read in blocks of so many bytes, and scanned in blocks of so many characters.
+BLOCK_BYTES, BLOCK_CHARS = 1 << 20, 1_000_000
+#: Characters of one unbroken run in unpacked content that are held at once; and by which its windows overlap.
+LAYER_CHARS, OVERLAP_CHARS = 4_000_000, 1_000_000
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -41,6 +49,8 @@ PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
 ESCAPED = re.compile(r"""\\(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|(["'/\\bfnrt]))""")
 PLAIN_ESCAPES = dict(zip("bfnrt", "\b\f\n\r\t"))
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % BASE64_LEAST)
+#: A character that no secret or encoded run contains.
+BREAK = re.compile(r"""[^A-Za-z0-9+/_.=:~%\\{}"'\x20-]""")
 #: Where compressed bytes may begin in a layer whose escapes were replaced.
 PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\x28\xb5\x2f\xfd")
 
@@ -76,20 +86,79 @@ def _widths(text: str) -> np.ndarray:
     return np.where((code >= 0xDC80) & (code <= 0xDCFF), 1, size)
 
 
-def _unpacked(raw: bytes) -> tuple[str, bytes] | None:
-    """(name, content) of compressed bytes."""
+class _Source:
+    """Bytes from an iterator of blocks, with a look ahead."""
+
+    def __init__(self, blocks: Iterator[bytes]):
+        self.blocks, self.ready, self.at = iter(blocks), b"", 0
+
+    def peek(self, n: int = 4) -> bytes:
+        while len(self.ready) - self.at < n and (part := next(self.blocks, None)) is not None:
+            self.ready, self.at = self.ready[self.at :] + part, 0
+        return self.ready[self.at : self.at + n]
+
+    def read(self, n: int = BLOCK_BYTES) -> bytes:
+        self.peek(1)
+        self.at += len(out := self.ready[self.at : self.at + n])
+        return out
+
+    def give_back(self, data: bytes) -> None:
+        self.ready, self.at = data + self.ready[self.at :], 0
+
+
+def _packing(head: bytes) -> str | None:
+    """The name of the compression that bytes begin with."""
+    if head[:2] == b"\x1f\x8b":
+        return "gzip"
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return "zlib"
+    if head[:3] == b"BZh":
+        return "bzip2"
+    return "zstd" if head[:4] == b"\x28\xb5\x2f\xfd" else None
+
+
+def _unpacked(blocks: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of all members of compressed bytes, in blocks; where they are damaged it ends."""
+    source = _Source(blocks)
     try:
-        if raw[:2] == b"\x1f\x8b":
-            return "gzip", zlib.decompressobj(31).decompress(raw, LAYER_CHARS)
-        if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return "zlib", zlib.decompressobj().decompress(raw, LAYER_CHARS)
-        if raw[:3] == b"BZh":
-            return "bzip2", bz2.BZ2Decompressor().decompress(raw, LAYER_CHARS)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            return "zstd", zstandard.ZstdDecompressor().stream_reader(raw).read(LAYER_CHARS)
+        while name := _packing(source.peek()):
+            if name == "zstd":
+                reader = zstandard.ZstdDecompressor().stream_reader(source, read_across_frames=True)
+                while part := reader.read(BLOCK_BYTES):
+                    yield part
+                return
+            unit = bz2.BZ2Decompressor() if name == "bzip2" else zlib.decompressobj(31 if name == "gzip" else 15)
+            while not unit.eof:
+                wants = unit.needs_input if name == "bzip2" else not unit.unconsumed_tail
+                data = source.read() if wants else b"" if name == "bzip2" else unit.unconsumed_tail
+                part = unit.decompress(data, BLOCK_BYTES)
+                if part:
+                    yield part
+                elif wants and not data:
+                    return  # cut off
+            source.give_back(unit.unused_data)
+            while name == "gzip" and source.peek(1) == b"\0":  # padding
+                source.read(1)
     except (zlib.error, OSError, EOFError, ValueError, zstandard.ZstdError):
-        return None
-    return None
+        return
+
+
+def _texts(blocks: Iterator[bytes]) -> Iterator[str]:
+    """Bytes as text in blocks of some BLOCK_CHARS, cut where nothing that is searched for can reach across."""
+    decoder = codecs.getincrementaldecoder("utf-8")("surrogateescape")
+    held = ""
+    for part in blocks:
+        held += decoder.decode(part)
+        if len(held) < BLOCK_CHARS:
+            continue
+        if m := BREAK.search(held[::-1]):
+            yield held[: len(held) - m.start()]
+            held = held[len(held) - m.start() :]
+        elif len(held) >= LAYER_CHARS:  # one run; base64 goes on at a multiple of four
+            yield held
+            held = held[(len(held) - OVERLAP_CHARS) // 4 * 4 :]
+    if held := held + decoder.decode(b"", True):
+        yield held
 
 
 def _percent_byte(e: re.Match) -> bytes:
@@ -140,14 +209,23 @@ def _base64(m: re.Match):
     return raw, m.start() + 8 * k // 6, m.start() - (-8 * (k + 1) // 6)
 
 
-def _packed_layers(name: str, raw: bytes, start: int, stop: int):
-    """(name, text, starts, stops) of compressed bytes; all of it comes from the whole run."""
-    packed = _unpacked(raw)
-    while packed and packed[1]:
-        name, raw = f"{name}.{packed[0]}", packed[1]
-        packed = _unpacked(raw)
-        if not packed:
-            yield name, *_characters(raw, *_same(start, stop, len(raw)))
+def _packed_layers(name: str, blocks: Callable[[], Iterator[bytes]], seen: set) -> Iterator[tuple[str, str]]:
+    """(name, text) of compressed bytes, block by block, and of those compressed in them; `blocks` begins them anew."""
+    while packing := _packing(_Source(blocks()).peek()):
+        name, blocks = f"{name}.{packing}", partial(_unpacked_of, blocks)
+        for text in _texts(blocks()):
+            yield name, text
+        if _packing(_Source(blocks()).peek()):
+            digest = hashlib.sha256()
+            for part in blocks():
+                digest.update(part)
+            if digest.digest() in seen:
+                return
+            seen.add(digest.digest())
+
+
+def _unpacked_of(blocks: Callable[[], Iterator[bytes]]) -> Iterator[bytes]:
+    return _unpacked(blocks())
 
 
 def _same(start: int, stop: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,14 +262,15 @@ class _Search:
         for m in BASE64.finditer(layer):
             if run := _base64(m):
                 yield from self.opened(path, sources, "base64", *_characters(*run))
-                for part in _packed_layers("base64", run[0], m.start(), m.end()):
-                    yield from self.opened(path, sources, *part)
+                for name, text in _packed_layers("base64", lambda r=run[0]: iter((r,)), self.seen):
+                    yield from self.opened(path, sources, name, text, *_same(m.start(), m.end(), len(text)))
         for name, raw, starts, stops in whole:
             for m in PACKED.finditer(raw):
                 if m[0][:1] == b"B" or (stops - starts)[m.start() : m.end()].max() > 1:
                     end = raw.find(b"\n", m.start()) if name == "url" else -1
-                    for part in _packed_layers(name, raw[m.start() :], int(starts[m.start()]), int(stops[end])):
-                        yield from self.opened(path, sources, *part)
+                    ends = int(starts[m.start()]), int(stops[end])
+                    for inner, text in _packed_layers(name, lambda r=raw, a=m.start(): iter((r[a:],)), self.seen):
+                        yield from self.opened(path, sources, inner, text, *_same(*ends, len(text)))
         yield from later
 
     def opened(self, path: str, sources, name: str, text: str, starts: np.ndarray, stops: np.ndarray, known=()) -> list:

@@ -1,8 +1,11 @@
 import base64
+import bz2
 import gzip
 import re
 import urllib.parse
+import zlib
 
+import zstandard
 from pyspark.sql import functions as F
 
 from tallyline.llm import pii, secrets
@@ -139,3 +142,19 @@ def test_partly_escaped_secrets_are_found():
     assert opened(f"a{u(' ')}b token=abcdefghijkl %20") == set()  # it stands in the text as it is
     both = f"token{u('%')}3Dabcdefghijkl"
     assert opened(both) == {("assign.unicode.url", both)}
+
+
+def test_compressed_layers_are_read_whole():
+    name = lambda raw: {k for k, _, _ in secrets.hidden_spans(base64.b64encode(raw).decode())}
+    inner, filler = b"token=abcdefghijkl", "é filler, ".encode() * 500_000
+    for pack, kind in ((gzip.compress, "gzip"), (zlib.compress, "zlib"), (bz2.compress, "bzip2"), (zstandard.compress, "zstd")):
+        assert f"assign.base64.{kind}" in name(pack(filler + inner))  # behind the first blocks
+        assert f"assign.base64.{kind}" in name(pack(b"a, " + inner + b"! \xc3"))  # cut inside a character
+        assert f"assign.base64.{kind}" in name(pack(b"first, ") + pack(inner))  # in the second member
+    assert "assign.base64.gzip" in name(gzip.compress(inner + b", " + filler)[:-20])  # cut off
+
+
+def test_content_that_unpacks_to_itself_ends(monkeypatch):
+    quine = b"\x1f\x8bquine"
+    monkeypatch.setattr(secrets, "_unpacked", lambda blocks: iter((b"".join(blocks),)))
+    assert secrets.hidden_spans(base64.b64encode(quine * 3).decode()) == []
