@@ -1,16 +1,17 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms around them.
 
 Base spans are e-mail addresses, IPv4 addresses, card and telephone numbers. Each distinct value is a protected entity.
-Terms are words near an entity. Over the corpus, a term's pointwise mutual information with an entity, divided by the
-entity's information content, says which share of the entity's identity the term discloses: 1 if it occurs only with
-that entity. Terms beyond the lower threshold are generalised, those beyond the upper one removed.
+Terms are words and numbers of any length in the documents of an entity. Over the corpus, a term's pointwise mutual
+information with an entity, divided by the entity's information content, says which share of the entity's identity the
+term discloses: nearly 1 if it occurs only with that entity. Terms beyond the lower threshold are generalised, those
+beyond the upper one removed, wherever they occur in any document outside base spans.
 
 All of it is DataFrame expressions. Positions come from splitting a text at a pattern: the pieces between matches and
 the matches themselves, measured in code points, add up to the offsets.
 
 Defined cases: a null text counts as empty; empty texts and an empty table have no spans. Statistics count rows, so a
-repeated row counts each time. An entity or a term pair in fewer than LEAST_ROWS rows discloses nothing. A null doc_id
-is allowed. Other columns are not read.
+repeated row counts each time. An entity in every row has no information that could be disclosed. A null doc_id is
+allowed. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import checkpointed, join_counted, table
+from tallyline.llm.common import MAX_BROADCAST_ROWS, checkpointed, join_counted, table
 
-#: Code points before and after an entity in which terms count, and the rows that a statistic must rest on.
-CONTEXT_CHARS, LEAST_ROWS = 100, 3
+#: Rows by which each term is taken to occur independently of the entities, so that few rows tell a little less.
+PRIOR_ROWS = 0.1
 #: Disclosed shares from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.8, 0.95
 
@@ -35,7 +36,7 @@ PATTERNS = {
 }
 #: Cheap conditions without which a kind cannot occur.
 GUARDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-TERM = r"\p{L}{4,}"
+TERM = r"[\p{L}\p{M}\p{N}]+"
 
 
 def found(text: Column, pattern: str) -> Column:
@@ -93,56 +94,79 @@ def _spans_of(text: Column, rank: int, kind: str) -> Column:
     return F.when(text.rlike(GUARDS[kind]), spans).otherwise(F.expr("cast(array() AS array<struct<start:int,rank:int,stop:int,kind:string,entity:string>>)"))
 
 
-def _context(text: Column, span: Column, base: Column) -> Column:
-    """array<struct(start, stop, value)> of the terms near a span that neither are cut off nor touch a base span."""
-    size = F.length(text)
-    begin, end = F.greatest(F.lit(0), span["start"] - CONTEXT_CHARS), F.least(size, span["stop"] + CONTEXT_CHARS)
-    left = F.substring(text, begin + 1, span["start"] - begin)
-    right = F.substring(text, span["stop"] + 1, end - span["stop"])
-    before = F.filter(_moved(found(left, TERM), begin), lambda t: (t["start"] > begin) | (begin == 0))
-    after = F.filter(_moved(found(right, TERM), span["stop"]), lambda t: (t["stop"] < end) | (end == size))
-    return F.filter(F.concat(before, after), lambda t: ~F.exists(base, lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+def _words(text: Column) -> Column:
+    """The different terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), F.lower))
 
 
-def _moved(spans: Column, by: Column) -> Column:
-    return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["stop"] + by).alias("stop"), F.lower(s["value"]).alias("value")))
+def _words_beside(text: Column, base: Column) -> Column:
+    """The different terms of a text that don't touch a base span."""
+    sign = "\ue000"  # stands for a span, as part of the terms that touch it
+    clean = F.translate(text, sign, " ")
+
+    def step(acc: Column, s: Column) -> Column:
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(clean, acc["at"] + 1, s["start"] - acc["at"]), F.lit(sign))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
+
+    left = F.aggregate(base, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(clean, acc["at"] + 1, F.length(clean))))
+    words = F.regexp_extract_all(left, F.lit(TERM.replace("[", f"[{sign}")), 0)
+    return F.array_distinct(F.transform(F.filter(words, lambda w: ~F.contains(w, F.lit(sign))), F.lower))
+
+
+def _located(text: Column, shares: Column) -> Column:
+    """array<struct(start, stop, share)> of every occurrence of the terms in a map of shares."""
+    pieces, words = F.split(text, TERM, -1), F.regexp_extract_all(text, F.lit(TERM), 0)
+    nothing = F.expr("struct(0 AS at, cast(array() AS array<struct<start:int,stop:int,share:double>>) AS out)")
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["piece"])
+        stop = start + F.length(x["word"])
+        one = F.array(F.struct(start.alias("start"), stop.alias("stop"), x["share"].alias("share")))
+        return F.struct(stop.alias("at"), F.when(x["share"].isNotNull(), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    pairs = F.zip_with(F.slice(pieces, 1, F.size(words)), words, lambda p, w: F.struct(p.alias("piece"), w.alias("word"), F.try_element_at(shares, F.lower(w)).alias("share")))
+    return F.aggregate(pairs, nothing, step, lambda acc: acc["out"])
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text_key, base (spans with their entities), terms (spans with the disclosed share).
 
-    One scan makes a compact row of spans and of the terms near them, which is written; a second scan counts, in all
-    documents, just the terms that may disclose something. Joins are on counted, pre-aggregated rows.
+    One scan makes a compact row of spans and, beside them, of the document's terms, which is written; a second counts
+    the rows of every term; a third finds the documents of the terms that disclose something, and their places. Terms
+    that occur too often to disclose an entity go before pairs are counted. Joins are on counted, pre-aggregated rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    spans = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    near = F.transform("base", lambda s: F.struct(s["entity"].alias("entity"), _context(F.col("text"), s, F.col("base")).alias("terms")))
-    rows = checkpointed(spans.select("doc_id", "text_key", "base", F.when(F.size("base") > 0, near).alias("near")))
-    with_base = rows.where("near IS NOT NULL").select("doc_id", "text_key", "near")
-
+    keyed = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
+    spans = keyed.withColumn("base", base_spans(F.col("text")))
+    rows = checkpointed(spans.select("doc_id", "text_key", "base", F.when(F.size("base") > 0, _words_beside(F.col("text"), F.col("base"))).alias("beside")))
     n = rows.count()
-    entities = with_base.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= LEAST_ROWS)
-    pair = lambda x: F.transform(x["terms"], lambda t: F.struct(x["entity"].alias("entity"), t["value"].alias("term")))
-    pairs = with_base.select(F.explode(F.array_distinct(F.flatten(F.transform("near", pair)))).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_pair"))
-    values = lambda x: F.transform(x["terms"], lambda t: t["value"])
-    around = with_base.select(F.explode(F.array_distinct(F.flatten(F.transform("near", values)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_near"))
-    # a term occurs at least as often as near entities, which bounds its share from above: common words go before the count
-    information = F.nullif(F.log2(n / F.col("n_entity")), F.lit(0.0))
-    share = lambda n_term: F.log2(n * F.col("n_pair") / (F.col("n_entity") * F.col(n_term))) / information
-    pairs = pairs.where(F.col("n_pair") >= LEAST_ROWS).join(entities, "entity").join(around, "term")
-    pairs = checkpointed(pairs.where(share("n_near") >= GENERALISE))
-    candidates = checkpointed(pairs.select("term").distinct())
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))).alias("term"))
-    terms = join_counted(words, candidates, ["term"], "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    disclosing = checkpointed(pairs.join(terms, "term").withColumn("share", share("n_term")).where(F.col("share") >= GENERALISE).select("entity", "term", "share"))
-
-    places = with_base.select("doc_id", "text_key", F.explode("near").alias("x")).select("doc_id", "text_key", "x.entity", F.explode("x.terms").alias("t"))
-    places = places.select("doc_id", "text_key", "entity", F.col("t.value").alias("term"), "t.start", "t.stop")
-    hits = join_counted(places, disclosing, ["entity", "term"], "inner").groupBy("doc_id", "text_key", "start", "stop").agg(F.max("share").alias("share"))
-    hits = hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).agg(F.array_sort(F.collect_list(F.struct("start", "stop", "share"))).alias("terms"))
-    hits = checkpointed(hits)
-    on = rows["doc_id"].eqNullSafe(hits["hit_id"]) & (rows["text_key"] == hits["hit_key"])
-    return join_counted(rows, hits, on, "left").select("doc_id", "text_key", "base", F.coalesce("terms", F.expr("cast(array() AS array<struct<start:int,stop:int,share:double>>)")).alias("terms"))
+    with_base = rows.where("beside IS NOT NULL").select(F.explode(F.array_distinct(F.transform("base", lambda s: s["entity"]))).alias("entity"), "beside")
+    entities = checkpointed(with_base.groupBy("entity").agg(F.count("*").alias("n_entity")))
+    counts = checkpointed(keyed.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")))
+
+    # n_pair <= n_entity, so a term in more rows than this cannot reach the share
+    most = lambda n_entity: 1.01 * F.pow(n_entity, F.lit(GENERALISE)) * float(n) ** (1 - GENERALISE) + 1
+    common = counts.where(F.col("n_term") > most(F.lit(1.0))).withColumnRenamed("n_term", "n_common")
+    pairs = join_counted(with_base, entities, ["entity"], "inner").select("entity", "n_entity", F.explode("beside").alias("term"))
+    pairs = join_counted(pairs, common, ["term"], "left").where(F.col("n_common").isNull() | (F.col("n_common") <= most(F.col("n_entity"))))
+    pairs = pairs.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("n_pair")).join(counts, "term")
+    usual = F.col("n_entity") / n
+    known = (F.col("n_pair") + PRIOR_ROWS * usual) / (F.col("n_term") + PRIOR_ROWS)
+    share = F.log2(known / usual) / F.nullif(-F.log2(usual), F.lit(0.0))
+    disclosing = checkpointed(pairs.withColumn("share", share).where(F.col("share") >= GENERALISE).groupBy("term").agg(F.max("share").alias("share"), F.max("n_term").alias("n_term")))
+
+    n_disclosing, highest = disclosing.agg(F.count("*"), F.coalesce(F.max("n_term"), F.lit(0))).first()
+    words = keyed.select("doc_id", "text_key", F.explode(_words(F.col("text"))).alias("term"))
+    if n_disclosing > MAX_BROADCAST_ROWS:  # fewer words to shuffle
+        words = join_counted(words, common.where(F.col("n_common") > highest).select("term"), ["term"], "left_anti")
+    hits = checkpointed(join_counted(words, disclosing.select("term", "share"), ["term"], "inner", n_disclosing).distinct())
+    n_hits = hits.count()
+    hits = hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+    of = lambda df: df["doc_id"].eqNullSafe(F.col("hit_id")) & (df["text_key"] == F.col("hit_key"))
+    places = join_counted(keyed, hits, of(keyed), "inner", n_hits).select("hit_id", "hit_key", _located(F.col("text"), F.col("shares")).alias("terms"))
+    places = checkpointed(places.groupBy("hit_id", "hit_key").agg(F.first("terms").alias("terms")))
+    free = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
+    return join_counted(rows, places, of(rows), "left", n_hits).select("doc_id", "text_key", "base", F.coalesce(free, F.expr("cast(array() AS array<struct<start:int,stop:int,share:double>>)")).alias("terms"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:

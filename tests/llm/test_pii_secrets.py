@@ -158,3 +158,11 @@ def test_content_that_unpacks_to_itself_ends(monkeypatch):
     quine = b"\x1f\x8bquine"
     monkeypatch.setattr(secrets, "_unpacked", lambda blocks: iter((b"".join(blocks),)))
     assert secrets.hidden_spans(base64.b64encode(quine * 3).decode()) == []
+
+
+def test_terms_disclose_anywhere_at_any_count_and_length(spark):
+    far = "weather is fine and mild " * 10
+    docs = [(1, f"Zoë7 李 writes. {far} bob@corp.com"), (2, "who is zoë7 and 李"), (3, "İki 10.0.0.1"), *((10 + i, far) for i in range(60))]
+    more = spark.createDataFrame([*docs, *((1000 + i, far) for i in range(3000))], "doc_id long, text string")
+    got = {r["doc_id"]: [dict(docs).get(r["doc_id"], far)[t["start"] : t["stop"]] for t in r["terms"]] for r in pii.find_pii(more).collect()}
+    assert got[1] == ["Zoë7", "李", "writes"] and got[2] == ["zoë7", "李"] and got[1000] == []
