@@ -29,10 +29,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root}/stream-{uuid.uuid4().hex}"
 
 
-def events_stream(spark: SparkSession, sf_dir: str, files_a_batch: int = 100) -> DataFrame:
-    """The events table as a stream of call begins."""
+def events_stream(spark: SparkSession, sf_dir: str, files_a_batch: int | None = None) -> DataFrame:
+    """The events table as a stream of call begins; by default one batch, so that no row is late whatever the files' order."""
     schema = table(spark, sf_dir, "events").schema
-    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(f"{sf_dir}/[e]vents.parquet")  # as a pattern, it may be a file or a folder
+    reader = spark.readStream.schema(schema)
+    reader = reader if files_a_batch is None else reader.option("maxFilesPerTrigger", files_a_batch)
+    e = reader.parquet(f"{sf_dir}/[e]vents.parquet")  # as a pattern, it may be a file or a folder
     return e.select("event_id", c("ts").cast("timestamp").alias("at"), "user_id", "event_type", "value")
 
 
@@ -59,14 +61,13 @@ def anchored_alerts(events: DataFrame, length_s: int, limit: int) -> DataFrame:
             return
         begin, n = state.get if state.exists else (None, 0)
         out = []
-        for rows in batches:
-            for at in rows["at"].sort_values():
-                t = int(at.value // 1000)
-                begin, n = (t, 1) if begin is None else (begin, n + 1)
-                if t > begin + length_s * S:
-                    if n >= limit:
-                        out.append((key[0], begin, t, n))
-                    begin, n = None, 0
+        for at in pd.concat([rows["at"] for rows in batches]).sort_values():  # a key's rows come in several frames
+            t = int(at.value // 1000)
+            begin, n = (t, 1) if begin is None else (begin, n + 1)
+            if t > begin + length_s * S:
+                if n >= limit:
+                    out.append((key[0], begin, t, n))
+                begin, n = None, 0
         if begin is None:
             state.remove()
         else:

@@ -1,5 +1,8 @@
 import datetime
+import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tallyline.streaming import jobs
@@ -40,3 +43,22 @@ def test_requests_with_and_without_an_answer(spark, tmp_path):
     q, r = (stream(spark, tmp_path).where(F.col("event_type") == k) for k in ("request", "response"))
     got = {(x["request_id"], x["response_id"]) for x in jobs.drain(jobs.answered(q, r), f"{tmp_path}-out").collect()}
     assert {(1, 2), (3, None)} <= got
+
+
+def test_queries_keep_every_row_of_many_unordered_files(spark, tmp_path):
+    import duckdb
+
+    n = 110
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for k in range(n):  # newest first
+        rows = [{"event_id": 10 * k + i, "ts": at(300 * (n - k) + i), "user_id": i % 2, "event_type": "a", "value": 1.0} for i in range(3)]
+        pq.write_table(pa.Table.from_pylist(rows), folder / f"{k:03}.parquet")
+        os.utime(folder / f"{k:03}.parquet", (1_700_000_000 + k,) * 2)
+    db = duckdb.connect()
+    db.execute("SET TimeZone='UTC'")
+    db.execute(f"CREATE VIEW events AS SELECT * REPLACE (CAST(ts AS TIMESTAMP) AS ts) FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("stream_quarter_counts", "dedup_within_watermark"):
+        want = sorted(db.execute(jobs.ORACLE_SQL[name]).fetchall())
+        assert sorted(map(tuple, jobs.QUERIES[name](spark, str(tmp_path)).collect())) == want
+    assert len(want) == 3 * n
