@@ -37,6 +37,32 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str] | Column, how:
     return left.join(F.broadcast(right) if rows <= MAX_BROADCAST_ROWS else right.hint("merge"), on, how)
 
 
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def keep_one(docs: DataFrame, ranked: DataFrame) -> DataFrame:
+    """docs with exactly one row of each group; all columns remain.
+
+    ranked has a row for each of docs: doc_id, text_key, group, and order, the least of which stays.
+    Of rows that repeat both id and text any one stays, so only such rows are ever grouped with their text.
+    """
+    ranked = checkpointed(ranked)
+    order = F.struct("order", F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
+    best = checkpointed(ranked.groupBy("group").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1"))
+    many = join_counted(ranked, best, ["group"], "inner").groupBy(F.col("doc_id").alias("_gone_doc"), F.col("text_key").alias("_gone_key"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.d")) & (F.col("text_key") == F.col("best.k"))
+    marks = checkpointed(many.agg(F.first(stays).alias("_stays"), F.count("*").alias("_n")).where("NOT _stays OR _n > 1").drop("_n"))
+    keyed = docs.withColumn("_row_key", text_key())
+    on = keyed["doc_id"].eqNullSafe(marks["_gone_doc"]) & (keyed["_row_key"] == marks["_gone_key"])
+    once = join_counted(keyed, marks, on, "left_anti").select(docs.columns)
+    again = marks.where("_stays")
+    if not again.count():
+        return once
+    repeated = join_counted(keyed, again, on, "left_semi").dropDuplicates(["doc_id", "_row_key"])
+    return once.unionByName(repeated.select(docs.columns))
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of the id as text, which deals rows into folds; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import MAX_BROADCAST_ROWS, checkpointed, join_counted, table
+from tallyline.llm.common import checkpointed, join_counted, keep_one, table, text_key
 
 #: Characters of the normalised text that the second step hashes.
 PREFIX_CHARS = 256
@@ -64,10 +64,9 @@ def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, with_digest:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose equal stays elsewhere; all columns remain."""
-    gone = checkpointed(exact_groups(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone_id")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_ROWS else gone
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    """docs with one row of each text, the one that exact_groups keeps; all columns remain."""
+    code_points = F.length(F.coalesce(F.col("text"), F.lit("")))
+    return keep_one(docs, docs.select("doc_id", text_key().alias("text_key"), _digest(normalised(F.col("text"))).alias("group"), (-code_points).alias("order")))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

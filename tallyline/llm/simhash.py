@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import MAX_BROADCAST_ROWS, checkpointed, table
+from tallyline.llm.common import checkpointed, keep_one, table, text_key
 
 #: The contract's 3-word shingles and 3 bits; hash seed; further references that only discard.
 SHINGLE, RADIUS, SEED, EXTRA_PIVOTS = 3, 3, 42, 8
@@ -55,13 +55,13 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *more: Column) -> DataFrame:
     """doc_id and fp (the fingerprint's 64 bits as a long)."""
 
     def scan(texts: pa.Array) -> pa.Array:
         return pa.array(np.fromiter((fingerprint(t, shingle) for t in texts.cast(pa.binary()).to_pylist()), np.uint64, len(texts)).view(np.int64))
 
-    return docs.select("doc_id", F.arrow_udf(scan, "bigint")("text").alias("fp"))
+    return docs.select("doc_id", *more, F.arrow_udf(scan, "bigint")("text").alias("fp"))
 
 
 def extra_pivots(n: int = EXTRA_PIVOTS) -> list[int]:
@@ -167,21 +167,23 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int =
     row in the search. Only ids and fingerprints are moved, never texts.
     """
     rows = checkpointed(fingerprints(docs, shingle))
+    return rows.join(labels(rows, radius), "fp").select("doc_id", "fp", "component_id")
+
+
+def labels(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, component_id and component, the fingerprint that stands for all that links reach, of rows (doc_id, fp)."""
     nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = components(links(nodes, radius))
     members = found.join(nodes, found["node"] == nodes["fp"]).select("fp", "root", "rep")
     smallest = members.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = checkpointed(members.join(smallest, "root").select("fp", "component_id"))
-    label = checkpointed(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")))
-    return rows.join(label, "fp").select("doc_id", "fp", "component_id")
+    linked = checkpointed(members.join(smallest, "root").select("fp", "component_id", "root"))
+    return checkpointed(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("root", "fp").alias("component")))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each group, the one of the smallest doc_id; all columns remain."""
-    groups = near_duplicate_groups(docs, shingle, radius)
-    gone = checkpointed(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_ROWS else gone
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    """docs with one row of each group, one of the smallest doc_id; all columns remain."""
+    rows = checkpointed(fingerprints(docs, shingle, text_key().alias("text_key")))
+    return keep_one(docs, rows.join(labels(rows, radius), "fp").select("doc_id", "text_key", F.col("component").alias("group"), F.lit(0).alias("order")))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

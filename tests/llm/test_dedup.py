@@ -116,3 +116,11 @@ def test_cells_agree_for_all_pairs_in_reach():
     for _ in range(3):
         y ^= np.uint64(1) << draw.integers(0, 64, 500).astype(np.uint64)
     assert (simhash.cells(x) == simhash.cells(y)).any(axis=1).all()
+
+
+def test_drop_decides_by_row(spark):
+    docs = [(1, "same text here now"), (1, "same text here now"), (None, "no id at all"), (None, "no id at all"), (3, "same text here now"), (3, "quite another unique story told"), (None, "lone words of nobody")]
+    want = sorted({(None if d is None else d, t) for d, t in docs if (d, t) != (3, docs[0][1])}, key=str)
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    for drop in (exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates):
+        assert sorted((tuple(r) for r in drop(rows).collect()), key=str) == want
