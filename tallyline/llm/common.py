@@ -37,6 +37,28 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str] | Column, how:
     return left.join(F.broadcast(right) if rows <= MAX_BROADCAST_ROWS else right.hint("merge"), on, how)
 
 
+#: Bits of the table by which possibly_in tells keys apart: for each key, and at most (8 or 16 MB).
+BITS_A_KEY, MOST_BITS = 32, 1 << 27
+
+
+def possibly_in(df: DataFrame, key: str, keys: DataFrame, n: int | None = None) -> DataFrame:
+    """df's rows whose key occurs in `keys` (a column of that name), and by chance a few others: a join can follow.
+
+    The keys set bits of a table that every task gets. Its size is bounded, so with very many keys it passes more of
+    the others, never fewer of those that occur.
+    """
+    n = keys.count() if n is None else n
+    bits = min(MOST_BITS, 1 << max(12, (BITS_A_KEY * n - 1).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    marked = keys.select(F.shiftright(place, 6).alias("word"), F.expr("1L").alias("one"), place.bitwiseAND(63).cast("int").alias("bit"))
+    words = marked.select("word", F.expr("shiftleft(one, bit)").alias("bits")).unionByName(df.sparkSession.range(bits >> 6).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits")))
+    words = words.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    # every word occurs, so a word's place in the sorted array is its number
+    table = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"])).scalar()
+    word = F.get(table, F.shiftright(place, 6).cast("int"))
+    return df.where(F.call_function("shiftrightunsigned", word, place.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
+
+
 def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 

@@ -1,14 +1,17 @@
 import base64
 import bz2
 import gzip
+import math
 import re
 import urllib.parse
 import zlib
+from collections import Counter
 
+import regex
 import zstandard
 from pyspark.sql import functions as F
 
-from tallyline.llm import pii, secrets
+from tallyline.llm import common, pii, secrets
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -166,3 +169,59 @@ def test_terms_disclose_anywhere_at_any_count_and_length(spark):
     more = spark.createDataFrame([*docs, *((1000 + i, far) for i in range(3000))], "doc_id long, text string")
     got = {r["doc_id"]: [dict(docs).get(r["doc_id"], far)[t["start"] : t["stop"]] for t in r["terms"]] for r in pii.find_pii(more).collect()}
     assert got[1] == ["Zoë7", "李", "writes"] and got[2] == ["zoë7", "李"] and got[1000] == []
+
+
+def term_spans_brute(texts):
+    """[[(start, stop, share)]] of the terms of each text by counting every pair."""
+    word = regex.compile("[\\p{L}\\p{M}\\p{N}]+")
+    n, n_term, n_entity, n_pair, tokens = len(texts), Counter(), Counter(), Counter(), []
+    for text in (t or "" for t in texts):
+        base = brute(text)
+        chars = list(text)
+        for a, _, b, _ in base:
+            chars[a:b] = "" * (b - a)
+        tokens.append([(m.start(), m.end(), m[0].lower()) for m in word.finditer("".join(chars)) if "" not in m[0]])
+        n_term.update({m[0].lower() for m in word.finditer(text)})
+        entities = {(k, text[a:b].lower() if k in ("email", "ip") else re.sub("[^0-9]", "", text[a:b])) for a, _, b, k in base}
+        n_entity.update(entities)
+        n_pair.update((e, w) for e in entities for w in {w for _, _, w in tokens[-1]})
+    share = {}
+    for (e, w), k in n_pair.items():
+        usual = n_entity[e] / n
+        if usual < 1:
+            known = (k + pii.PRIOR_ROWS * usual) / (n_term[w] + pii.PRIOR_ROWS)
+            share[w] = max(share.get(w, -9), math.log2(known / usual) / -math.log2(usual))
+    return [[(a, b, round(share[w], 9)) for a, b, w in found if share.get(w, 0) >= pii.GENERALISE] for found in tokens]
+
+
+def test_terms_match_brute_force(spark, plain, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(plain)], "doc_id long, text string")
+    want = term_spans_brute([t for _, t in plain])
+    assert 100 < sum(map(len, want))
+    for most in (None, 0):  # with small sides broadcast, and with every join shuffled
+        if most is not None:
+            monkeypatch.setattr(common, "MAX_BROADCAST_ROWS", most)
+        got = {r["doc_id"]: [(t["start"], t["stop"], round(t["share"], 9)) for t in r["terms"]] for r in pii.find_pii(docs).collect()}
+        assert [got[i] for i in range(len(want))] == want
+
+
+def test_a_text_with_very_many_matches(spark):
+    text = " ".join(f"user{i}@corp{i}.com name{i}" for i in range(50_000))
+    docs = spark.createDataFrame([(1, text), (2, "name7 and others"), (3, "nothing")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find_pii(docs).collect()}
+    assert [(s["start"], s["rank"], s["stop"], s["kind"]) for s in got[1]["base"]] == brute(text)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
+    assert clean[1].count("[EMAIL] ") == 50_000 and clean[3] == "nothing"
+
+
+def test_sanitised_keeps_columns_with_clashing_names(spark):
+    names = ["_base", "row", "span_key", "found", "text_key", "base", "terms", "a.b", "spans"]
+    docs = spark.createDataFrame([(1, "a@b.cc, 1.2.3.4@x.y", *names), (2, None, *names)], ["doc_id", "text", *names])
+    assert [tuple(r) for r in pii.sanitised(docs).orderBy("doc_id").collect()] == [(1, "[EMAIL], [IP]", *names), (2, None, *names)]
+
+
+def test_possibly_in_passes_all_that_occur(spark):
+    keys, rows = spark.range(0, 3000, 3).toDF("k"), spark.range(100_000).toDF("k")
+    passed = {r["k"] for r in common.possibly_in(rows, "k", keys).collect()}
+    assert passed >= set(range(0, 3000, 3)) and len(passed) < 10_000
+    assert common.possibly_in(rows, "k", keys.limit(0)).count() == 0
