@@ -10,127 +10,159 @@ the language that sorts first. Rows with a null lang are not learned from. Other
 from __future__ import annotations
 
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import bounded_sample, checkpointed, crc_of_id, table
+from tallyline.llm.common import checkpointed, crc_of_id, join_counted, table
 
-#: At most so many documents of each language are read to fit, and so many languages are told apart.
-FIT_ROWS_A_LANGUAGE, LANGUAGES = 4000, 200
-#: Words and n-grams that a language keeps; together they bound the model that tasks receive.
-WORDS_A_LANGUAGE, GRAMS_A_LANGUAGE, LONGEST = 40_000, 40_000, 4
-#: Unseen words that a task remembers.
-REMEMBERED = 200_000
+#: At most so many documents of each language are read to fit; every language that has any is learned.
+FIT_ROWS_A_LANGUAGE = 4000
+#: The most frequent words and n-grams that a language keeps, and all languages together, each an equal part of these.
+ENTRIES_A_LANGUAGE, MODEL_ENTRIES, LONGEST = 40_000, 2_000_000, 4
+#: Numbers that a task holds for unseen words, one for each language and word; and words added up at once.
+REMEMBERED_NUMBERS, WORDS_AT_ONCE = 4_000_000, 50_000
 
 WORD = r"\p{L}+"
 _RESULT = "struct<lang_pred:string,score:double>"
 
 
-def _top(counts: DataFrame, n: int, langs: list[str]) -> list:
-    """The n most frequent keys of each language, collected: their number is bounded."""
-    parts = [counts.where(F.col("lang") == k).orderBy(F.desc("n"), "key").limit(n) for k in langs]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.collect()
+def sample(docs: DataFrame, may_learn: Column, rows_a_language: int) -> DataFrame:
+    """(doc_id, lang): at most rows_a_language documents of each language, those with the smallest hashes of their ids.
+
+    Only rows whose hash falls in their language's share, and half as much again, leave their tasks.
+    """
+    parts = 1 << 30
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & may_learn).select("doc_id", "lang")
+    sizes = checkpointed(known.groupBy("lang").agg(F.count("*").alias("total")))
+    share = F.when(F.col("total") <= 2 * rows_a_language, parts).otherwise(F.floor(1.5 * parts * rows_a_language / F.col("total")) + 1)
+    near = join_counted(known, sizes, ["lang"], "inner").where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < share)
+    order = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return near.withColumn("order", order).where(F.col("order") <= rows_a_language).select("doc_id", "lang").distinct()
+
+
+def _top(counts: DataFrame, n: int) -> pa.Table:
+    """lang, key, n of the n most frequent keys of each language; counts come from the bounded sample."""
+    order = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "key"))
+    return counts.withColumn("order", order).where(F.col("order") <= n).select("lang", "key", "n").toArrow().sort_by([("key", "ascending"), ("lang", "ascending")])
 
 
-def fit(docs: DataFrame, may_learn: Column, rows_a_language: int = FIT_ROWS_A_LANGUAGE) -> dict | None:
+def fit(docs: DataFrame, may_learn: Column, rows_a_language: int = FIT_ROWS_A_LANGUAGE, model_entries: int = MODEL_ENTRIES) -> dict | None:
     """Log frequencies of words and n-grams by language, from a bounded sample of documents counted by Spark."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & may_learn).select("doc_id", "lang")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    langs = sorted(sizes)
-    if not langs:
+    chosen = checkpointed(sample(docs, may_learn, rows_a_language))
+    n_langs = chosen.select("lang").distinct().count()
+    if not n_langs:
         return None
-    chosen = None
-    for k in langs:
-        part = bounded_sample(known.where(F.col("lang") == k), "doc_id", rows_a_language, sizes[k])
-        chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = F.broadcast(checkpointed(chosen.distinct()))
-    words = docs.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0)).alias("key"))
+    entries = max(1, min(ENTRIES_A_LANGUAGE, model_entries // n_langs))
+    texts = join_counted(docs.select("doc_id", "lang", "text"), chosen, ["doc_id", "lang"], "left_semi")
+    words = texts.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0)).alias("key"))
     words = checkpointed(words.groupBy("lang", "key").agg(F.count("*").alias("n")))
     padded = F.concat(F.lit("^"), F.col("key"), F.lit("$"))
-    grams = None
-    for size in range(1, LONGEST + 1):
+
+    def of_size(size: int) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - size + 1))
-        part = words.select("lang", "n", F.explode(F.transform(at, lambda i, s=size: F.substring(padded, i, F.lit(s)))).alias("key"))
-        grams = part if grams is None else grams.unionByName(part)
+        return F.transform(at, lambda i: F.substring(padded, i, F.lit(size)))
+
+    grams = words.select("lang", "n", F.explode(F.concat(*map(of_size, range(1, LONGEST + 1)))).alias("key"))
     grams = grams.groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    top_words, top_grams = _top(words, WORDS_A_LANGUAGE, langs), _top(grams, GRAMS_A_LANGUAGE, langs)
-    langs = sorted({r["lang"] for r in top_words})  # those with any word
+    top_words, top_grams = _top(words, entries), _top(grams, entries)
+    langs = sorted(set(top_words["lang"].to_pylist()))  # those with any word
     return {"langs": langs, "words": _table(top_words, langs), "grams": _table(top_grams, langs)} if langs else None
 
 
-def _table(rows: list, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """key -> row, and for each row the log frequency in each language.
+class Table(NamedTuple):
+    """Gains of keys: those of the i-th key are gain[at[i]:at[i + 1]], in the languages lang[at[i]:at[i + 1]]."""
+
+    keys: list
+    at: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray
 
-    What a language lacks has half a count of the largest language in every one, so that little text is no advantage.
+    def sums(self, rows: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+        """The gains of rows, each so many times, by language."""
+        first, size = self.at[rows], self.at[rows + 1] - self.at[rows]
+        place = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.lang[place], self.gain[place] * np.repeat(times, size), n)
+
+
+def _table(rows: pa.Table, langs: list[str]) -> Table:
+    """What a key's log frequency in a language exceeds that of an absent key by.
+
+    An absent key has half a count of the largest language in every one, so that little text is no advantage.
     """
-    at = {k: i for i, k in enumerate(langs)}
-    index: dict[str, int] = {}
-    for r in rows:
-        index.setdefault(r["key"], len(index))
-    counts = np.zeros((len(index), len(langs)))
-    for r in rows:
-        counts[index[r["key"]], at[r["lang"]]] = r["n"]
-    total = np.maximum(counts.sum(0), 1)
-    return index, np.log(np.where(counts > 0, counts / total, 0.5 / total.max())).astype(np.float32)
+    keys = rows["key"].to_pylist()
+    lang = np.searchsorted(np.array(langs, object), np.array(rows["lang"].to_pylist(), object)).astype(np.int32)
+    count = rows["n"].to_numpy().astype(np.float64)
+    total = np.maximum(np.bincount(lang, count, len(langs)), 1)
+    first = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+    gain = np.log(count / total[lang]) - np.log(0.5 / total.max())
+    return Table([keys[i] for i in first], np.array([*first, len(keys)], np.int64), lang, gain)
 
 
 class Scorer:
-    """Log frequencies of words by language; remembers a bounded number of unseen ones."""
+    """Gains of words by language; remembers a bounded number of unseen ones."""
 
     def __init__(self, model: dict):
         self.langs = model["langs"]
-        words, known = model["words"]
-        self.grams, self.gram_scores = model["grams"]
-        self.least = self.gram_scores.min(0) if len(self.gram_scores) else np.zeros(len(self.langs), np.float32)
-        self.first = dict(words)
-        self.scores = np.zeros((len(known) + REMEMBERED, len(self.langs)), np.float32)
-        self.scores[: len(known)] = known
-        self.n_known, self.unseen = len(known), {}
+        self.words, self.grams = model["words"], model["grams"]
+        self.word_row = {k: i for i, k in enumerate(self.words.keys)}
+        self.gram_row = {k: i for i, k in enumerate(self.grams.keys)}
+        self.room = max(1000, REMEMBERED_NUMBERS // len(self.langs))
+        self.unseen, self.kept = {}, np.zeros((self.room, len(self.langs)), np.float32)
 
     def backed_off(self, word: str) -> np.ndarray:
-        """Mean score of the n-grams of an unseen word, each the longest known ending of LONGEST characters."""
-        padded, rows, missing = f"^{word}$", [], 0
+        """Mean gains of the n-grams of an unseen word, each the longest known ending of LONGEST characters."""
+        padded, rows, get = f"^{word}$", [], self.gram_row.get
         for end in range(1, len(padded) + 1):
             for start in range(max(0, end - LONGEST), end):
-                row = self.grams.get(padded[start:end])
+                row = get(padded[start:end])
                 if row is not None:
                     rows.append(row)
                     break
-            else:
-                missing += 1
-        total = self.gram_scores[rows].sum(0) if rows else np.zeros(len(self.langs), np.float32)
-        return (total + missing * self.least) / len(padded)
+        if not rows:
+            return np.zeros(len(self.langs))
+        return self.grams.sums(np.array(rows), np.ones(len(rows)), len(self.langs)) / len(padded)
 
-    def row(self, word: str) -> int:
-        i = self.first.get(word)
+    def unseen_row(self, word: str) -> int:
+        i = self.unseen.get(word)
         if i is None:
-            i = self.unseen.get(word)
-            if i is None:
-                if len(self.unseen) >= REMEMBERED:
-                    self.unseen.clear()
-                i = self.unseen[word] = self.n_known + len(self.unseen)
-                self.scores[i] = self.backed_off(word)
+            i = self.unseen[word] = len(self.unseen)
+            self.kept[i] = self.backed_off(word)
         return i
 
+    def totals(self, items: list[tuple[str, int]]) -> np.ndarray:
+        """The gains of words with their counts."""
+        total, known, times = np.zeros(len(self.langs)), [], []
+        new, new_times = [], []
+        for word, n in items:
+            i = self.word_row.get(word)
+            if i is not None:
+                known.append(i)
+                times.append(n)
+            else:
+                new.append(word)
+                new_times.append(n)
+        if known:
+            total += self.words.sums(np.array(known), np.array(times, np.float64), len(self.langs))
+        for at in range(0, len(new), self.room):  # rows stay valid while they are added up
+            part = new[at : at + self.room]
+            if len(self.unseen) + len(part) > self.room:
+                self.unseen.clear()
+            total += np.array(new_times[at : at + self.room], np.float64) @ self.kept[[self.unseen_row(w) for w in part]]
+        return total
+
     def predict(self, text: str | None) -> tuple[str, float]:
         words = Counter(_words(text.lower())) if text else None
         if not words:
             return "und", 0.0
-        total = np.zeros(len(self.langs))
-        items = list(words.items())
-        for at in range(0, len(items), REMEMBERED // 2):  # rows stay valid while they are added up
-            part = items[at : at + REMEMBERED // 2]
-            if len(self.unseen) + len(part) > REMEMBERED:
-                self.unseen.clear()
-            rows = [self.row(w) for w, _ in part]
-            total += np.array([n for _, n in part], np.float64) @ self.scores[rows]
+        items, total = list(words.items()), np.zeros(len(self.langs))
+        for at in range(0, len(items), WORDS_AT_ONCE):
+            total += self.totals(items[at : at + WORDS_AT_ONCE])
         z = total / np.sqrt(sum(words.values()))
         p = np.exp(z - z.max())
         best = int(np.argmax(total))
