@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import checkpointed, join_counted, keep_one, table, text_key
+from tallyline.llm.common import checkpointed, join_counted, keep_one, possibly_in, table, text_key
 
 #: Characters of the normalised text that the second step hashes.
 PREFIX_CHARS = 256
@@ -25,48 +25,61 @@ def _digest(norm: Column) -> Column:
     return F.unhex(F.sha2(norm, 256))
 
 
+def _measured(docs: DataFrame, prefix_chars: int) -> DataFrame:
+    """doc_id, text_key, cp (code points of the text), norm, len and head (hash of norm's beginning)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", text_key().alias("text_key"), F.length(text).alias("cp"), normalised(text).alias("norm"))
+    return rows.select("*", F.length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("head"))
+
+
+def _shared(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """The keys that more than one row has, and how many there are; rows are counted before the shuffle."""
+    out = checkpointed(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    return out, out.count()
+
+
+def refined(docs: DataFrame, prefix_chars: int = PREFIX_CHARS) -> tuple[DataFrame, DataFrame, int]:
+    """The rows that length and prefix hash don't tell apart, with their full hash, and the keys (len, head) they share.
+
+    Each step reads only what the one before left: lengths of all rows; the prefix hash where a length is shared; the
+    full hash, from a new scan, where length and prefix hash are. What is written and shuffled are numbers and, for
+    the last rows, digests. Text itself is never grouped or sorted.
+    """
+    rows = _measured(docs, prefix_chars)
+    lengths, n_lengths = _shared(rows.select("len"), ["len"])
+    heads, n_heads = _shared(join_counted(rows.select("len", "head"), lengths, ["len"], "left_semi", n_lengths), ["len", "head"])
+    near = possibly_in(rows, "head", heads.select("head"), n_heads)  # so that no text is joined, only digests
+    left = near.select("doc_id", "text_key", "cp", "len", "head", _digest(F.col("norm")).alias("digest"))
+    return checkpointed(join_counted(left, heads, ["len", "head"], "left_semi", n_heads)), heads, n_heads
+
+
 def exact_groups(docs: DataFrame, prefix_chars: int = PREFIX_CHARS, with_digest: bool = False) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept and, if asked for, digest (binary SHA-256).
 
-    Of equal texts the one with the most code points in its original form stays, then the smallest doc_id.
-
-    The first scan takes only numbers from each text. Rows are counted by (length, prefix hash), which is both of the
-    first steps in one pre-aggregated shuffle; a row that is alone there is settled. Only the rest is read again and
-    hashed whole. With with_digest the caller wants every text's digest, so the first scan makes it and nothing is
-    read twice. Text itself is never grouped or sorted; a group of any size is counted before the shuffle, and the
-    join that tells rows their group is one whose large partitions adaptive execution splits.
+    Of equal texts the one with the most code points in its original form stays, then the smallest doc_id. Rows that a
+    step of refined() settles are alone in their group; a digest that the caller wants of them is made in the scan that
+    returns them. A group of any size is counted before the shuffle, and the join that tells rows their group is one
+    whose large partitions adaptive execution splits.
     """
-    norm = normalised(F.col("text"))
-    numbers = [
-        F.col("doc_id"),
-        F.length(F.coalesce(F.col("text"), F.lit(""))).alias("cp"),
-        F.length(norm).alias("len"),
-        F.xxhash64(F.substring(norm, 1, prefix_chars)).alias("head"),
-    ]
-    digest = _digest(norm).alias("digest")
-    rows = checkpointed(docs.select(*numbers, *([digest] if with_digest else [])))
-    shared = checkpointed(rows.groupBy("len", "head").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-    n_shared = shared.count()
-    alone = join_counted(rows, shared, ["len", "head"], "left_anti", n_shared)
-    if with_digest:
-        again = join_counted(rows, shared, ["len", "head"], "left_semi", n_shared)
-    else:
-        wanted = docs.select(*numbers, norm.alias("norm"))
-        again = join_counted(wanted, shared, ["len", "head"], "left_semi", n_shared).withColumn("digest", _digest(F.col("norm"))).drop("norm")
-        again = checkpointed(again)
+    left, heads, n_heads = refined(docs, prefix_chars)
     best = F.min(F.struct((-F.col("cp")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d")))
-    groups = again.groupBy("len", "digest").agg(best.alias("best"), F.count("*").alias("group_size"))
+    groups = left.groupBy("len", "digest").agg(best.alias("best"), F.count("*").alias("group_size"))
     groups = checkpointed(groups.select("len", "digest", F.col("best.d").alias("keep_id"), "group_size"))
-    members = join_counted(again, groups, ["len", "digest"], "inner")
+    members = join_counted(left, groups, ["len", "digest"], "inner")
+    alone = _measured(docs, prefix_chars).select("doc_id", "len", "head", _digest(F.col("norm")).alias("digest"))
+    alone = join_counted(alone, heads, ["len", "head"], "left_anti", n_heads).withColumn("keep_id", F.col("doc_id")).withColumn("group_size", F.lit(1).cast("long"))
     out = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), *(["digest"] if with_digest else [])]
-    single = alone.withColumn("keep_id", F.col("doc_id")).withColumn("group_size", F.lit(1).cast("long"))
-    return single.select(*out).unionByName(members.select(*out))
+    return alone.select(*out).unionByName(members.select(*out))
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each text, the one that exact_groups keeps; all columns remain."""
-    code_points = F.length(F.coalesce(F.col("text"), F.lit("")))
-    return keep_one(docs, docs.select("doc_id", text_key().alias("text_key"), _digest(normalised(F.col("text"))).alias("group"), (-code_points).alias("order")))
+    """docs with one row of each text, the one that exact_groups keeps; all columns remain.
+
+    Null and blank texts are equal to each other, so one of them stays. Of rows that repeat doc_id and text one stays,
+    also with a null doc_id; a doc_id with two texts is decided for each of them. An empty table stays empty.
+    """
+    left, _, _ = refined(docs)
+    return keep_one(docs, left.select("doc_id", "text_key", F.col("digest").alias("group"), (-F.col("cp")).alias("order")))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
