@@ -1,12 +1,18 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line that holds words. A logistic regression for each licence family over sparse word one- and
-two-grams, trained here on the templates below and on paragraphs without licence words, gives the family, or unknown if
-no calibrated probability reaches 0.5. A prediction stands only if the paragraph and a template of the family share
-their five-word shingles to 0.8 or more, measured on the shorter of the two.
+A paragraph is a line that holds words, or a run of lines that wrap one notice. A softmax regression over sparse word
+one- and two-grams tells the licence families and the class unknown apart; it is trained here on variants of the
+templates below, on licence words in other company and on paragraphs without licence words. Its scale and the score of
+unknown are calibrated on examples that the weights have not seen. A prediction of at least SURE stands only if the
+paragraph and a template of the family share their five-word shingles to 0.8 or more, measured on the shorter of the
+two, and no other family's template is nearer.
+
+A run is made of neighbouring lines half of whose two-grams licences have. If its lines, each for itself, don't name
+different families, and the run as a whole is confirmed, it is one paragraph. Neighbouring lines of one family are too.
 
 Defined cases: null, empty and wordless texts have no paragraphs. Numbers compare as equal, so versions don't matter.
-A paragraph of fewer than five words is one shingle. Repeated paragraphs each count. Other columns are not read.
+A paragraph of fewer than five words is one shingle. Repeated paragraphs each count. Very long texts are read line by
+line. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,11 +26,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import bounded_sample, platt, sigmoid, table
+from tallyline.llm.common import bounded_sample, table
 
 SHINGLE, SIMILAR, SURE = 5, 0.8, 0.5
-#: Variants that training makes of each template, background documents it reads at most, and lines it takes of each.
-VARIANTS, BACKGROUND_ROWS, BACKGROUND_LINES = 24, 400, 4
+#: Variants that training makes of each template; background documents it reads at most, lines of each, and their size.
+VARIANTS, BACKGROUND_ROWS, BACKGROUND_LINES, LINE_CHARS = 24, 400, 4, 1000
+#: Share of known two-grams that makes a line part of a run.
+LIKE = 0.5
 
 # Short notices and characteristic sentences of public licences, by family.
 TEMPLATES = {
@@ -38,10 +46,12 @@ TEMPLATES = {
         "This project is licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     ],
     "gpl": [
@@ -51,7 +61,18 @@ TEMPLATES = {
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "Licensed under the GNU Lesser General Public License v3.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+    ],
+    "agpl": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ],
+    "epl": [
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     ],
     "mpl": [
         "Licensed under the Mozilla Public License, version 2.0.",
@@ -67,7 +88,26 @@ TEMPLATES = {
     "public-domain": ["This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "reserved": ["All rights reserved.", "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher."],
 }
-_CUES = regex.compile(r"(?i)licen[cs]e|copyright|redistribut|warrant|rights? reserved|public domain")
+# The public short identifiers of each family.
+IDENTIFIERS = {
+    "apache": ["Apache-2.0"],
+    "mit": ["MIT"],
+    "bsd": ["BSD-2-Clause", "BSD-3-Clause"],
+    "gpl": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"],
+    "lgpl": ["LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later"],
+    "agpl": ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"],
+    "epl": ["EPL-2.0"],
+    "mpl": ["MPL-2.0"],
+    "isc": ["ISC"],
+    "cc-by": ["CC-BY-4.0"],
+    "cc-by-sa": ["CC-BY-SA-4.0"],
+    "cc-by-nc": ["CC-BY-NC-4.0"],
+    "public-domain": ["Unlicense", "CC0-1.0"],
+}
+for _family, _names in IDENTIFIERS.items():
+    TEMPLATES[_family] += [f"SPDX-License-Identifier: {name}" for name in _names]
+
+_CUES_TEXT = "(?i)licen[cs]e|copyright|redistribut|warrant|rights? reserved|public domain"
 _words = regex.compile(r"\p{L}+|\p{N}+").findall
 _FOUND = "array<struct<family:string,start:int,stop:int,probability:double>>"
 
@@ -108,34 +148,64 @@ def _examples(background: list[str]) -> list[tuple[list[str], str]]:
     return out
 
 
-def fit(docs: DataFrame, background_rows: int = BACKGROUND_ROWS) -> dict:
-    """{weights: gram -> family -> weight, bias, a, b}: one regression for each family, against all other examples.
+def background(docs: DataFrame, rows: int = BACKGROUND_ROWS) -> list[str]:
+    """Beginnings of lines without licence words, a few of each of a bounded number of documents."""
+    usable = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\p{L}|\p{N}") & ~x.rlike(_CUES_TEXT))
+    lines = F.transform(F.slice(usable, 1, BACKGROUND_LINES), lambda x: F.substring(x, 1, LINE_CHARS))
+    chosen = bounded_sample(docs.select("doc_id", "text").where(F.col("text").isNotNull()), "doc_id", rows, docs.count())
+    return sorted(line for r in chosen.select(lines.alias("lines")).collect() for line in r["lines"])
 
-    Background paragraphs come from a bounded number of documents, chosen by the hashes of their ids.
-    """
-    rows = bounded_sample(docs.select("doc_id", "text").where(F.col("text").isNotNull()), "doc_id", background_rows, docs.count()).collect()
-    lines = [line for r in sorted(rows, key=lambda r: str(r["doc_id"])) for line in [x for x in r["text"].split("\n") if words_of(x) and not _CUES.search(x)][:BACKGROUND_LINES]]
-    examples = _examples(lines)
+
+def fit(docs: DataFrame, background_rows: int = BACKGROUND_ROWS) -> dict:
+    """{families, index: gram -> row, weights (a column for each family, then unknown), bias, scale, unknown}."""
+    examples = _examples(background(docs, background_rows))
     counts = Counter(g for words, k in examples if k != "unknown" for g in grams(words))
     index = {g: i for i, g in enumerate(sorted(g for g, n in counts.items() if n >= 6))}
-    xs = [[index[g] for g in sorted(grams(words)) if g in index] for words, _ in examples]
-    row, col = np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.array([i for x in xs for i in x], np.int64)
-    norm = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=len(xs))))
     families = sorted(TEMPLATES)
-    test = np.arange(len(xs)) % 3 == 0
-    weights, bias, curves = np.zeros((len(index), len(families))), np.zeros(len(families)), []
-    for f, family in enumerate(families):
-        y = np.array([k == family for _, k in examples], float)
-        share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * ~test
-        w, b = np.zeros(len(index)), 0.0
-        for _ in range(300):
-            miss = share * (sigmoid((np.bincount(row, w[col], len(xs)) * norm) + b) - y)
-            w -= 8 * (np.bincount(col, (miss * norm)[row], len(index)) + 1e-4 * w)
-            b -= 8 * miss.sum()
-        z = np.bincount(row, w[col], len(xs)) * norm + b
-        weights[:, f], bias[f] = w, b
-        curves.append(platt(z[test], y[test]))  # on examples that the weights have not seen
-    return {"families": families, "index": index, "weights": weights, "bias": bias, "curves": np.array(curves)}
+    classes = [*families, "unknown"]
+    x = np.zeros((len(examples), len(index)), np.float32)
+    for i, (words, _) in enumerate(examples):
+        known = [index[g] for g in grams(words) if g in index]
+        x[i, known] = 1 / np.sqrt(max(1, len(known)))
+    y = np.array([classes.index(k) for _, k in examples])
+    test = np.arange(len(y)) % 3 == 0
+    weights, bias = train(x[~test], y[~test], len(classes))
+    scale, unknown = calibrate(x[test] @ weights + bias, y[test])
+    return {"families": families, "index": index, "weights": weights, "bias": bias, "scale": scale, "unknown": unknown}
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(axis=-1, keepdims=True))
+    return p / p.sum(axis=-1, keepdims=True)
+
+
+def _misses(p: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
+    p = p.copy()
+    p[np.arange(len(y)), y] -= 1
+    return p * share[:, None]
+
+
+def train(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 300, step: float = 20.0, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases of a softmax regression in which every class weighs the same."""
+    share = 1 / (classes * np.maximum(1, np.bincount(y, minlength=classes)))[y]
+    w, b = np.zeros((x.shape[1], classes), np.float32), np.zeros(classes)
+    for _ in range(rounds):
+        miss = _misses(softmax(x @ w + b), y, share).astype(np.float32)
+        w -= step * (x.T @ miss + ridge * w)
+        b -= step * miss.sum(axis=0)
+    return w.astype(np.float64), b
+
+
+def calibrate(z: np.ndarray, y: np.ndarray, rounds: int = 500) -> tuple[float, float]:
+    """The scale of all scores and what is added to unknown's, the last class, that fit held-out examples best."""
+    share, scale, unknown = np.full(len(y), 1 / len(y)), 1.0, 0.0
+    last = np.zeros(z.shape[1])
+    last[-1] = 1
+    for _ in range(rounds):
+        miss = _misses(softmax(scale * z + unknown * last), y, share)
+        scale -= 0.05 * float((miss * z).sum())
+        unknown -= 0.5 * float(miss[:, -1].sum())
+    return max(scale, 0.05), unknown
 
 
 class Scanner:
@@ -148,22 +218,55 @@ class Scanner:
         """(family or unknown, calibrated probability)."""
         m = self.model
         known = [m["index"][g] for g in grams(words) if g in m["index"]] if not self.first.isdisjoint(words) else []
-        if not known:  # the biases alone: no licence word at all
+        if not known:  # no word of any licence
             return "unknown", 1.0
-        z = m["weights"][known].sum(0) / np.sqrt(len(known)) + m["bias"]
-        p = sigmoid(m["curves"][:, 0] * z + m["curves"][:, 1])
-        best = int(np.argmax(p))
-        return (m["families"][best], float(p[best])) if p[best] >= SURE else ("unknown", float(1 - p[best]))
+        z = m["scale"] * (m["weights"][known].sum(0) / np.sqrt(len(known)) + m["bias"])
+        z[-1] += m["unknown"]
+        p = softmax(z)
+        best = int(np.argmax(p[:-1]))
+        return (m["families"][best], float(p[best])) if p[best] >= SURE else ("unknown", float(p[-1]))
+
+    def confirmed(self, words: list[str]) -> tuple[str, float] | None:
+        """The prediction for a paragraph, if it is a family whose template it shows."""
+        family, p = self.predict(words)
+        if family == "unknown":
+            return None
+        own = shingles(words)
+        near = {f: max(similarity(own, t) for t in texts) for f, texts in self.templates.items()}
+        return (family, p) if near[family] >= max(SIMILAR, *near.values()) else None
+
+    def is_like(self, words: list[str], follows: bool) -> bool:
+        """Whether a line may be part of a run; a single word only if it follows one."""
+        pairs = [" ".join(g) for g in zip(words, words[1:])] or (words if follows else [])
+        return bool(pairs) and sum(g in self.model["index"] for g in pairs) >= LIKE * len(pairs)
 
     def scan(self, text: str | None) -> list[dict]:
-        found, at = [], 0
+        found, run, at = [], [], 0
         for line in (text or "").split("\n"):
             words = words_of(line)
-            if words:
-                family, p = self.predict(words)
-                if family != "unknown" and max(similarity(shingles(words), t) for t in self.templates[family]) >= SIMILAR:
-                    found.append({"family": family, "start": at, "stop": at + len(line), "probability": p})
+            if words and self.is_like(words, bool(run)):
+                run.append((at, at + len(line), words, self.confirmed(words)))
+            else:
+                found += self.paragraphs(run)
+                run = []
+                if words and (one := self.confirmed(words)):
+                    found.append({"family": one[0], "start": at, "stop": at + len(line), "probability": one[1]})
             at += len(line) + 1
+        return found + self.paragraphs(run)
+
+    def paragraphs(self, run: list[tuple]) -> list[dict]:
+        """The licence paragraphs of a run of lines."""
+        if len(run) > 1 and len({one[0] for *_, one in run if one}) < 2:
+            whole = self.confirmed([w for _, _, words, _ in run for w in words])
+            if whole:
+                return [{"family": whole[0], "start": run[0][0], "stop": run[-1][1], "probability": whole[1]}]
+        found: list[dict] = []
+        for start, stop, _, one in run:
+            if one and found and found[-1]["family"] == one[0] and found[-1]["stop"] == start - 1:
+                found[-1]["stop"] = stop
+                found[-1]["probability"] = max(found[-1]["probability"], one[1])
+            elif one:
+                found.append({"family": one[0], "start": start, "stop": stop, "probability": one[1]})
         return found
 
 

@@ -1,3 +1,7 @@
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +103,108 @@ def test_license_lines_and_edges(spark, edge_docs, no_docs):
     assert [(s["family"], text[s["start"] : s["stop"]]) for s in got] == list(zip(["apache", "mit", "cc-by-nc", "gpl"], lines))
     assert edge_docs.select(F.explode(licenses.find_licenses(model, F.col("text"), spark))).count() == 0
     assert no_docs.select(licenses.find_licenses(licenses.fit(no_docs), F.col("text"), spark)).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    draw = np.random.default_rng(1)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    vocabulary = {f"l{k:03}": ["".join(draw.choice(letters, 6)) for _ in range(12)] for k in range(230)}
+    rows = [(i * 1000 + k, " ".join(draw.choice(words, 10)), lang) for i, (lang, words) in enumerate(vocabulary.items()) for k in range(3 if i else 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, F.lit(True), 400)
+    assert model["langs"] == sorted(vocabulary)
+    scorer = language_id.Scorer(model)
+    assert all(scorer.predict(text)[0] == lang for _, text, lang in rows)
+    assert max(np.bincount(language_id.fit(docs, F.lit(True), model_entries=460)["words"].lang)) <= 2
+
+
+def language_brute(rows, text, langs):
+    """(language, score) by summing the log frequencies of words, or of their n-grams, one by one."""
+    words, grams = {k: Counter() for k in langs}, {k: Counter() for k in langs}
+    for t, lang in rows:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            words[lang][w] += 1
+            for size in range(1, 5):
+                p = f"^{w}$"
+                grams[lang].update(p[i : i + size] for i in range(max(1, len(p) - size + 1)))
+
+    def logs(counts, key):
+        largest = max(sum(c.values()) for c in counts.values())
+        return np.array([math.log(counts[k][key] / sum(counts[k].values())) if counts[k][key] else math.log(0.5 / largest) for k in langs])
+
+    def of(word):
+        if any(words[k][word] for k in langs):
+            return logs(words, word)
+        p = f"^{word}$"
+        ends = [next((p[a:b] for a in range(max(0, b - 4), b) if any(grams[k][p[a:b]] for k in langs)), "") for b in range(1, len(p) + 1)]
+        return sum(logs(grams, g) for g in ends) / len(p)
+
+    found = re.findall(r"[^\W\d_]+", text.lower())
+    total = sum(of(w) for w in found)
+    p = np.exp((total - total.max()) / math.sqrt(len(found)))
+    return langs[int(np.argmax(total))], p.max() / p.sum()
+
+
+def test_language_scores_match_brute_force(spark):
+    rows = [("der schnelle fuchs und der hund", "de"), ("the quick fox and the dog", "en"), ("le renard et le chien", "fr"), ("der fox the hund", "de")]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    scorer = language_id.Scorer(language_id.fit(docs, F.lit(True)))
+    for text in ("the fox", "der hund hunde", "chiens renardeau", "quickly quicker foxes", "xyz", "le the der fox foxy et undone"):
+        lang, score = scorer.predict(text)
+        want = language_brute(rows, text, scorer.langs)
+        assert lang == want[0] and score == pytest.approx(want[1], abs=1e-4)
+
+
+@pytest.fixture(scope="module")
+def licence_scanner(spark):
+    lines = ["the cat sat on the mat today", "somebody writes about weather", "numbers like 12 and 13 occur", "the terms of the contract were not known to the public"]
+    docs = spark.createDataFrame([(i, "\n".join(lines[i % 2 :])) for i in range(40)], "doc_id long, text string")
+    return licenses.Scanner(licenses.fit(docs))
+
+
+def test_licence_families_and_identifiers(licence_scanner):
+    agpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    bsd3 = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    cases = {
+        agpl: "agpl",
+        agpl.replace("Affero ", ""): "gpl",
+        agpl.replace("Affero", "Lesser").replace("program", "library"): "lgpl",
+        bsd3: "bsd",
+        "SPDX-License-Identifier: MIT": "mit",
+        "// SPDX-License-Identifier: GPL-3.0-or-later": "gpl",
+        "# SPDX-License-Identifier: AGPL-3.0-only": "agpl",
+        "SPDX-License-Identifier: CC-BY-SA-4.0": "cc-by-sa",
+        "Licensed under the GNU Lesser General Public License v3": "lgpl",
+        "Licensed under the Eclipse Public License, version 1.0": "epl",
+    }
+    for text, family in cases.items():
+        assert [f["family"] for f in licence_scanner.scan(text)] == [family], text
+    for text in ("I have a driving license and a copyright question.", "the software of the public is free", "terms of the general contract", "MIT is in Cambridge"):
+        assert licence_scanner.scan(text) == []
+
+
+def test_wrapped_notices_are_one_paragraph(licence_scanner):
+    notice = licenses.TEMPLATES["mit"][2]
+    words = notice.split()
+    wrapped = "\n".join(" * " + " ".join(words[i : i + 7]) for i in range(0, len(words), 7))
+    text = f"some code here\n{wrapped}\nint main() and so on\n\nAll rights reserved."
+    found = licence_scanner.scan(text)
+    assert [f["family"] for f in found] == ["mit", "reserved"] and text[found[0]["start"] : found[0]["stop"]] == wrapped
+
+
+def test_unknown_is_calibrated_and_templates_confirm(licence_scanner):
+    """Scores of a softmax by hand, and shares of shingles counted one by one."""
+    m = licence_scanner.model
+    for text in ("Released under the MIT License.", "somebody writes under the license of the poet", "permission to use"):
+        words = licenses.words_of(text)
+        known = {g for g in [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))] if g in m["index"]}
+        z = [m["scale"] * (sum(m["weights"][m["index"][g]][k] for g in known) / math.sqrt(len(known)) + m["bias"][k]) + (m["unknown"] if k == len(m["families"]) else 0) for k in range(len(m["families"]) + 1)]
+        p = [math.exp(v) / sum(map(math.exp, z)) for v in z]
+        best = max(range(len(m["families"])), key=lambda k: p[k])
+        want = (m["families"][best], p[best]) if p[best] >= 0.5 else ("unknown", p[-1])
+        got = licence_scanner.predict(words)
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-6)
+    rng = np.random.default_rng(0)
+    noise = [" ".join(rng.choice(["the", "of", "software", "license", "free", "terms", "copy", "public", "cat", "house"], 12)) for _ in range(200)]
+    assert np.mean([licence_scanner.predict(licenses.words_of(t))[0] == "unknown" for t in noise]) >= 0.9
+    assert all(licence_scanner.scan(t) == [] for t in noise)
