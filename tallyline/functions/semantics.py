@@ -68,12 +68,12 @@ def like(a: Column, pattern: str) -> Column:
     if head and tail:
         return known(text.contains(body))
     wild = "".join("." if ch == "_" else re.escape(ch) for ch in body)
-    return known(text.rlike(f"(?s){'' if head else '^'}{wild}{'' if tail else '$'}"))
+    return known(text.rlike(f"(?s){'' if head else '^'}{wild}{'' if tail else '\\z'}"))
 
 
 def divide_int(a: Column, b: Column) -> Column:
-    """Whole division of numbers of one type, 0 by zero."""
-    return F.when(b == 0, F.lit(0)).otherwise(F.try_divide(a - F.pmod(a, F.nullif(b, F.lit(0))), F.nullif(b, F.lit(0))).cast("bigint"))
+    """Whole division towards zero, exact for all of bigint; 0 by zero."""
+    return F.when(b == 0, F.lit(0)).otherwise(F.call_function("div", a, F.nullif(b, F.lit(0))))
 
 
 def divide_float(a: Column, b: Column) -> Column:

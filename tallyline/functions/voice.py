@@ -52,18 +52,29 @@ def loss_and_burst(histogram: Column, received: Column) -> tuple[Column, Column]
     return share, ratio
 
 
-def normalize_number(number: Column, skip: list[str], international: list[str], local_country: str, minimum: int = 9) -> Column:
-    """Without the longest skip prefix and international prefix; a local number gets its country before it."""
+def normalize_number(number: Column, skip: list[str], international: list[str], local_country: str, minimum: int = 9, rounds: int = 3, exclude: list[str] = ()) -> Column:
+    """Without skip prefixes, the longest that fits, up to `rounds` times, and without the international prefix; a local
+    number gets its country before it. A number that begins with an excluded prefix stays as it is.
+    """
+    without = lambda n, p: F.substring(n, len(p) + 1, 64)
+
+    def once(n: Column) -> Column:
+        out = n
+        for p in sorted(skip, key=len):  # the last, longest one decides
+            out = F.when(n.startswith(p), without(n, p)).otherwise(out)
+        return out
+
     out = number
-    for p in sorted(skip, key=len, reverse=True)[:1]:
-        out = F.when(out.startswith(p), F.substring(out, len(p) + 1, 64)).otherwise(out)
-    foreign = F.lit(False)
-    bare = out
+    for _ in range(rounds if skip else 0):
+        out = once(out)
+    foreign, bare, stays = F.lit(False), out, F.lit(False)
     for p in sorted(international, key=len):
         foreign |= out.startswith(p)
-        bare = F.when(out.startswith(p), F.substring(out, len(p) + 1, 64)).otherwise(bare)
+        bare = F.when(out.startswith(p), without(out, p)).otherwise(bare)
+    for p in exclude:
+        stays |= number.startswith(p)
     digits = F.regexp_replace(bare, r"^[0+]+", "")
-    return F.when(foreign | (F.length(digits) >= minimum), digits).otherwise(F.concat(F.lit(local_country), digits))
+    return F.when(stays, number).when(foreign | (F.length(digits) >= minimum), digits).otherwise(F.concat(F.lit(local_country), digits))
 
 
 def normalize_response(text: Column) -> Column:

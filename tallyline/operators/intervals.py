@@ -82,9 +82,9 @@ def overlap(calls: DataFrame) -> DataFrame:
 
 
 def minutes_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connected minutes inside each quarter of an hour, and all minutes of calls that touch it."""
+    """Connected minutes inside each quarter of an hour, and all connected minutes of every call that touches it."""
     q = overlap(quarters(cdr(spark, sf_dir).where("connect_us IS NOT NULL")))
-    return q.groupBy("sensor_id", "bucket").agg(r6(F.sum("overlap_us") / (60 * S)).alias("minutes"), r6(F.sum(F.when(F.col("first"), F.col("connect_us"))) / (60 * S)).alias("minutes_all"))
+    return q.groupBy("sensor_id", "bucket").agg(r6(F.sum("overlap_us") / (60 * S)).alias("minutes"), r6(F.sum("connect_us") / (60 * S)).alias("minutes_all"))
 
 
 def occupancy(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,15 +120,34 @@ def value_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("bucket").agg(F.count("*").alias("n"), r6(F.sum("dur_us") / S).alias("v_sum"), r6(F.min(v)).alias("v_min"), r6(F.max(v)).alias("v_max"), r6(F.sum("dur_us") / F.count("*") / S).alias("v_avg"))
 
 
-def nearest_rank(rows: DataFrame, keys: list[str], value: str, percents: list[int], descending: bool = False, prefix: str = "perc") -> DataFrame:
+def counted_to(counted: DataFrame, keys: list[str], value: str, parts: int = 64) -> DataFrame:
+    """Adds _to, the sum of _n over values up to the row's, and _all, for groups that may be large.
+
+    Approximate quantiles cut a group into blocks of values; sums within the blocks run in parallel, and what comes
+    before a block is a prefix sum over the few block totals. So the sums are exact whatever the cuts are.
+    """
+    cuts = counted.groupBy(*keys).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
+    rows = counted.join(cuts, keys).withColumn("_block", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+    inner = W.partitionBy(*keys, "_block").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    blocks = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_block").agg(F.sum("_n").alias("_sum"))
+    totals = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(blocks), F.lit(0))).withColumn("_all", F.sum("_sum").over(W.partitionBy(*keys)))
+    return rows.withColumn("_to", F.sum("_n").over(inner)).join(totals.drop("_sum"), [*keys, "_block"]).withColumn("_to", F.col("_to") + F.col("_before")).drop("_block", "_before")
+
+
+def nearest_rank(rows: DataFrame, keys: list[str], value: str, percents: list[int], descending: bool = False, prefix: str = "perc", large: bool = False) -> DataFrame:
     """Nearest-rank percentiles: 0-based index least(round(n p / 100), n - 1) of the sorted values, or of the reverse.
 
-    Equal values are counted first, so what is sorted in a group is its distinct values; float32 keys merge values as
-    the stored histograms do.
+    Equal values are counted first, so what is sorted in a group is its distinct values; with `large`, in blocks.
     """
     counted = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    order = F.desc(value) if descending else F.asc(value)
-    counted = counted.withColumn("_to", F.sum("_n").over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(W.partitionBy(*keys)))
+    if large:
+        counted = counted_to(counted, keys, value)
+        if descending:
+            counted = counted.withColumn("_to", F.col("_all") - F.col("_to") + F.col("_n"))
+    else:
+        order = F.desc(value) if descending else F.asc(value)
+        counted = counted.withColumn("_to", F.sum("_n").over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(W.partitionBy(*keys)))
     pick = lambda p: F.least(F.round(F.col("_all") * p / 100.0).cast("bigint"), F.col("_all") - 1)
     hit = lambda p: (F.col("_to") > pick(p)) & (F.col("_to") - F.col("_n") <= pick(p))
     return counted.groupBy(*keys).agg(*(F.max(F.when(hit(p), F.col(value))).alias(f"{prefix}{p}") for p in percents))
@@ -141,12 +160,12 @@ FROM (SELECT {key}, {value}, row_number() OVER (PARTITION BY {key} ORDER BY {val
 
 
 def perc95_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest_rank(cdr(spark, sf_dir).where("value <> 0"), ["event_type"], "value", [95, 99])
+    return nearest_rank(cdr(spark, sf_dir).where("value <> 0"), ["event_type"], "value", [95, 99], large=True)
 
 
 def perc95_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For qualities, where the worst are the smallest: percentiles of the descending order."""
-    return nearest_rank(cdr(spark, sf_dir).where("mos_x10 <> 0"), ["sensor_id"], "mos_x10", [95, 99], descending=True)
+    return nearest_rank(cdr(spark, sf_dir).where("mos_x10 <> 0"), ["sensor_id"], "mos_x10", [95, 99], descending=True, large=True)
 
 
 def lsr_matches(lsr: Column, whole: list[int], prefixes: list[str]) -> Column:
@@ -251,7 +270,7 @@ ORACLE_SQL = {
     "chart_minute": f"""SELECT series, bucket, sensor_id, count(*) AS touching, count(*) FILTER (WHERE first) AS total, round(CAST(sum(CASE WHEN first THEN dur_us END) AS DOUBLE) / 1000000, 6) AS seconds
 FROM (SELECT 'all' AS series, * FROM {MINUTES} UNION ALL SELECT 'connected' AS series, * FROM {MINUTES} WHERE connect_us IS NOT NULL) GROUP BY series, bucket, sensor_id""",
     "minutes_overlap": f"""SELECT sensor_id, bucket, round(CAST(sum(greatest(0, least(e_us, (bucket + 900) * 1000000) - greatest(e_us - connect_us, bucket * 1000000))) AS DOUBLE) / 60000000, 6) AS minutes,
-  round(CAST(sum(CASE WHEN first THEN connect_us END) AS DOUBLE) / 60000000, 6) AS minutes_all FROM {QUARTERS} WHERE connect_us IS NOT NULL GROUP BY sensor_id, bucket""",
+  round(CAST(sum(connect_us) AS DOUBLE) / 60000000, 6) AS minutes_all FROM {QUARTERS} WHERE connect_us IS NOT NULL GROUP BY sensor_id, bucket""",
     "concurrency_min_max_avg": f"""SELECT sensor_id, bucket, min(n) AS cc_min, max(n) AS cc_max, round(CAST(sum(n) AS DOUBLE) / count(*), 6) AS cc_avg
 FROM (SELECT sensor_id, bucket, t, count(*) AS n FROM {_SECONDS} GROUP BY sensor_id, bucket, t) GROUP BY sensor_id, bucket""",
     "cps_min_max_avg": f"""SELECT sensor_id, t // 900 * 900 AS bucket, CAST(0 AS BIGINT) AS cps_min, max(n) AS cps_max, round(CAST(sum(n) AS DOUBLE) / 900, 6) AS cps_avg

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import semantics as X
 from tallyline.functions.json_filter import call_filter
-from tallyline.operators.intervals import QUARTER, QUARTERS, S, quarters, r6
+from tallyline.operators.intervals import QUARTER, QUARTERS, S, counted_to, quarters, r6
 from tallyline.operators.rules import fold_sorted
+from tallyline.operators.sequences import previous
 from tallyline.session import table
 from tallyline.sources.calls import CDR, cdr
 
@@ -36,12 +37,13 @@ def chart_value_combination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def histogram_reduced(spark: SparkSession, sf_dir: str, parts: int = 50) -> DataFrame:
-    """A histogram with at most so many parts: neighbours merge to their weighted mean."""
+    """A value histogram made smaller: if there are at least twice as many distinct values as parts, each run of
+    (values div parts) neighbours merges to its weighted mean."""
     v = cdr(spark, sf_dir).groupBy("event_type", "value").agg(F.count("*").alias("n"))
-    span = W.partitionBy("event_type")
-    low, high = F.min("value").over(span), F.max("value").over(span)
-    part = F.least(F.floor((c("value") - low) / ((high - low) / parts)), F.lit(parts - 1)).cast("bigint")
-    return v.withColumn("part", part).groupBy("event_type", "part").agg(r6(F.sum(c("value") * c("n")) / F.sum("n")).alias("value"), F.sum("n").alias("n"))
+    ranked = counted_to(v.withColumn("_n", F.lit(1)), ["event_type"], "value")
+    run = F.greatest(F.lit(1), F.floor(c("_all") / parts))
+    ranked = ranked.withColumn("part", F.floor((c("_to") - 1) / run).cast("bigint"))
+    return ranked.groupBy("event_type", "part").agg(r6(F.sum(c("value") * c("n")) / F.sum("n")).alias("value"), F.sum("n").alias("n"))
 
 
 def filter_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,9 +98,8 @@ def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def change_country_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The country rule on registrations, here signups: country and address differ from the last ones."""
     r = cdr(spark, sf_dir).where("event_type = 'signup'").withColumn("country", F.expr("k div 16 % 4"))
-    w = W.partitionBy("caller").orderBy("b_us", "call_id")
-    r = r.withColumn("old_country", F.lag("country").over(w)).withColumn("old_ip", F.lag("dst_ip").over(w))
-    return r.where("old_country <> country AND old_ip <> dst_ip").select("call_id", "caller", "old_country", "country")
+    r = previous(r, ["caller"], ["country", "dst_ip"])
+    return r.where("previous.country <> country AND previous.dst_ip <> dst_ip").select("call_id", "caller", c("previous.country").alias("old_country"), "country")
 
 
 def registration_states(spark: SparkSession, sf_dir: str, timeout_s: int = 600) -> DataFrame:
@@ -127,9 +128,6 @@ QUERIES = {
     for f in (chart_json, chart_value_combination, histogram_reduced, filter_json, period_gate, message_hash, send_call_info, counter_restart, session_counts, change_country_register, registration_states, register_cache)
 }
 
-_PART = "least(CAST(floor((value - lo) / ((hi - lo) / 50)) AS BIGINT), 49)"
-
-
 def _wraps(value: str, begin: int, end: int) -> str:
     return f"({value} BETWEEN {begin} AND {end})" if begin <= end else f"({value} >= {begin} OR {value} <= {end})"
 
@@ -143,8 +141,9 @@ o AS (SELECT bucket, '{{' || string_agg('"' || key || '":' || n, ',' ORDER BY '"
 SELECT o.bucket, o.ordinals, a.area FROM o LEFT JOIN a ON o.bucket = a.bucket""",
     "chart_value_combination": f"""SELECT bucket, max(mos_x10) AS m, min(mos_x10) AS i, sum(mos_x10 * n) AS s, sum(n) AS c, '{{' || string_agg('"' || mos_x10 || '":' || n, ',' ORDER BY '"' || mos_x10 || '":' || n) || '}}' AS vm
 FROM (SELECT b_us // 86400000000 * 86400 AS bucket, mos_x10, count(*) AS n FROM {CDR} WHERE mos_x10 <> 0 GROUP BY 1, 2) GROUP BY bucket""",
-    "histogram_reduced": f"""SELECT event_type, {_PART} AS part, round(sum(value * n) / sum(n), 6) AS value, sum(n) AS n FROM (SELECT *, min(value) OVER (PARTITION BY event_type) AS lo, max(value) OVER (PARTITION BY event_type) AS hi
-  FROM (SELECT event_type, value, count(*) AS n FROM {CDR} GROUP BY event_type, value)) GROUP BY event_type, {_PART}""",
+    "histogram_reduced": f"""SELECT event_type, part, round(sum(value * n) / sum(n), 6) AS value, sum(n) AS n FROM (SELECT *, CASE WHEN distinct_values // 50 > 1 THEN (rn - 1) // (distinct_values // 50) ELSE rn - 1 END AS part
+  FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS distinct_values FROM (SELECT event_type, value, count(*) AS n FROM {CDR} GROUP BY event_type, value)))
+GROUP BY event_type, part""",
     "filter_json": f"""SELECT call_id, caller, called, lsr, codec FROM {CDR} WHERE (caller LIKE '%0042' OR caller LIKE '%0017' OR called LIKE '%0042' OR called LIKE '%0017') AND lsr // 100 IN (2, 4) AND lsr <> 404 AND codec IN (0, 8)
   AND dur_us BETWEEN 5000000 AND 300000000""",
     "period_gate": f"SELECT sensor_id, count(*) FILTER (WHERE {_INSIDE}) AS inside, count(*) FILTER (WHERE NOT ({_INSIDE})) AS outside FROM {CDR} GROUP BY sensor_id",

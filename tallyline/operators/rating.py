@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyline.functions import semantics as X
 from tallyline.operators.intervals import S
 from tallyline.sources.calls import BILLING_RULES, CDR_BILLING, cdr_billing, small, values
 
 c = F.col
 RULES = "rule_id int, price double, price_peak double, t1 int, t2 int"
 
-# The hours of peak rates, the first day of the weekend (Saturday), and holidays of a fixed date.
-PEAK_BEGIN, PEAK_END, WEEKEND_START = 8, 18, 5
+# The minutes of peak rates, the first day of the weekend (Saturday), and holidays of a fixed date.
+PEAK_BEGIN, PEAK_END, WEEKEND_START = 8 * 60, 18 * 60, 5
 FIXED_HOLIDAYS = [(1, 1), (5, 1), (12, 25), (12, 26)]
 
 
@@ -41,64 +38,68 @@ def rate_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated(spark, sf_dir).where("price > 0 AND t1 > 0 AND t2 > 0").select("id", "rule_id", F.round(price(c("dur_s"), c("price"), c("t1"), c("t2")), 6).alias("price"))
 
 
-def easter_sunday(year: int) -> date:
-    """By the Gregorian computus."""
-    golden, century = year % 19, year // 100
-    skipped = century - century // 4 - (8 * century + 13) // 25 + 19 * golden + 15
-    epact = skipped % 30
-    epact -= (epact // 28) * (1 - (epact // 28) * (29 // (epact + 1)) * ((21 - golden) // 11))
-    weekday = (year + year // 4 + epact + 2 - century + century // 4) % 7
-    moon = epact - weekday
-    month = 3 + (moon + 40) // 44
-    return date(year, month, moon + 28 - 31 * (month // 4))
-
-
-def is_holiday(day: date) -> bool:
-    easter = easter_sunday(day.year)
-    return (day.month, day.day) in FIXED_HOLIDAYS or day in (easter - timedelta(2), easter + timedelta(1))
-
-
-def peak_hours(first_day: int, days: int) -> np.ndarray:
-    """For each hour from a day (days since 1970): whether it has peak rates."""
-    out = np.zeros(days * 24, bool)
-    for i in range(days):
-        day = date(1970, 1, 1) + timedelta(first_day + i)
-        if (day.weekday() - WEEKEND_START) % 7 > 1 and not is_holiday(day):
-            out[i * 24 + PEAK_BEGIN : i * 24 + PEAK_END] = True
-    return out
-
-
-def price_with_peak(begin_s: int, seconds: int, normal: float, peak: float, t1: int, t2: int, is_peak) -> float:
-    """Slices cut at the next change between rates; each is rounded up to its unit and moves the clock."""
-    total, now, left, unit = 0.0, begin_s, max(1, seconds), t1
-    first = True
-    while left > 0:
-        high = is_peak(now)
-        hour = now // 3600 + 1
-        while is_peak(hour * 3600) == high and hour * 3600 - now < left:
-            hour += 1
-        size = (left if t1 == t2 else min(t1, left)) if first else left
-        size = min(size, hour * 3600 - now) if not first or t1 == t2 else size
-        billed = -(-size // unit) * unit
-        total += billed * (peak if high else normal) / 60
-        now, left, first, unit = now + billed, left - billed, False, t2
-    return total
+def easter(year: Column) -> Column:
+    """Easter Sunday of a year as days since 1970, by the Gregorian computus."""
+    div = lambda x, y: F.floor(x / y)
+    golden, century, rest = year % 19, div(year, 100), year % 100
+    moon = (19 * golden + century - div(century, 4) - div(century - div(century + 8, 25) + 1, 3) + 15) % 30
+    weekday = (32 + 2 * (century % 4) + 2 * div(rest, 4) - moon - rest % 4) % 7
+    after = moon + weekday - 7 * div(golden + 11 * moon + 22 * weekday, 451) + 21
+    return F.unix_date(F.make_date(year, F.lit(3), F.lit(1))) + after
 
 
-def rate_call_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls with peak rates on working days, by a loop over the few slices that rate changes cut."""
+def is_working(day: Column) -> Column:
+    """Whether a day since 1970 is neither at the weekend nor a holiday."""
+    date = F.date_from_unix_date(day.cast("int"))
+    fixed = X.any_of(*((F.month(date) == m) & (F.dayofmonth(date) == d) for m, d in FIXED_HOLIDAYS))
+    after_easter = day - easter(F.year(date))
+    return (F.pmod(F.weekday(date) - WEEKEND_START, F.lit(7)) > 1) & ~fixed & ~after_easter.isin(-2, 1)
+
+
+def peak_at(now: Column, working: Column, begin: int = PEAK_BEGIN, end: int = PEAK_END) -> tuple[Column, Column]:
+    """Whether a second has peak rates, and when that is asked again: at the next change, or at midnight.
+
+    Begin and end are minutes of the day; the time between them may go past midnight. A change keeps the seconds of the
+    minute at which it was asked for.
+    """
+    midnight = F.floor(now / 86_400) * 86_400
+    minute, second = F.floor((now - midnight) / 60), now % 60
+    at = lambda m: midnight + m * 60 + second
+    first, then = sorted((begin, end))
+    until = F.when(working & (minute < first), at(first)).when(working & (minute < then), at(then)).otherwise(midnight + 86_400)
+    inside = (minute >= begin) & (minute < end) if begin < end else (minute >= begin) | (minute < end)
+    return working & inside & F.lit(begin != end), until
 
-    @F.pandas_udf("double")
-    def rate(begin: pd.Series, seconds: pd.Series, normal: pd.Series, peak: pd.Series, t1: pd.Series, t2: pd.Series) -> pd.Series:
-        if not len(begin):
-            return pd.Series([], dtype="float64")
-        first = int(begin.min()) // 86400
-        hours = peak_hours(first, (int(begin.max()) + 2 * int(seconds.max()) + 7200) // 86400 - first + 2)
-        at = lambda t: bool(hours[t // 3600 - first * 24])
-        return pd.Series([price_with_peak(int(b), int(d), n, p, int(x), int(y), at) for b, d, n, p, x, y in zip(begin, seconds, normal, peak, t1, t2)])
 
-    calls = rated(spark, sf_dir)
-    return calls.select("id", "rule_id", F.round(rate(F.expr("calldate_us div 1000000"), c("dur_s"), c("price"), c("price_peak"), c("t1"), c("t2")), 6).alias("price"))
+def price_with_peak(begin_s: Column, seconds: Column, normal: Column, peak: Column, t1: Column, t2: Column, begin: int = PEAK_BEGIN, end: int = PEAK_END) -> Column:
+    """Slices with the rate of the second in which they begin; all but the first end where the rate may change.
+
+    The first slice is t1 seconds, or with equal slices the whole call, and is never cut. Each is rounded up to its
+    unit, t1 for the first and t2 for the others, and moves the clock. A day has at most three changes, which bounds the
+    slices; what working days are is found once for each day of the call.
+    """
+    first_day = F.floor(begin_s / 86_400)
+    days = F.floor((begin_s + seconds + 2 * t1 + 2 * t2) / 86_400) - first_day + 1
+    working = F.transform(F.sequence(first_day, first_day + days), is_working)
+    start = F.struct(begin_s.cast("bigint").alias("now"), F.greatest(seconds, F.lit(1)).cast("bigint").alias("left"), F.lit(0.0).alias("total"), working.alias("working"))
+
+    def step(s: Column, k: Column) -> Column:
+        high, until = peak_at(s["now"], F.get(s["working"], (F.floor(s["now"] / 86_400) - first_day).cast("int")), begin, end)
+        size = F.when(k > 1, F.least(s["left"], until - s["now"])).when(t1 != t2, t1).otherwise(s["left"])
+        unit = F.when(k == 1, t1).otherwise(t2)
+        billed = (F.ceil(size / unit) * unit).cast("bigint")
+        price_ = billed * F.when(high, peak).otherwise(normal) / 60
+        on = F.struct((s["now"] + billed).alias("now"), (s["left"] - billed).alias("left"), (s["total"] + price_).alias("total"), s["working"].alias("working"))
+        return F.when(s["left"] > 0, on).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(1).cast("bigint"), 2 + 3 * days), start, step, lambda s: s["total"])
+
+
+def rate_call_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with peak rates on working days; a rule that lacks a price, a peak price or a slice sets none."""
+    calls = rated(spark, sf_dir).where("price > 0 AND price_peak > 0 AND t1 > 0 AND t2 > 0")
+    amount = price_with_peak(F.expr("calldate_us div 1000000"), c("dur_s"), c("price"), c("price_peak"), c("t1"), c("t2"))
+    return calls.select("id", "rule_id", F.round(amount, 6).alias("price"))
 
 
 def billing_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +127,22 @@ QUERIES = {f.__name__: f for f in (rate_call, rate_call_peak, billing_rollup)}
 _RATED = f"(SELECT * FROM (SELECT *, nation % 3 + 1 AS rid FROM {CDR_BILLING}) JOIN {values(BILLING_RULES, 'r(rule_id, price, price_peak, t1, t2)')} ON rid = rule_id)"
 _PRICE = "CAST(CASE WHEN t1 = t2 THEN ((dur_s + t1 - 1) // t1) * t1 ELSE t1 + CASE WHEN dur_s > t1 THEN ((dur_s - t1 + t2 - 1) // t2) * t2 ELSE 0 END END AS DOUBLE) * CAST(price AS DOUBLE) / 60"
 
+_EASTER = """(SELECT y, make_date(y, 3, 1) + CAST(h + l - 7 * ((a + 11 * h + 22 * l) // 451) + 21 AS INTEGER) AS easter FROM (SELECT *, (32 + 2 * (b % 4) + 2 * (y % 100 // 4) - h - y % 100 % 4) % 7 AS l
+  FROM (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM (SELECT y, y % 19 AS a, y // 100 AS b FROM range(1960, 2060) t(y)))))"""
+
+_PEAK_PRICE = f"""WITH RECURSIVE days AS (SELECT d // 86400 AS day, isodow(dt) < 6 AND strftime(dt, '%m-%d') NOT IN ('01-01', '05-01', '12-25', '12-26') AND CAST(dt AS DATE) - easter NOT IN (-2, 1) AS working
+  FROM (SELECT d, make_timestamp(d * 1000000) AS dt FROM range(0, 2000000000, 86400) t(d)) JOIN {_EASTER} ON year(dt) = y),
+calls AS (SELECT id, rule_id, calldate_us // 1000000 AS now, greatest(dur_s, 1) AS left_s, CAST(price AS DOUBLE) AS price, CAST(price_peak AS DOUBLE) AS price_peak, t1, t2 FROM {_RATED}),
+s AS (SELECT id, rule_id, now, left_s, price, price_peak, t1, t2, 0 AS k, CAST(0 AS DOUBLE) AS total FROM calls
+ UNION ALL SELECT id, rule_id, now + billed, left_s - billed, price, price_peak, t1, t2, k + 1, total + billed * CASE WHEN high THEN price_peak ELSE price END / 60
+ FROM (SELECT *, ((size + unit - 1) // unit) * unit AS billed FROM (SELECT *, CASE WHEN k = 0 THEN t1 ELSE t2 END AS unit, CASE WHEN k = 0 AND t1 <> t2 THEN t1 WHEN k = 0 THEN left_s ELSE least(left_s, until - now) END AS size
+  FROM (SELECT s.*, working AND minute >= 480 AND minute < 1080 AS high,
+    CASE WHEN working AND minute < 480 THEN day * 86400 + 28800 + now % 60 WHEN working AND minute < 1080 THEN day * 86400 + 64800 + now % 60 ELSE (day + 1) * 86400 END AS until
+   FROM (SELECT *, now % 86400 // 60 AS minute FROM s WHERE left_s > 0) s JOIN days ON day = now // 86400))))
+SELECT id, rule_id, round(total, 6) AS price FROM s WHERE left_s <= 0"""
+
 ORACLE_SQL = {
+    "rate_call_peak": _PEAK_PRICE,
     "rate_call": f"SELECT id, rule_id, round({_PRICE}, 6) AS price FROM {_RATED}",
     "billing_rollup": f"""WITH p AS (SELECT *, CAST(round({_PRICE} * 100000) AS BIGINT) AS p FROM {_RATED}),
 g AS (SELECT 'hour' AS grain, calldate_us // 3600000000 AS part, * FROM p UNION ALL SELECT 'day', calldate_us // 86400000000, * FROM p UNION ALL SELECT 'week', (calldate_us // 86400000000 + 3) // 7, * FROM p

@@ -15,12 +15,12 @@ c = F.col
 
 
 def mos_g711(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = cdr_rtp(spark, sf_dir).withColumn("loss", c("lost") / (c("received") + c("lost"))).withColumn("burst", c("jitter_x10") / 20.0)
+    r = cdr_rtp(spark, sf_dir).withColumn("loss", F.coalesce(F.try_divide(c("lost"), c("received") + c("lost")), F.lit(0.0))).withColumn("burst", c("jitter_x10") / 20.0)
     return r.select("cdr_id", "idx", r6(voice.mos_g711(c("loss"), c("burst"))).alias("mos"))
 
 
 def mos_e_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = cdr_rtp(spark, sf_dir).withColumn("loss", c("lost") / (c("received") + c("lost"))).withColumn("burst", c("jitter_x10") / 20.0)
+    r = cdr_rtp(spark, sf_dir).withColumn("loss", F.coalesce(F.try_divide(c("lost"), c("received") + c("lost")), F.lit(0.0))).withColumn("burst", c("jitter_x10") / 20.0)
     return r.select("cdr_id", "idx", r6(voice.mos_e_model(c("loss"), c("burst"))).alias("mos"))
 
 

@@ -23,19 +23,31 @@ def plus_minus(calls: DataFrame, keys: list[str]) -> DataFrame:
     return calls.select(*keys, F.explode(F.array(F.struct(c("b_us").alias("t"), F.lit(1).alias("d")), F.struct(c("e_us").alias("t"), F.lit(-1).alias("d")))).alias("x")).select(*keys, "x.t", "x.d")
 
 
-def running(events: DataFrame, keys: list[str], block_us: int = DAY) -> DataFrame:
-    """Adds n, the running sum of d by t (ends before begins at one time), exactly.
+def running(events: DataFrame, keys: list[str], block_us: int = DAY, order: tuple[str, ...] = ("t", "d")) -> DataFrame:
+    """Adds n, the running sum of d by t (by default ends before begins at one time), exactly.
 
     Sums within blocks of time run in parallel; what came before a block is a prefix sum over the few block totals.
     """
     events = events.withColumn("_block", F.floor(c("t") / block_us))
-    inner = W.partitionBy(*keys, "_block").orderBy("t", "d").rowsBetween(W.unboundedPreceding, 0)
+    inner = W.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     outer = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     totals = events.groupBy(*keys, "_block").agg(F.sum("d").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(outer), F.lit(0)))
     within = events.withColumn("_n", F.sum("d").over(inner))
     return within.join(totals.select(*keys, "_block", "_before"), [*keys, "_block"]).withColumn("n", c("_n") + c("_before")).drop("_block", "_n", "_before")
 
 
+def previous(rows: DataFrame, keys: list[str], columns: list[str], t: str = "b_us", tie: str = "call_id", block_us: int = DAY) -> DataFrame:
+    """Adds previous, a struct of columns of the key's row before this one; null for the first.
+
+    Blocks of time run in parallel, so a hot key is split; a block's first row takes the last one of the block before.
+    """
+    rows = rows.withColumn("_block", F.floor(c(t) / block_us))
+    last = rows.groupBy(*keys, "_block").agg(F.max_by(F.struct(*columns), F.struct(t, tie)).alias("_last"))
+    last = last.withColumn("_before", F.lag("_last").over(W.partitionBy(*keys).orderBy("_block"))).drop("_last")
+    inner = F.lag(F.struct(*columns)).over(W.partitionBy(*keys, "_block").orderBy(t, tie))
+    return rows.withColumn("_inner", inner).join(last, [*keys, "_block"]).withColumn("previous", F.coalesce("_inner", "_before")).drop("_block", "_inner", "_before")
+
+
 def running_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most calls that each sensor had at once, and the mean over its events."""
     n = running(plus_minus(cdr(spark, sf_dir), ["sensor_id"]), ["sensor_id"])
@@ -49,17 +61,16 @@ _RUNNING = f"""(SELECT sensor_id, src_ip, t, d, sum(d) OVER (PARTITION BY sensor
 def change_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected calls whose caller's country differs from the one of its previous call to the same address."""
     calls = cdr(spark, sf_dir).where("connect_us IS NOT NULL").withColumn("country", F.element_at(F.array(*map(F.lit, ("DE", "GB", "CZ", "US"))), (F.expr("k div 16") % 4 + 1).cast("int")))
-    w = W.partitionBy("caller", "dst_ip").orderBy("b_us", "call_id")
-    calls = calls.withColumn("previous", F.lag("country").over(w))
-    return calls.where("previous <> country").select("call_id", "caller", "dst_ip", "previous", "country")
+    calls = previous(calls, ["caller", "dst_ip"], ["country"])
+    return calls.where("previous.country <> country").select("call_id", "caller", "dst_ip", c("previous.country").alias("previous"), "country")
 
 
 def segments(rows: DataFrame, keys: list[str], state: str, t: str, tie: str) -> DataFrame:
     """Runs of one state: keys, state, first and last time and the number of rows."""
-    w = W.partitionBy(*keys).orderBy(t, tie)
-    changed = F.when(c(state).eqNullSafe(F.lag(state).over(w)), 0).otherwise(1)
-    numbered = rows.withColumn("_changed", changed).withColumn("_segment", F.sum("_changed").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "_segment", state).agg(F.min(t).alias("from_us"), F.max(t).alias("to_us"), F.count("*").alias("n")).withColumnRenamed("_segment", "segment")
+    same = c("previous").isNotNull() & c(state).eqNullSafe(c(f"previous.{state}"))
+    changes = previous(rows, keys, [state], t, tie).select(*keys, state, c(t).alias("t"), c(tie).alias("tie"), F.when(same, 0).otherwise(1).alias("d"))
+    numbered = running(changes, keys, order=("t", "tie"))
+    return numbered.groupBy(*keys, c("n").alias("segment"), state).agg(F.min("t").alias("from_us"), F.max("t").alias("to_us"), F.count("*").alias("n"))
 
 
 def state_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +100,12 @@ def jitter_rfc3550(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seq_gap_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths of gaps in a 16-bit sequence, 1 to 9 and 10 for longer ones."""
-    seq = c("call_id") * 7 + F.when(c("k") % 5 == 0, c("k") % 3).otherwise(0)
-    rows = cdr(spark, sf_dir).withColumn("seq", F.pmod(seq * 997, F.lit(65536)))
-    gap = F.pmod(c("seq") - F.lag("seq").over(W.partitionBy("sensor_id", "codec").orderBy("call_id")), F.lit(65536)) - 1
-    return rows.withColumn("gap", gap).where("gap > 0 AND gap < 60000").groupBy("sensor_id", F.least(c("gap") % 12, F.lit(10)).alias("length")).agg(F.count("*").alias("n"))
+    """Numbers of packets missing between neighbours in a 16-bit sequence, 1 to 9 and 10 for more; a step back of less
+    than half the range is a reordered packet, not a gap."""
+    rows = cdr(spark, sf_dir).withColumn("seq", F.pmod(c("call_id") * 11 - F.when(c("k") % 5 == 0, c("k") % 97).otherwise(0), F.lit(65536)))
+    step = F.pmod(c("seq") - c("previous.seq"), F.lit(65536))
+    gaps = previous(rows, ["sensor_id", "codec", "dst_ip"], ["seq"], tie="call_id").withColumn("step", step).where("step > 1 AND step < 32768")
+    return gaps.groupBy("sensor_id", F.least(c("step") - 1, F.lit(10)).alias("length")).agg(F.count("*").alias("n"))
 
 
 def drops(per_minute: DataFrame, minutes_back: int = 5, percent: float = 30, absolute: int = 2) -> DataFrame:
@@ -138,8 +150,8 @@ WHERE lsr = 200 AND next_us > b_us + 14430000000""",
     "jitter_rfc3550": f"""WITH RECURSIVE r AS (SELECT user_id, abs(value) AS v, row_number() OVER (PARTITION BY user_id ORDER BY call_id) AS rn FROM {CDR}),
 j AS (SELECT user_id, rn, v / 16 AS a FROM r WHERE rn = 1 UNION ALL SELECT r.user_id, r.rn, j.a + (r.v - j.a) / 16 FROM j JOIN r ON r.user_id = j.user_id AND r.rn = j.rn + 1)
 SELECT user_id, round(a, 6) AS jitter FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS last FROM j) WHERE last = 1""",
-    "seq_gap_histogram": f"""SELECT sensor_id, least(gap % 12, 10) AS length, count(*) AS n FROM (SELECT sensor_id, (((seq - lag(seq) OVER (PARTITION BY sensor_id, codec ORDER BY call_id)) % 65536) + 65536) % 65536 - 1 AS gap
-  FROM (SELECT *, ((call_id * 7 + CASE WHEN k % 5 = 0 THEN k % 3 ELSE 0 END) * 997) % 65536 AS seq FROM {CDR})) WHERE gap > 0 AND gap < 60000 GROUP BY 1, 2""",
+    "seq_gap_histogram": f"""SELECT sensor_id, least(step - 1, 10) AS length, count(*) AS n FROM (SELECT sensor_id, (((seq - lag(seq) OVER (PARTITION BY sensor_id, codec, dst_ip ORDER BY b_us, call_id)) % 65536) + 65536) % 65536 AS step
+  FROM (SELECT *, (((call_id * 11 - CASE WHEN k % 5 = 0 THEN k % 97 ELSE 0 END) % 65536) + 65536) % 65536 AS seq FROM {CDR})) WHERE step > 1 AND step < 32768 GROUP BY 1, 2""",
     "concurrency_drop": f"""SELECT sensor_id, bucket, n, mean FROM (SELECT *, count(*) OVER w AS before, CAST(floor(CAST(sum(n) OVER w AS DOUBLE) / count(*) OVER w) AS BIGINT) AS mean FROM {_PER_MINUTE}
   WINDOW w AS (PARTITION BY sensor_id ORDER BY bucket ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) WHERE before >= 5 AND n < mean AND (mean - n) * 100 >= 30 * mean AND mean - n >= 2""",
     "latest_per_key": f"""SELECT caller, dst_ip, call_id, lsr, dur_us, n, first_us FROM (SELECT *, count(*) OVER (PARTITION BY caller, dst_ip) AS n, min(b_us) OVER (PARTITION BY caller, dst_ip) AS first_us,

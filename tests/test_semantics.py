@@ -1,6 +1,7 @@
 """The quirks of the filter language, of metrics and of rating, on hand-made values."""
 
 import datetime
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -93,18 +94,69 @@ def test_a_fraction_of_a_second_reaches_the_next_quarter(spark):
     assert sorted(r["bucket"] for r in intervals.quarters(calls).collect()) == [0, 0, 900]
 
 
-def test_easter_and_holidays():
-    assert [rating.easter_sunday(y) for y in (1995, 2000, 2024, 2025)] == [datetime.date(1995, 4, 16), datetime.date(2000, 4, 23), datetime.date(2024, 3, 31), datetime.date(2025, 4, 20)]
-    assert rating.is_holiday(datetime.date(2024, 4, 1)) and rating.is_holiday(datetime.date(2024, 12, 25)) and not rating.is_holiday(datetime.date(2024, 4, 2))
-
-
-def test_peak_prices():
-    flat = lambda _: False
-    always = lambda _: True
-    assert round(rating.price_with_peak(0, 75, 0.6, 1.2, 60, 1, flat), 6) == 0.75
-    assert round(rating.price_with_peak(0, 75, 0.6, 1.2, 60, 1, always), 6) == 1.5
-    half = lambda t: t >= 3600
-    assert round(rating.price_with_peak(3600 - 90, 120, 0.6, 1.2, 60, 1, half), 6) == round(0.6 + 0.3 + 0.6, 6)
+def test_easter_and_working_days(spark):
+    years = {1995: (4, 16), 2000: (4, 23), 2008: (3, 23), 2024: (3, 31), 2025: (4, 20), 2038: (4, 25)}
+    rows = spark.createDataFrame([(y,) for y in years], "y int").select("y", F.date_from_unix_date(rating.easter(F.col("y")).cast("int")).alias("d")).collect()
+    assert {r["y"]: (r["d"].month, r["d"].day) for r in rows} == years
+    day = lambda y, m, d: L((datetime.date(y, m, d) - datetime.date(1970, 1, 1)).days)
+    expected = {(2024, 3, 29): False, (2024, 4, 1): False, (2024, 4, 2): True, (2024, 12, 25): False, (2024, 4, 6): False, (2024, 4, 7): False}
+    assert {d: one(spark, rating.is_working(day(*d))) for d in expected} == expected
+
+
+def price_brute(begin, seconds, normal, peak, t1, t2, start, end):
+    """Slice by slice with clock times."""
+    holidays = {datetime.date(2024, *d) for d in ((1, 1), (5, 1), (12, 25), (12, 26), (3, 29), (4, 1))}
+    now, left, total, k = datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=begin), max(1, seconds), 0.0, 0
+    while left > 0:
+        minute = now.hour * 60 + now.minute
+        works = now.weekday() < 5 and now.date() not in holidays
+        changes = [now.replace(hour=m // 60, minute=m % 60) for m in (start, end) if works and m > minute]
+        until = min([*changes, datetime.datetime.combine(now.date() + datetime.timedelta(1), datetime.time())])
+        high = works and (start <= minute < end if start < end else minute >= start or minute < end)
+        size = t1 if k == 0 and t1 != t2 else left
+        if k:
+            size = min(size, int((until - now).total_seconds()))
+        unit = t2 if k else t1
+        size = -(-size // unit) * unit
+        total += size * (peak if high else normal) / 60
+        now, left, k = now + datetime.timedelta(seconds=size), left - size, k + 1
+    return round(total, 6)
+
+
+def test_peak_prices_match_a_clock(spark):
+    base = int(datetime.datetime(2024, 3, 27, tzinfo=datetime.UTC).timestamp())  # a Wednesday before Easter
+    draw = random.Random(4)
+    calls = [(base + draw.randrange(14 * 86400), draw.choice([1, 59, 75, 600, 7200, 200_000]), *draw.choice([(60, 1), (30, 30), (60, 6), (1, 60), (45, 7)])) for _ in range(150)]
+    calls += [(base + 8 * 3600 - 60, 120, 30, 30), (base + 86400 - 10, 90, 60, 1)]
+    df = spark.createDataFrame(calls, "b long, d int, t1 int, t2 int")
+    for start, end in ((480, 1080), (1200, 390)):
+        got = df.select(F.round(rating.price_with_peak(F.col("b"), F.col("d"), L(1.2), L(2.4), F.col("t1"), F.col("t2"), start, end), 6)).collect()
+        assert [r[0] for r in got] == pytest.approx([price_brute(b, d, 1.2, 2.4, t1, t2, start, end) for b, d, t1, t2 in calls])
+    assert price_brute(base + 8 * 3600 - 60, 120, 1.2, 2.4, 30, 30, 480, 1080) == 2.4  # equal slices are never cut
+
+
+def test_numbers_below_zero_and_patterns_with_line_ends(spark):
+    assert [one(spark, X.divide_int(L(a), L(b))) for a, b in ((-7, 2), (7, -2), (2**62 + 1, 1), (-1, 0))] == [-3, -3, 2**62 + 1, 0]
+    assert [one(spark, X.like(L(t), "abc")) for t in ("abc", "abc\n", "xabc")] == [True, False, False]
+
+
+def test_numbers_with_several_skip_prefixes(spark):
+    normal = lambda n, **more: one(spark, voice.normalize_number(L(n), ["9", "80", "777"], ["00"], "420", **more))
+    assert [normal(n) for n in ("9123456", "80123456", "777123456", "980004912345678", "123456")] == ["420123456", "420123456", "420123456", "4912345678", "420123456"]
+    assert normal("9112", exclude=["911"]) == "9112"
+
+
+def test_large_groups_rank_as_small_ones(spark):
+    rows = spark.range(5000).select((F.col("id") % 2).alias("k"), ((F.col("id") * 7919) % 1013 / 7.0).alias("v"))
+    for descending in (False, True):
+        small, large = (intervals.nearest_rank(rows, ["k"], "v", [50, 95, 99], descending, large=large).orderBy("k").collect() for large in (False, True))
+        assert small == large
+
+
+def test_previous_crosses_blocks(spark):
+    rows = spark.createDataFrame([(k, t, t) for k in (1, 2) for t in (0, 3, 40, 41, 300, 900)], "k long, b_us long, call_id long")
+    got = sequences.previous(rows, ["k"], ["b_us"], block_us=50).select("k", "b_us", "previous.b_us").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(k, t, p) for k in (1, 2) for t, p in zip((0, 3, 40, 41, 300, 900), (None, 0, 3, 40, 41, 300))], key=str)
 
 
 @settings(max_examples=20, deadline=None)

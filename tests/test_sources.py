@@ -35,6 +35,7 @@ def test_append_by_day(spark, tmp_path):
 
 def test_sql_functions(spark):
     registry.register(spark)
+    assert spark.sql("SELECT ip_to_long('10.0.0.300'), ip_to_long('x'), round(mos_g711(0.02, 1.5), 3)").first()[:2] == (None, None)
     row = spark.sql("SELECT ip_to_long('10.0.0.1') AS a, packet_loss_pct(5, 93) AS b, round(rate_call(75, 0.6, 60, 1), 6) AS c, code_matches(486, '48X') AS d, code_matches(200, '4XX') AS e").first()
     assert tuple(row) == (167772161, 5.0, 0.75, True, False)
 
