@@ -6,7 +6,8 @@ before that block compare equal.
 
 Defined cases: a null or empty text has no words and no hits. An item without words has no window. Rows that repeat
 an item_id are one item with the windows of all; windows of a null item_id mark words as hit but name no item. An
-empty benchmark finds nothing. Repeated documents each get their own row. Other columns are not read.
+empty benchmark finds nothing. Repeated documents each get their own row. Very long texts are searched whole, and very
+long items are cut into overlapping pieces. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import checkpointed, table
+from tallyline.llm.common import table
 
-#: Words of a window, words of a block, and words of the benchmark whose windows one pass holds in memory.
-WINDOW, BLOCK, WORDS_A_PASS = 10, 2, 2_000_000
+#: Words of a window, and words of a block.
+WINDOW, BLOCK = 10, 2
+#: Bytes of the benchmark whose tables a task holds at once, and of documents that it holds against them before the next.
+BYTES_A_TABLE, BYTES_A_PART = 1_000_000, 8_000_000
 
 #: Bytes of UTF-8: A-Z become a-z, other ASCII that is neither a letter nor a digit becomes a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -59,7 +62,7 @@ def search_tables(windows: dict[tuple[bytes, ...], list[str]], block: int = BLOC
         for end in range(b, m + 1):
             key = window[end - b : end]
             shift[key] = min(shift.get(key, m - b + 1), m - end)
-        buckets.setdefault(window[m - b :], []).append((list(window), items))
+        buckets.setdefault(window[m - b :], []).append((window, items))
     return SearchTables(m, b, m - b + 1, shift, buckets)
 
 
@@ -74,7 +77,7 @@ def search(tables: SearchTables, words: list[bytes]):
         if jump:
             at += jump
             continue
-        here = words[at - m : at]
+        here = tuple(words[at - m : at])
         for window, items in buckets[key]:
             if window == here:
                 yield at - m, items
@@ -83,76 +86,90 @@ def search(tables: SearchTables, words: list[bytes]):
 
 def tables_of(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> list[SearchTables]:
     by_length: dict[int, dict] = defaultdict(dict)
+    same: dict[bytes, bytes] = {}  # equal words are held once
     for item, text in items:
-        for w in windows_of(words_of(text), window):
+        for w in windows_of([same.setdefault(x, x) for x in words_of(text)], window):
             names = by_length[len(w)].setdefault(w, [])
             if item is not None and item not in names:
                 names.append(item)
     return [search_tables(windows) for _, windows in sorted(by_length.items())]
 
 
-def _passes(benchmark: DataFrame, words_a_pass: int):
-    """The benchmark in blocks of bounded size; the rows are streamed to the driver one partition at a time."""
-    block, size = [], 0
+def _parts(benchmark: DataFrame, window: int, size: int):
+    """The benchmark in lists of (item, text) of bounded size; its rows come to the driver one partition at a time.
+
+    A long item is cut into pieces that share a window less one word, which have the windows of the whole.
+    """
+    part, bytes_ = [], 0
     for row in benchmark.select(F.col("item_id").cast("string"), F.coalesce("text", F.lit(""))).toLocalIterator():
         text = row[1].encode()
-        block.append((row[0], text))
-        size += len(text) // 2 + 1
-        if size >= words_a_pass:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, words_a_pass: int = WORDS_A_PASS) -> tuple[DataFrame, str]:
+        words = words_of(text) if len(text) > size else []
+        step = max(1, size // 8)
+        for piece in [b" ".join(words[i : i + step + window - 1]) for i in range(0, max(1, len(words) - window + 1), step)] if words else [text]:
+            part.append((row[0], piece))
+            bytes_ += len(piece)
+            if bytes_ >= size:
+                yield part
+                part, bytes_ = [], 0
+    if part:
+        yield part
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bytes_a_table: int = BYTES_A_TABLE) -> tuple[DataFrame, str]:
     """docs with one more column, and its name: struct(n_words, starts, ends, items), the hit runs of words, ends
     exclusive, and the items that occur.
 
-    The benchmark is a given set of queries: every document is held against all of it, by one pass over the documents
-    for each block of words_a_pass words. What a pass has found is written before the next one begins, so a task holds
-    the tables of one block whatever the benchmark's size. Documents are not shuffled.
+    The benchmark is a given set of queries: every document is held against all of it, in one scan without a shuffle.
+    It is broadcast as texts in parts of bytes_a_table; a task builds the tables of one part at a time and holds a
+    bounded number of documents against them before the next, so its memory depends on neither the benchmark's size
+    nor the documents'.
     """
-    sc, name = benchmark.sparkSession.sparkContext, "_hits"
+    name = "_hits"
     while name in docs.columns:
         name = f"_{name}"
-    out = None
-    for block in _passes(benchmark, words_a_pass):
-        one = _search_udf(sc.broadcast([tuple(t) for t in tables_of(block, window)]))(F.col("text"))
-        out = docs.withColumn(name, one) if out is None else checkpointed(out).withColumn(name, _both(F.col(name), one))
-    return (docs.withColumn(name, _search_udf(sc.broadcast([]))(F.col("text"))) if out is None else out), name
-
+    parts = [benchmark.sparkSession.sparkContext.broadcast(part) for part in _parts(benchmark, window, bytes_a_table)]
+    return docs.withColumn(name, _search_udf(parts, window)(F.col("text"))), name
+
+
+def _search_udf(parts: list, window: int):
+    held: list = []  # the number of the part whose tables are held, and the tables
+
+    def tables(k: int) -> list[SearchTables]:
+        if not held or held[0] != k:
+            held.clear()
+            held.extend((k, tables_of(parts[k].value, window)))
+        return held[1]
+
+    def groups(raws: list) -> list[list]:
+        """The texts in parts of bounded size; with a single table each for itself."""
+        out, size = [[]], 0
+        for raw in raws:
+            if out[-1] and (len(parts) < 2 or size + len(raw or b"") > BYTES_A_PART):
+                out.append([])
+                size = 0
+            out[-1].append(raw)
+            size += len(raw or b"")
+        return out if raws else []
 
-def _search_udf(tables):
     def scan(texts: pa.Array) -> pa.Array:
-        out, by_length = [], [SearchTables(*t) for t in tables.value]
-        for raw in texts.cast(pa.binary()).to_pylist():
-            words = words_of(raw)
-            spans, items = [], set()
-            for t in by_length:
-                for start, names in search(t, words):
-                    spans.append((start, start + t.m))
-                    items.update(names)
-            starts, ends = merged(spans)
-            out.append({"n_words": len(words), "starts": starts, "ends": ends, "items": sorted(items)})
+        out = []
+        for raws in groups(texts.cast(pa.binary()).to_pylist()):
+            docs = [(words_of(raw), [], set()) for raw in raws]
+            order = range(len(parts)) if not held or held[0] == 0 else range(len(parts) - 1, -1, -1)  # so that tables serve twice
+            for k in order:
+                for t in tables(k):
+                    for words, spans, items in docs:
+                        for start, names in search(t, words):
+                            spans.append((start, start + t.m))
+                            items.update(names)
+            for words, spans, items in docs:
+                starts, ends = merged(spans)
+                out.append({"n_words": len(words), "starts": starts, "ends": ends, "items": sorted(items)})
         return pa.array(out, pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]))
 
     return F.arrow_udf(scan, _FOUND)
 
 
-def _both(a: Column, b: Column) -> Column:
-    """The finds of two passes over the same text."""
-
-    def join(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True):
-            starts, ends = merged([*zip(p["starts"], p["ends"]), *zip(q["starts"], q["ends"])])
-            out.append({"n_words": p["n_words"], "starts": starts, "ends": ends, "items": sorted({*p["items"], *q["items"]})})
-        return pa.array(out, x.type)
-
-    return F.arrow_udf(join, _FOUND)(a, b)
-
-
 def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     """Sorted spans with those that overlap or touch joined."""
     starts: list[int] = []
@@ -166,9 +183,9 @@ def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, words_a_pass: int = WORDS_A_PASS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bytes_a_table: int = BYTES_A_TABLE) -> DataFrame:
     """doc_id, n_words, starts, ends, items for each document."""
-    found, name = with_hits(docs.select("doc_id", "text"), benchmark, window, words_a_pass)
+    found, name = with_hits(docs.select("doc_id", "text"), benchmark, window, bytes_a_table)
     return found.select("doc_id", f"{name}.*")
 
 
