@@ -1,7 +1,8 @@
 """Secret scan with a recursive decoding worklist.
 
 Base secrets are found in the text itself. Then what looks encoded is decoded into layers: the whole text with its
-percent escapes, or its Unicode, byte and backslash escapes, replaced; base64 runs; and compressed bytes below them.
+percent escapes, or its Unicode, byte and backslash escapes, replaced; base64 runs, also wrapped over lines or behind
+characters of the same alphabet; UTF-16 below them; and compressed bytes that begin anywhere in them.
 Each layer is scanned and searched again, until no layer gives a new one. Layers seen before are skipped, which ends
 cycles. Every character of a layer knows which characters of the original it came from, so a find deep inside maps to
 a span of the text. A secret that a layer only repeats from the one above it is not reported again.
@@ -24,6 +25,7 @@ from array import array
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +48,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
 
 PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
-ESCAPED = re.compile(r"""\\(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|(["'/\\bfnrt]))""")
+ESCAPED = re.compile(r"""\\(?:u\{([0-9A-Fa-f]{1,6})\}|u([Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|[0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|(["'/\\bfnrt]))""")
 PLAIN_ESCAPES = dict(zip("bfnrt", "\b\f\n\r\t"))
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % BASE64_LEAST)
+#: A run, which may be wrapped: then every line but the last is long, too.
+BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{%d,}+\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]++={0,2}|[A-Za-z0-9+/_-]{%d,}+={0,2}" % (BASE64_LEAST, BASE64_LEAST))
 #: A character that no secret or encoded run contains.
 BREAK = re.compile(r"""[^A-Za-z0-9+/_.=:~%\\{}"'\x20-]""")
 #: Where compressed bytes may begin in a layer whose escapes were replaced.
@@ -168,6 +171,8 @@ def _percent_byte(e: re.Match) -> bytes:
 def _escaped_bytes(e: re.Match) -> bytes:
     if e[4]:
         return PLAIN_ESCAPES.get(e[4], e[4]).encode()
+    if e[2] and len(e[2]) > 4:  # a surrogate pair
+        return bytes.fromhex(e[2][:4] + e[2][6:]).decode("utf-16-be").encode()
     code = int(e[1] or e[2] or e[3], 16)
     return bytes([code]) if e[3] and code > 127 else chr(code).encode(errors="replace") if code < 0x110000 else b"?"
 
@@ -197,16 +202,29 @@ def _replaced(text: str, escape: re.Pattern, value):
     return bytes(raw), np.frombuffer(starts, np.int64), np.frombuffer(stops, np.int64)
 
 
-def _base64(m: re.Match):
-    body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except ValueError:
-        return None
-    k = np.arange(len(raw))
-    return raw, m.start() + 8 * k // 6, m.start() - (-8 * (k + 1) // 6)
+def _base64(m: re.Match) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """The bytes of a run, with their sources, read from each of its first four characters.
+
+    What stands before the encoded part may be of the same alphabet, as in id/aGVs..., so where a group of four
+    characters begins isn't known; whatever comes before it, one of the four readings is in step.
+    """
+    run = m[0].rstrip("=")
+    places = np.arange(m.start(), m.start() + len(run))
+    if "\n" in run:
+        kept = np.array([c not in "\r\n \t" for c in run])
+        run, places = re.sub(r"[\r\n \t]", "", run), places[kept]
+    run = run.replace("-", "+").replace("_", "/")
+    for skip in range(4):
+        body = run[skip : len(run) - ((len(run) - skip) % 4 == 1)]
+        raw = base64.b64decode(body + "=" * (-len(body) % 4))
+        k = np.arange(len(raw))
+        yield raw, places[skip + 8 * k // 6], places[skip - (-8 * (k + 1) // 6) - 1] + 1
+
+
+def _without_zeros(raw: bytes, starts: np.ndarray, stops: np.ndarray):
+    """The bytes but zeros, with their sources: what UTF-16 or UTF-32 makes of plain characters."""
+    kept = np.frombuffer(raw, np.uint8) != 0
+    return raw.replace(b"\0", b""), starts[kept], stops[kept]
 
 
 def _packed_layers(name: str, blocks: Callable[[], Iterator[bytes]], seen: set) -> Iterator[tuple[str, str]]:
@@ -259,11 +277,7 @@ class _Search:
         known = base_spans(layer) if whole else []
         for name, raw, starts, stops in whole:
             later += self.opened(path, sources, name, *_characters(raw, starts, stops), known)
-        for m in BASE64.finditer(layer):
-            if run := _base64(m):
-                yield from self.opened(path, sources, "base64", *_characters(*run))
-                for name, text in _packed_layers("base64", lambda r=run[0]: iter((r,)), self.seen):
-                    yield from self.opened(path, sources, name, text, *_same(m.start(), m.end(), len(text)))
+        yield from self.base64_layers(path, layer, sources, slice(0, 1))
         for name, raw, starts, stops in whole:
             for m in PACKED.finditer(raw):
                 if m[0][:1] == b"B" or (stops - starts)[m.start() : m.end()].max() > 1:
@@ -272,6 +286,20 @@ class _Search:
                     for inner, text in _packed_layers(name, lambda r=raw, a=m.start(): iter((r[a:],)), self.seen):
                         yield from self.opened(path, sources, inner, text, *_same(*ends, len(text)))
         yield from later
+        yield from self.base64_layers(path, layer, sources, slice(1, 4))
+
+    def base64_layers(self, path: str, layer: str, sources, readings: slice):
+        for m in BASE64.finditer(layer):
+            for run in islice(_base64(m), readings.start, readings.stop):
+                yield from self.opened(path, sources, "base64", *_characters(*run))
+                if b"\0" in run[0]:
+                    yield from self.opened(path, sources, "base64.utf16", *_characters(*_without_zeros(*run)))
+                for at in PACKED.finditer(run[0]):
+                    for name, text in _packed_layers("base64", lambda r=run[0], a=at.start(): iter((r[a:],)), self.seen):
+                        yield from self.opened(path, sources, name, text, *_same(m.start(), m.end(), len(text)))
+                        if "\0" in text:
+                            plain = text.replace("\0", "")
+                            yield from self.opened(path, sources, f"{name}.utf16", plain, *_same(m.start(), m.end(), len(plain)))
 
     def opened(self, path: str, sources, name: str, text: str, starts: np.ndarray, stops: np.ndarray, known=()) -> list:
         """The layer to search, if it is new; notes its secrets but those inside `known` spans of its parent."""
