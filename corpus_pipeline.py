@@ -6,14 +6,13 @@ benchmark decontamination, and SentencePiece encoding. Every stage but the last
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm import decontamination, exact_dedup, quality, sentencepieces, simhash
-from tallyline.llm.common import table
+from tallyline.llm.common import shared_folder, table
 
 #: A document is rejected if it is less likely than this to be good; below 0.5, so that doubt keeps a document.
 LEAST_QUALITY = 0.4
@@ -55,8 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over all documents; the stages' Parquet goes to the shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared}/corpus-pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")

@@ -18,16 +18,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the cluster's shared checkpoint folder and read back: cuts lineage, survives lost executors.
-
-    The folder is spark.checkpoint.dir of the session; only where none is set (tests) a temporary one is made.
-    """
+    """df written to the cluster's shared checkpoint folder and read back: cuts lineage, survives lost executors."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; where none is set, a temporary folder, but only if all tasks run on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that every node sees")
+    return tempfile.mkdtemp(prefix="checkpoint-")
+
+
 def join_counted(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str, rows: int | None = None) -> DataFrame:
     """Join with a right side that is broadcast only if its counted rows are few; otherwise Spark shuffles.
 
@@ -106,14 +113,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, may_learn:
     """(doc_id, label, text): at most rows_a_class labelled documents of each class, chosen by the hashes of their ids.
 
     Classes are 0 and 1. The ids are chosen without the texts; their number bounds the broadcast and the result. A
-    null label or id, and ids that are labelled with both classes, are left out.
+    null label or id, and ids that are labelled with both classes, are left out. Of an id's several texts the one that
+    sorts first counts; a null one counts as empty.
     """
     known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & may_learn).groupBy("doc_id").agg(F.min(column).alias("label"), F.max(column).alias("other"))
     known = known.where("label = other").select("doc_id", "label")
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = [bounded_sample(known.where(F.col("label") == k), "doc_id", rows_a_class, sizes.get(k, 0)) for k in (0, 1)]
     chosen = checkpointed(chosen[0].unionByName(chosen[1]))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def sigmoid(z):
