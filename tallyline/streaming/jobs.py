@@ -24,8 +24,12 @@ LATE = "2 hours"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    """A new folder that all executors see: under spark.checkpoint.dir, or a temporary one if all tasks run on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every node sees")
+        root = tempfile.mkdtemp(prefix="stream-")
     return f"{root}/stream-{uuid.uuid4().hex}"
 
 
