@@ -93,6 +93,25 @@ def inet_aton(text: Column) -> Column:
     return F.when(valid, number)
 
 
+def inet6_aton(text: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address, which compare like addresses; null if it isn't one."""
+    halves = F.split(F.lower(text), "::")
+    groups = lambda x: F.filter(F.split(F.coalesce(x, F.lit("")), ":"), lambda g: g != "")
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
+    missing = F.lit(8) - F.size(left) - F.size(right)
+    filled = F.concat(left, F.when(missing > 0, F.array_repeat(F.lit("0"), missing)).otherwise(F.array().cast("array<string>")), right)
+    shaped = text.rlike("^[0-9A-Fa-f]{0,4}(::?[0-9A-Fa-f]{1,4})*(::)?$") & (F.size(halves) <= 2)
+    right_number = F.when(F.size(halves) == 2, missing > 0).otherwise(missing == 0)
+    return F.when(shaped & right_number & ~text.rlike("^:[^:]"), F.array_join(F.transform(filled, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def network6(digits: Column, mask: int) -> Column:
+    """The leading bits of an IPv6 address, whose digits inet6_aton gives, the others as zeros."""
+    whole, bits = divmod(mask, 4)
+    digit = F.conv(F.substring(digits, whole + 1, 1), 16, 10).cast("int").bitwiseAND(16 - (1 << (4 - bits)))
+    return F.rpad(F.concat(F.substring(digits, 1, whole), F.lower(F.conv(digit.cast("string"), 10, 16)) if bits else F.lit("")), 32, "0")
+
+
 def inet_ntoa(ip: Column) -> Column:
     byte = lambda shift: F.shiftright(ip, shift).bitwiseAND(255).cast("string")
     return F.concat_ws(".", byte(24), byte(16), byte(8), byte(0))

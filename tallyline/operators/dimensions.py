@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import semantics as X
 from tallyline.functions import voice
-from tallyline.operators.intervals import NER, S, SEER, lsr_matches, r6
+from tallyline.operators.intervals import NER, S, SEER, lsr_matches, nearest_rank, r6
 from tallyline.operators.rating import price, rated
 from tallyline.session import table
 from tallyline.sources.calls import BILLING_RULES, CDR, CDR_BILLING, CDR_RTP, cdr, cdr_rtp, small, values
@@ -78,6 +78,16 @@ def mos_by_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("cdr_id", "idx", "codec", r6(mos).alias("mos"))
 
 
+def stream_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss and jitter of streams by source and day: mean, most, and the worst 5 and 1 in a hundred by nearest rank."""
+    r = cdr_rtp(spark, sf_dir).select("saddr", F.expr("t_us div 86400000000").alias("day"), "jitter_x10", F.expr("lost * 1000 div (received + 2 + lost)").alias("loss_x10"))
+    keys = ["saddr", "day"]
+    base = r.groupBy(*keys).agg(F.count("*").alias("n"), *(f for v in ("loss_x10", "jitter_x10") for f in (r6(F.sum(v) / F.count("*")).alias(f"{v}_avg"), F.max(v).alias(f"{v}_max"))))
+    for v in ("loss_x10", "jitter_x10"):
+        base = base.join(nearest_rank(r.where(c(v) != 0), keys, v, [95, 99], prefix=f"{v}_perc"), keys, "left")
+    return base
+
+
 # Periods of the day with the alert that they belong to, as (alert, begin hour, end hour, limit).
 PERIODS = [(1, 22, 5, 2), (1, 6, 21, 4), (2, 0, 23, 6)]
 
@@ -161,12 +171,22 @@ def oldest_unanswered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("request_id", "response_id", took.alias("took_us"), X.known((took <= 3600 * 12 * S) & (c("lsr") == 200)).alias("qualify_ok"))
 
 
-QUERIES = {f.__name__: f for f in (number_rules_from_table, ratio_pairs, mos_by_codec, alerts_by_period, customer_by_address, prefix_groups, size_by_group, filter_registrations, rerated, oldest_unanswered)}
+QUERIES = {f.__name__: f for f in (number_rules_from_table, ratio_pairs, mos_by_codec, stream_quality, alerts_by_period, customer_by_address, prefix_groups, size_by_group, filter_registrations, rerated, oldest_unanswered)}
 
 _PAIR = lambda v1, v2, name: f"""CASE WHEN {v2} > 0 THEN '{{"_":"cmp2","v1":' || {v1} || ',"v2":' || {v2} || '}}' END AS {name}"""
 _PRICE = lambda p: f"round(CAST(CASE WHEN t1 = t2 THEN ((dur_s + t1 - 1) // t1) * t1 ELSE t1 + CASE WHEN dur_s > t1 THEN ((dur_s - t1 + t2 - 1) // t2) * t2 ELSE 0 END END AS DOUBLE) * CAST({p} AS DOUBLE) / 60, 6)"
 
+
+
+def _ranked_sql(v: str) -> str:
+    pick = lambda p: f"max(CASE WHEN rn = least(CAST(round(n * {p} / 100.0) AS BIGINT), n - 1) THEN {v} END) AS {v}_perc{p}"
+    return f"(SELECT saddr, day, {pick(95)}, {pick(99)} FROM (SELECT saddr, day, {v}, row_number() OVER (PARTITION BY saddr, day ORDER BY {v}) - 1 AS rn, count(*) OVER (PARTITION BY saddr, day) AS n FROM r WHERE {v} <> 0) GROUP BY saddr, day)"
+
+
 ORACLE_SQL = {
+    "stream_quality": f"""WITH r AS (SELECT saddr, t_us // 86400000000 AS day, jitter_x10, lost * 1000 // (received + 2 + lost) AS loss_x10 FROM {CDR_RTP}),
+b AS (SELECT saddr, day, count(*) AS n, {', '.join(f'round(CAST(sum({v}) AS DOUBLE) / count(*), 6) AS {v}_avg, max({v}) AS {v}_max' for v in ('loss_x10', 'jitter_x10'))} FROM r GROUP BY saddr, day)
+SELECT * FROM b LEFT JOIN {_ranked_sql('loss_x10')} USING (saddr, day) LEFT JOIN {_ranked_sql('jitter_x10')} USING (saddr, day)""",
     "number_rules_from_table": f"""SELECT called AS number, call_id, caller FROM {CDR} WHERE (called LIKE '0049%' OR (length(called) = 10 AND CAST(called AS BIGINT) BETWEEN 44000010 AND 44000040) OR called LIKE '%77' OR called = '420000001' OR contains(called, '0008'))
   AND NOT (called LIKE '%13' OR (length(called) = 10 AND CAST(called AS BIGINT) BETWEEN 49000020 AND 49000029))""",
     "ratio_pairs": f"""SELECT sensor_id, day, {_PAIR('seconds', 'connected', 'acd')}, {_PAIR('connected', 'n', 'asr')}, {_PAIR('effective', 'n', 'ner')}, {_PAIR('session', 'not_3', 'seer')}

@@ -66,23 +66,35 @@ def number_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.join(r, (c("caller") >= c("number_from")) & (c("caller") <= c("number_to"))).select("caller", "n", "customer_id")
 
 
-def best_weight_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The billing assignment of each call with the greatest weight: address 30, number 20, user set 100 or unset 1.
+def best_assignments(calls: DataFrame, rules: DataFrame, longest: int = 16) -> DataFrame:
+    """src_ip, called, username with the assignment of the greatest weight, from a table of assignments of any size:
+    id, rule_id, ip_from, ip_to, prefix, user.
 
-    Ties go to the lowest id. An assignment that names a user and does not match it weighs nothing.
+    An address in the range weighs 30, a number with the prefix 20; beside these, or without either in the rule, the
+    rule's user weighs 100, and no user where the call has none 1. Both conditions are equality joins, through blocks
+    of addresses and the beginnings of numbers, over what is distinct in the calls.
     """
-    calls = cdr(spark, sf_dir).withColumn("username", F.when(c("k") % 4 != 0, c("ua")).otherwise(""))
-    weights = []
-    for number, rule, ip_from, ip_to, prefix, user in BILLING_ASSIGNMENTS:
-        ip = F.when(c("src_ip").between(ip_from, ip_to), 30).otherwise(0) if ip_from is not None else F.lit(0)
-        num = F.when(c("called").startswith(prefix), 20).otherwise(0) if prefix is not None else F.lit(0)
-        base = ip + num
-        open_ = F.lit(ip_from is None and prefix is None)
-        fits = (base > 0) | open_
-        weight = F.when(fits & (c("username") == user), base + 100).otherwise(0) if user is not None else F.when(fits & (c("username") == ""), base + 1).otherwise(base)
-        weights.append(F.struct(weight.alias("weight"), F.lit(-number).alias("order"), F.lit(rule).alias("rule_id")))
-    best = F.array_max(F.filter(F.array(*weights), lambda w: w["weight"] > 0))
-    return calls.withColumn("_b", best).where("_b IS NOT NULL").select("call_id", (-c("_b.order")).alias("assignment_id"), "_b.rule_id", "_b.weight")
+    keys = ["src_ip", "called", "username"]
+    combos = calls.select(*keys).distinct()
+    ips = range_join(combos.select("src_ip").distinct(), "src_ip", rules.where("ip_from IS NOT NULL"), "ip_from", "ip_to").select("src_ip", "id", F.lit(30).alias("w"))
+    sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("called")))
+    heads = combos.select("called").distinct().select("called", F.explode(F.transform(sizes, lambda n: F.substring(c("called"), F.lit(1), n))).alias("prefix"))
+    numbers = heads.join(rules.where("prefix IS NOT NULL"), "prefix").select("called", "id", F.lit(20).alias("w"))
+    free = rules.where("ip_from IS NULL AND prefix IS NULL").select(F.coalesce("user", F.lit("")).alias("username"), "id", F.lit(0).alias("w"))
+    hits = combos.join(ips, "src_ip").unionByName(combos.join(numbers, "called")).unionByName(combos.join(free, "username"))
+    hits = hits.groupBy(*keys, "id").agg(F.sum("w").alias("base")).join(rules.select("id", "rule_id", "user"), "id")
+    named = c("user").isNotNull()
+    weight = F.when(named & (c("user") == c("username")), c("base") + 100).when(named, 0).when(c("username") == "", c("base") + 1).otherwise(c("base"))
+    best = hits.withColumn("weight", weight.cast("int")).where("weight > 0").groupBy(*keys).agg(F.max_by(F.struct("id", "rule_id", "weight"), F.struct(c("weight"), -c("id"))).alias("_b"))
+    return best.select(*keys, c("_b.id").alias("assignment_id"), "_b.rule_id", "_b.weight")
+
+
+def best_weight_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The billing assignment of each call with the greatest weight; ties go to the lowest id. An assignment that names
+    a user and does not match it weighs nothing."""
+    calls = cdr(spark, sf_dir).withColumn("username", F.when(c("k") % 4 != 0, c("ua")).otherwise("")).select("call_id", "src_ip", "called", "username")
+    rules = small(spark, BILLING_ASSIGNMENTS, "id int, rule_id int, ip_from long, ip_to long, prefix string, user string")
+    return calls.join(best_assignments(calls, rules), ["src_ip", "called", "username"]).select("call_id", "assignment_id", "rule_id", "weight")
 
 
 # Number patterns as (kind, pattern, class), fixed numbers before regular expressions before prefixes.

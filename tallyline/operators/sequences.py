@@ -108,17 +108,18 @@ def seq_gap_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.groupBy("sensor_id", F.least(c("step") - 1, F.lit(10)).alias("length")).agg(F.count("*").alias("n"))
 
 
-def drops(per_minute: DataFrame, minutes_back: int = 5, percent: float = 30, absolute: int = 2) -> DataFrame:
-    """Minutes whose count fell below the whole mean of the minutes before, by a share and by a number."""
-    w = W.partitionBy("sensor_id").orderBy("bucket").rowsBetween(-minutes_back, -1)
+def drops(per_minute: DataFrame, minutes_back: int = 5, percent: float = 30, absolute: int = 1) -> DataFrame:
+    """Minutes whose count fell below the whole mean of the minutes before, by a share and by a number. There is one row
+    a minute, so the window is over few rows however many calls there are."""
+    w = W.orderBy("bucket").rowsBetween(-minutes_back, -1)
     m = per_minute.withColumn("before", F.count("*").over(w)).withColumn("mean", F.floor(F.sum("n").over(w) / F.count("*").over(w)).cast("bigint"))
     diff = c("mean") - c("n")
-    return m.where((c("before") >= minutes_back) & (c("n") < c("mean")) & (diff * 100 >= percent * c("mean")) & (diff >= absolute)).select("sensor_id", "bucket", "n", "mean")
+    return m.where((c("before") >= minutes_back) & (c("n") < c("mean")) & (diff * 100 >= percent * c("mean")) & (diff >= absolute)).select("bucket", "n", "mean")
 
 
 def concurrency_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per_minute = minutes(cdr(spark, sf_dir)).groupBy("sensor_id", "bucket").agg(F.count("*").alias("n"))
-    return drops(per_minute)
+    """Minutes in which the calls of all sensors together dropped."""
+    return drops(minutes(cdr(spark, sf_dir)).groupBy("bucket").agg(F.count("*").alias("n")))
 
 
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +136,7 @@ def response_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (running_concurrency, change_country, state_segments, state_expiry, moving_avg_30, jitter_rfc3550, seq_gap_histogram, concurrency_drop, latest_per_key, response_delay)}
 
-_PER_MINUTE = f"(SELECT sensor_id, bucket, count(*) AS n FROM {MINUTES} GROUP BY sensor_id, bucket)"
+_PER_MINUTE = f"(SELECT bucket, count(*) AS n FROM {MINUTES} GROUP BY bucket)"
 
 ORACLE_SQL = {
     "running_concurrency": f"SELECT sensor_id, max(n) AS most, count(*) AS events, round(CAST(sum(CASE WHEN d = 1 THEN n END) AS DOUBLE) / count(*) FILTER (WHERE d = 1), 6) AS mean_at_begin FROM {_RUNNING} GROUP BY sensor_id",
@@ -152,8 +153,8 @@ j AS (SELECT user_id, rn, v / 16 AS a FROM r WHERE rn = 1 UNION ALL SELECT r.use
 SELECT user_id, round(a, 6) AS jitter FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS last FROM j) WHERE last = 1""",
     "seq_gap_histogram": f"""SELECT sensor_id, least(step - 1, 10) AS length, count(*) AS n FROM (SELECT sensor_id, (((seq - lag(seq) OVER (PARTITION BY sensor_id, codec, dst_ip ORDER BY b_us, call_id)) % 65536) + 65536) % 65536 AS step
   FROM (SELECT *, (((call_id * 11 - CASE WHEN k % 5 = 0 THEN k % 97 ELSE 0 END) % 65536) + 65536) % 65536 AS seq FROM {CDR})) WHERE step > 1 AND step < 32768 GROUP BY 1, 2""",
-    "concurrency_drop": f"""SELECT sensor_id, bucket, n, mean FROM (SELECT *, count(*) OVER w AS before, CAST(floor(CAST(sum(n) OVER w AS DOUBLE) / count(*) OVER w) AS BIGINT) AS mean FROM {_PER_MINUTE}
-  WINDOW w AS (PARTITION BY sensor_id ORDER BY bucket ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) WHERE before >= 5 AND n < mean AND (mean - n) * 100 >= 30 * mean AND mean - n >= 2""",
+    "concurrency_drop": f"""SELECT bucket, n, mean FROM (SELECT *, count(*) OVER w AS before, CAST(floor(CAST(sum(n) OVER w AS DOUBLE) / count(*) OVER w) AS BIGINT) AS mean FROM {_PER_MINUTE}
+  WINDOW w AS (ORDER BY bucket ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) WHERE before >= 5 AND n < mean AND (mean - n) * 100 >= 30 * mean AND mean - n >= 1""",
     "latest_per_key": f"""SELECT caller, dst_ip, call_id, lsr, dur_us, n, first_us FROM (SELECT *, count(*) OVER (PARTITION BY caller, dst_ip) AS n, min(b_us) OVER (PARTITION BY caller, dst_ip) AS first_us,
   row_number() OVER (PARTITION BY caller, dst_ip ORDER BY b_us DESC, call_id DESC) AS rn FROM {CDR}) WHERE rn = 1""",
     "response_delay": f"SELECT caller, CAST(sum(dur_us - connect_us) // count(*) AS BIGINT) AS rrd_avg FROM {CDR} WHERE connect_us IS NOT NULL GROUP BY caller",

@@ -109,6 +109,17 @@ def upsert(folder: str, keys: list[str]):
     return write
 
 
+def alert_sink(folder: str, rule: str, time_us: str):
+    """A foreachBatch sink: each row is an alert of a rule, as JSON with its event time; a batch that is run again
+    replaces what it wrote before."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        info = F.to_json(F.struct(*batch.columns))
+        batch.select(F.lit(rule).alias("rule"), c(time_us).alias("at_us"), info.alias("alert_info")).write.mode("overwrite").parquet(f"{folder}/batch={epoch}")
+
+    return write
+
+
 def drain(stream: DataFrame, folder: str, keys: list[str] | None = None, mode: str = "append") -> DataFrame:
     """Runs a stream until its source is read up; returns the sink's table."""
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")

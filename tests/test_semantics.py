@@ -1,6 +1,7 @@
 """The quirks of the filter language, of metrics and of rating, on hand-made values."""
 
 import datetime
+import ipaddress
 import random
 
 import pytest
@@ -189,3 +190,12 @@ def test_fold_sorted_carries_state_over_batches(spark):
 def test_minutes_count_each_call_once_at_its_begin(spark):
     total = intervals.minute_expand(spark, "/root/testdata/sf0.001").agg(F.sum("began"), F.sum("ended")).first()
     assert total[0] == total[1] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_addresses_of_version_6(spark):
+    good = {"::1": 1, "fe80::1:2": ipaddress.ip_address("fe80::1:2"), "2001:db8:0:0:1:0:0:1": ipaddress.ip_address("2001:db8::1:0:0:1"), "::": 0, "1::": 1 << 112, "2001:DB8::": ipaddress.ip_address("2001:db8::")}
+    assert {t: one(spark, X.inet6_aton(L(t))) for t in good} == {t: f"{int(n):032x}" for t, n in good.items()}
+    for bad in ("1:2", ":::", "1::2::3", "12345::", "g::1", "1:2:3:4:5:6:7:8:9", ""):
+        assert one(spark, X.inet6_aton(L(bad))) is None, bad
+    net = ipaddress.ip_network("2001:db80::/29")
+    assert one(spark, X.network6(X.inet6_aton(L("2001:db87:1::5")), 29)) == f"{int(net.network_address):032x}"

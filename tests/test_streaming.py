@@ -62,3 +62,12 @@ def test_queries_keep_every_row_of_many_unordered_files(spark, tmp_path):
         want = sorted(db.execute(jobs.ORACLE_SQL[name]).fetchall())
         assert sorted(map(tuple, jobs.QUERIES[name](spark, str(tmp_path)).collect())) == want
     assert len(want) == 3 * n
+
+
+def test_alerts_are_written_once_as_json(spark, tmp_path):
+    write = jobs.alert_sink(str(tmp_path), "window", "judged_us")
+    batch = spark.createDataFrame([(7, 1, 5, 3)], "user_id long, begin_us long, judged_us long, n long")
+    for epoch in (0, 1, 1):
+        write(batch, epoch)
+    rows = spark.read.parquet(str(tmp_path)).collect()
+    assert sorted((r["batch"], r["rule"], r["at_us"], r["alert_info"]) for r in rows) == [(k, "window", 5, '{"user_id":7,"begin_us":1,"judged_us":5,"n":3}') for k in (0, 1)]
