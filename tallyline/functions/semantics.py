@@ -12,6 +12,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, for use inside higher-order functions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def known(c: Column) -> Column:
     """A condition with two truth values."""
     return F.coalesce(c, F.lit(False))

@@ -79,18 +79,25 @@ def price_with_peak(begin_s: Column, seconds: Column, normal: Column, peak: Colu
     slices; what working days are is found once for each day of the call.
     """
     first_day = F.floor(begin_s / 86_400)
-    days = F.floor((begin_s + seconds + 2 * t1 + 2 * t2) / 86_400) - first_day + 1
-    working = F.transform(F.sequence(first_day, first_day + days), is_working)
-    start = F.struct(begin_s.cast("bigint").alias("now"), F.greatest(seconds, F.lit(1)).cast("bigint").alias("left"), F.lit(0.0).alias("total"), working.alias("working"))
+    length = F.greatest(seconds, F.lit(1))
+    days = F.floor((begin_s + length) / 86_400) - first_day + 1  # what is left ends there, since now + left never changes
+    working = F.when(days == 1, F.array(is_working(first_day))).otherwise(F.transform(F.sequence(first_day, first_day + days - 1), is_working))
+    start = F.struct(begin_s.cast("bigint").alias("now"), length.cast("bigint").alias("left"), F.lit(0.0).alias("total"), working.alias("working"))
 
-    def step(s: Column, k: Column) -> Column:
+    def rate(s: Column) -> Column:
         high, until = peak_at(s["now"], F.get(s["working"], (F.floor(s["now"] / 86_400) - first_day).cast("int")), begin, end)
-        size = F.when(k > 1, F.least(s["left"], until - s["now"])).when(t1 != t2, t1).otherwise(s["left"])
+        return F.struct(F.when(high, peak).otherwise(normal).alias("price"), until.alias("until"))
+
+    def billed(s: Column, k: Column, r: Column) -> Column:
+        size = F.when(k > 1, F.least(s["left"], r["until"] - s["now"])).when(t1 != t2, t1).otherwise(s["left"])
         unit = F.when(k == 1, t1).otherwise(t2)
-        billed = (F.ceil(size / unit) * unit).cast("bigint")
-        price_ = billed * F.when(high, peak).otherwise(normal) / 60
-        on = F.struct((s["now"] + billed).alias("now"), (s["left"] - billed).alias("left"), (s["total"] + price_).alias("total"), s["working"].alias("working"))
-        return F.when(s["left"] > 0, on).otherwise(s)
+        return (F.ceil(size / unit) * unit).cast("bigint")
+
+    def on(s: Column, r: Column, n: Column) -> Column:
+        return F.struct((s["now"] + n).alias("now"), (s["left"] - n).alias("left"), (s["total"] + n * r["price"] / 60).alias("total"), s["working"].alias("working"))
+
+    def step(s: Column, k: Column) -> Column:
+        return F.when(s["left"] > 0, X.let(rate(s), lambda r: X.let(billed(s, k, r), lambda n: on(s, r, n)))).otherwise(s)
 
     return F.aggregate(F.sequence(F.lit(1).cast("bigint"), 2 + 3 * days), start, step, lambda s: s["total"])
 
