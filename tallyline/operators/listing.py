@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import semantics as X
 from tallyline.functions.json_filter import call_filter
+from tallyline.operators.anchored import anchored
 from tallyline.operators.intervals import QUARTER, QUARTERS, S, counted_to, quarters, r6
-from tallyline.operators.rules import fold_sorted
 from tallyline.operators.sequences import previous
 from tallyline.session import table
 from tallyline.sources.calls import CDR, cdr
@@ -80,12 +80,7 @@ def send_call_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 def counter_restart(spark: SparkSession, sf_dir: str, interval_s: int = 86_400) -> DataFrame:
     """Counters by address that begin anew with the first event after their interval."""
     rows = cdr(spark, sf_dir).select("src_ip", "b_us", "call_id")
-
-    def step(state, row):
-        begin, n = state if state and row.b_us <= state[0] + interval_s * S else (row.b_us, 0)
-        return (begin, n + 1), (row.src_ip, row.call_id, begin, n + 1)
-
-    return fold_sorted(rows, ["src_ip"], ["b_us", "call_id"], step, "src_ip long, call_id long, begin_us long, n long")
+    return anchored(rows, ["src_ip"], "b_us", "call_id", interval_s * S).select("src_ip", "call_id", "begin_us", "n")
 
 
 def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,12 +110,7 @@ def registration_states(spark: SparkSession, sf_dir: str, timeout_s: int = 600)
 def register_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many registrations of an address pair a cache would answer: those less than an hour after the last one kept."""
     rows = cdr(spark, sf_dir).where("event_type = 'signup'").select("src_ip", "b_us", "call_id")
-
-    def step(state, row):
-        hit = state is not None and row.b_us - state < 3600 * S
-        return (state if hit else row.b_us), (row.src_ip, row.call_id, bool(hit))
-
-    return fold_sorted(rows, ["src_ip"], ["b_us", "call_id"], step, "src_ip long, call_id long, hit boolean")
+    return anchored(rows, ["src_ip"], "b_us", "call_id", 3600 * S, at_end=True).select("src_ip", "call_id", (c("n") > 1).alias("hit"))
 
 
 QUERIES = {

@@ -1,19 +1,15 @@
 """Alert rules in batch form. Their streaming twins are in tallyline.streaming.
 
-Rules that restart their own windows depend on each key's events in order. They run as a fold over rows that Spark has
-partitioned by key and sorted; the fold sees one row at a time and keeps one small state, so memory does not grow with
-a key's rows.
+Rules that restart their own windows use tallyline.operators.anchored; counts of what is going on at once use running sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions import semantics as X
+from tallyline.operators.anchored import anchored
 from tallyline.operators.intervals import S
 from tallyline.operators.sequences import plus_minus, running
 from tallyline.sources.calls import CDR, cdr
@@ -21,75 +17,38 @@ from tallyline.sources.calls import CDR, cdr
 c = F.col
 
 
-def fold_sorted(rows: DataFrame, keys: list[str], order: list[str], step: Callable, schema: str, partitions: int | None = None) -> DataFrame:
-    """step(state, row) -> (state, output tuple or None), over each key's rows in order; state starts as None.
-
-    Rows are dealt by key and sorted within partitions, then streamed through Python batch by batch.
-    """
-    dealt = rows.repartition(partitions, *keys) if partitions else rows.repartition(*keys)
-    dealt = dealt.sortWithinPartitions(*keys, *order)
-    names = [f.split()[0] for f in schema.split(",")]
-
-    def run(batches):
-        state, last = None, None
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                key = tuple(getattr(row, k) for k in keys)
-                if key != last:
-                    state, last = None, key
-                state, emitted = step(state, row)
-                if emitted is not None:
-                    out.append(emitted)
-            yield pd.DataFrame(out, columns=names)
-
-    return dealt.mapInPandas(run, schema)
-
-
-def anchored_windows(length_us: int, limit: int) -> Callable:
+def judged(rows: DataFrame, keys: list[str], length_us: int, limit: int) -> DataFrame:
     """Windows that begin with a key's first event and are judged at its first event past the length.
 
     That event is still counted; the next one begins a new window.
     """
-
-    def step(state, row):
-        begin, n = state if state else (row.b_us, 0)
-        n += 1
-        if row.b_us > begin + length_us:
-            return None, ((*row[: len(row) - 2], begin, row.b_us, n) if n >= limit else None)
-        return (begin, n), None
-
-    return step
+    w = anchored(rows.select(*keys, "b_us", "call_id"), keys, "b_us", "call_id", length_us, closes=True)
+    return w.where((c("b_us") > c("begin_us") + length_us) & (c("n") >= limit)).select(*keys, "begin_us", c("b_us").alias("judged_us"), "n")
 
 
 def fraud_packet_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source addresses with at least 3 events in a window of six hours that begins at their first event."""
-    rows = cdr(spark, sf_dir).select("src_ip", "b_us", "call_id")
-    return fold_sorted(rows, ["src_ip"], ["b_us", "call_id"], anchored_windows(6 * 3600 * S, 3), "src_ip long, begin_us long, judged_us long, n long")
+    return judged(cdr(spark, sf_dir), ["src_ip"], 6 * 3600 * S, 3)
 
 
 def fraud_register_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over registrations, which are the signup events here."""
-    rows = cdr(spark, sf_dir).where("event_type = 'signup'").select("src_ip", "b_us", "call_id")
-    return fold_sorted(rows, ["src_ip"], ["b_us", "call_id"], anchored_windows(24 * 3600 * S, 2), "src_ip long, begin_us long, judged_us long, n long")
+    return judged(cdr(spark, sf_dir).where("event_type = 'signup'"), ["src_ip"], 24 * 3600 * S, 2)
 
 
 def fraud_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated calls from one address to one destination, international ones only."""
-    rows = cdr(spark, sf_dir).where("called LIKE '00%'").select("src_ip", "dst_ip", "b_us", "call_id")
-    return fold_sorted(rows, ["src_ip", "dst_ip"], ["b_us", "call_id"], anchored_windows(5 * 86400 * S, 3), "src_ip long, dst_ip long, begin_us long, judged_us long, n long")
+    return judged(cdr(spark, sf_dir).where("called LIKE '00%'"), ["src_ip", "dst_ip"], 5 * 86400 * S, 3)
 
 
-def suppress_repeats(spark: SparkSession, sf_dir: str, hours: int = 12) -> DataFrame:
+def suppressed(alerts: DataFrame, keys: list[str], t: str, tie: str, hours: int) -> DataFrame:
     """Alerts of one key at most once in so many hours, counted from the last one that was raised."""
-    rows = cdr(spark, sf_dir).where("lsr >= 400").select("caller", "b_us", "call_id")
+    columns = alerts.columns
+    return anchored(alerts, keys, t, tie, hours * 3600 * S, at_end=True).where("n = 1").select(*columns)
 
-    def step(state, row):
-        if state is not None and row.b_us < state + hours * 3600 * S:
-            return state, None
-        return row.b_us, (row.caller, row.b_us, row.call_id)
 
-    return fold_sorted(rows, ["caller"], ["b_us", "call_id"], step, "caller string, b_us long, call_id long")
+def suppress_repeats(spark: SparkSession, sf_dir: str, hours: int = 12) -> DataFrame:
+    return suppressed(cdr(spark, sf_dir).where("lsr >= 400").select("caller", "b_us", "call_id"), ["caller"], "b_us", "call_id", hours)
 
 
 def fraud_concurrent_calls(spark: SparkSession, sf_dir: str, limit: int = 3) -> DataFrame:

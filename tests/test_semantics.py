@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import semantics as X
 from tallyline.functions import voice
-from tallyline.operators import intervals, rating, rules, sequences
+from tallyline.operators import intervals, rating, sequences
+from tallyline.operators.anchored import anchored
 
 
 def one(spark, column):
@@ -172,19 +173,28 @@ def test_running_sum_in_blocks_equals_the_plain_one(spark, calls):
     assert got == sorted(want)
 
 
-def test_fold_sorted_carries_state_over_batches(spark):
-    rows = spark.range(3000).select((F.col("id") % 3).alias("k"), F.col("id").alias("t"))
-
-    def step(state, row):
-        n = (state or 0) + 1
-        return n, ((row.k, n) if n == 1000 else None)
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
-    try:
-        got = rules.fold_sorted(rows, ["k"], ["t"], step, "k long, n long").collect()
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert sorted((r["k"], r["n"]) for r in got) == [(0, 1000), (1, 1000), (2, 1000)]
+@pytest.mark.parametrize("at_end", [False, True])
+@pytest.mark.parametrize("closes", [False, True])
+def test_anchored_windows_over_batches_equal_a_walk(spark, at_end, closes):
+    rng = random.Random(3)
+    rows = [(rng.choice((0, 0, 0, 1, 2)), rng.randrange(400), i) for i in range(1500)] + [(9, 5, -1)]
+    df = spark.createDataFrame(rows, "k long, t long, tie long")
+    want, state = [], {}
+    for k, t, tie in sorted(rows):
+        begin, n = state.get(k) or (t, 0)
+        past = t >= begin + 13 if at_end else t > begin + 13
+        if past and n and not closes:
+            begin, n, past = t, 0, False
+        want.append((k, t, tie, begin, n + 1))
+        state[k] = None if past and closes and n else (begin, n + 1)
+    for size in ("1", "7", "100", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = anchored(df, ["k"], "t", "tie", 13, at_end, closes).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted(map(tuple, got)) == sorted(want), size
+    assert anchored(df.limit(0), ["k"], "t", "tie", 13, at_end, closes).count() == 0
 
 
 def test_minutes_count_each_call_once_at_its_begin(spark):
