@@ -49,12 +49,12 @@ def minutes(calls: DataFrame) -> DataFrame:
     return expand(calls, 60, F.floor(F.col("b_us") / S), F.floor(F.col("e_us") / S))
 
 
-def _expanded(width: int, end: str) -> str:
+def expanded_sql(width: int, end: str) -> str:
     return f"""(SELECT c.*, i * {width} AS bucket, i - b_us // 1000000 // {width} AS ordinal, i = b_us // 1000000 // {width} AS first, i = {end} // {width} AS last
   FROM (SELECT *, unnest(generate_series(b_us // 1000000 // {width}, {end} // {width})) AS i FROM {CDR}) c)"""
 
 
-QUARTERS, MINUTES = _expanded(QUARTER, END_SECOND), _expanded(60, "(e_us // 1000000)")
+QUARTERS, MINUTES = expanded_sql(QUARTER, END_SECOND), expanded_sql(60, "(e_us // 1000000)")
 
 
 def minute_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +74,10 @@ def chart_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def overlap(calls: DataFrame) -> DataFrame:
+def overlap(calls: DataFrame, width: int = QUARTER) -> DataFrame:
     """Adds overlap_us: the connected part of a call, which ends when the call ends, inside the row's bucket."""
     begin = F.greatest(F.col("e_us") - F.col("connect_us"), F.col("bucket") * S)
-    inside = F.greatest(F.lit(0), F.least(F.col("e_us"), (F.col("bucket") + QUARTER) * S) - begin)
+    inside = F.greatest(F.lit(0), F.least(F.col("e_us"), (F.col("bucket") + width) * S) - begin)
     return calls.withColumn("overlap_us", F.when(F.col("connect_us").isNotNull(), inside))
 
 
