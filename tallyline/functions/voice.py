@@ -82,3 +82,26 @@ def normalize_response(text: Column) -> Column:
     out = F.regexp_replace(text, r"\d{1,3}(\.\d{1,3}){3}(:\d+)?", "<ip>")
     out = F.regexp_replace(out, r"\S+@\S+", "<id>")
     return F.trim(F.regexp_replace(out, r"\b\d{4,}\b", "<n>"))
+
+
+def energy_level(payload: Column, codec: Column) -> Column:
+    """The mean absolute sample of G.711 bytes (an array of integers): u-law for codec 0, A-law for 8, and 0 for others.
+
+    Both laws give a magnitude of four bits of mantissa shifted by three bits of exponent; an empty payload gives 0.
+    """
+
+    def u_law(byte: Column) -> Column:
+        b = byte.bitwiseXOR(F.lit(255))
+        return F.call_function("shiftleft", b.bitwiseAND(15) * 8 + 132, F.shiftright(b.bitwiseAND(112), 4)) - 132
+
+    def a_law(byte: Column) -> Column:
+        b = byte.bitwiseXOR(F.lit(85))
+        mantissa, exponent = b.bitwiseAND(15) * 16, F.shiftright(b.bitwiseAND(112), 4)
+        return F.when(exponent == 0, mantissa + 8).otherwise(F.call_function("shiftleft", mantissa + 264, exponent - 1))
+
+    def mean(law) -> Column:
+        total = F.aggregate(F.transform(payload, law), F.lit(0).cast("bigint"), lambda a, v: a + v)
+        return F.floor(F.try_divide(total, F.size(payload))).cast("bigint")
+
+    zero = F.lit(0).cast("bigint")
+    return F.coalesce(F.when(codec == 0, mean(u_law)).when(codec == 8, mean(a_law)), zero)

@@ -225,11 +225,29 @@ def short_call_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("sensor_id").agg(F.count("*").alias("connected"), share(30), share(60))
 
 
+#: Categories of calls that are counted, as SQL that both engines read; a null is not counted.
+CATEGORIES = {
+    "sip_response": "concat(CAST(lsr AS STRING), CASE lsr WHEN 200 THEN ' OK' WHEN 486 THEN ' Busy Here' WHEN 404 THEN ' Not Found' ELSE '' END)",
+    "sip_response_base": "concat(substring(CAST(lsr AS STRING), 1, 1), 'XX')",
+    "codecs": "CASE codec WHEN 0 THEN 'PCMU' WHEN 8 THEN 'PCMA' WHEN 18 THEN 'G729' END",
+    "ip_src": "CAST(src_ip AS STRING)",
+    "ip_dst": "CAST(dst_ip AS STRING)",
+    "rtp_ip_src": "CASE WHEN a_rtp THEN CAST(src_ip AS STRING) END",
+    "rtp_ip_dst": "CASE WHEN b_rtp THEN CAST(dst_ip AS STRING) END",
+    "domain_src": "concat('Domain', CAST(user_id % 7 AS STRING))",
+    "domain_dst": "concat('DOMAIN', CAST(k % 9 AS STRING))",
+    "caller_countries": "CASE WHEN caller LIKE '420%' THEN 'CZ' END",
+    "called_countries": "CASE WHEN called LIKE '0049%' THEN 'DE' WHEN called LIKE '0044%' THEN 'GB' WHEN called LIKE '420%' THEN 'CZ' WHEN called LIKE '001%' THEN 'US' END",
+    "sip_src_ip_countries": "CASE WHEN src_ip < 167772192 THEN 'DE' WHEN src_ip < 167772224 THEN 'GB' WHEN src_ip < 167772288 THEN 'CZ' ELSE 'US' END",
+    "sip_dst_ip_countries": "CASE WHEN dst_ip < 3232235528 THEN 'CZ' END",
+}
+
+
 def category_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of lower-cased categories by quarter: response code, codec and addresses."""
+    """Counts of lower-cased categories by the quarter in which a call begins."""
     c = _first_quarter(spark, sf_dir)
-    kinds = F.array(*(F.struct(F.lit(k).alias("area"), F.lower(F.col(x).cast("string")).alias("category")) for k, x in (("response", "lsr"), ("codec", "codec"), ("ip_dst", "dst_ip"), ("ua", "ua"))))
-    return c.select("bucket", F.explode(kinds).alias("x")).groupBy("bucket", "x.area", "x.category").agg(F.count("*").alias("n"))
+    kinds = F.array(*(F.struct(F.lit(area).alias("area"), F.lower(F.expr(x)).alias("category")) for area, x in CATEGORIES.items()))
+    return c.select("bucket", F.explode(kinds).alias("x")).where("x.category IS NOT NULL").groupBy("bucket", "x.area", "x.category").agg(F.count("*").alias("n"))
 
 
 HISTOGRAM = [5, 30, 60, 120, 300]
@@ -284,8 +302,9 @@ FROM (SELECT sensor_id, b_us // 1000000 AS t, count(*) AS n FROM {CDR} GROUP BY
     "seer": f"SELECT src_ip, {_SEER} AS seer FROM {CDR} GROUP BY src_ip",
     "short_call_pct": f"""SELECT sensor_id, count(*) AS connected, round(count(*) FILTER (WHERE connect_us < 30000000) * 1.0 / count(*) * 100, 6) AS short_30,
   round(count(*) FILTER (WHERE connect_us < 60000000) * 1.0 / count(*) * 100, 6) AS short_60 FROM {CDR} WHERE connect_us IS NOT NULL GROUP BY sensor_id""",
-    "category_area": f"""SELECT bucket, area, category, count(*) AS n FROM (SELECT bucket, 'response' AS area, CAST(lsr AS VARCHAR) AS category FROM {_FIRST}
-  UNION ALL SELECT bucket, 'codec', CAST(codec AS VARCHAR) FROM {_FIRST} UNION ALL SELECT bucket, 'ip_dst', CAST(dst_ip AS VARCHAR) FROM {_FIRST} UNION ALL SELECT bucket, 'ua', lower(ua) FROM {_FIRST}) GROUP BY bucket, area, category""",
+    "category_area": "SELECT bucket, area, category, count(*) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT bucket, '{area}' AS area, lower({x}) AS category FROM {_FIRST}" for area, x in CATEGORIES.items())
+    + ") WHERE category IS NOT NULL GROUP BY bucket, area, category",
     "bucket_histogram": f"""SELECT sensor_id, CASE WHEN dur_us < 5000000 THEN 0 WHEN dur_us < 30000000 THEN 1 WHEN dur_us < 60000000 THEN 2 WHEN dur_us < 120000000 THEN 3 WHEN dur_us < 300000000 THEN 4 ELSE 5 END AS interval_index,
   count(*) AS n FROM {CDR} GROUP BY 1, 2""",
     "prefix_param_match": f"""SELECT sensor_id, param, count(*) AS n FROM {CDR}, (VALUES ('2XX', '2%'), ('3XX', '3%'), ('4XX', '4%'), ('48X', '48%'), ('503', '503%')) AS p(param, pattern)
