@@ -134,18 +134,20 @@ def dedup_prefer_rtp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.groupBy("key").agg(best.alias("b"), F.count("*").alias("seen")).select("key", "b.call_id", "b.sensor_id", "b.has_rtp", "seen")
 
 
-def codebook_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+def codebook_upsert(spark: SparkSession, sf_dir: str, blocks: int = 256) -> DataFrame:
     """Ids of strings: known ones keep theirs, new ones get the next by their order.
 
-    The order of all new strings comes from their order within a first character group and the sizes of the groups
-    before it, so no task sorts them all.
+    The strings of least hash are an even sample; they cut the order into blocks that are numbered in parallel, and a
+    block begins after the sizes of those before it. The cuts follow from the strings alone, so a lost task repeats them.
     """
     texts = cdr(spark, sf_dir).select(c("called").alias("text")).distinct()
     known = texts.where("text LIKE '420%'").withColumn("id", F.substring("text", 4, 6).cast("bigint"))
-    new = texts.join(known, "text", "left_anti").withColumn("group", F.substring("text", 1, 4))
+    new = texts.join(known, "text", "left_anti")
     last = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    groups = new.groupBy("group").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(W.orderBy("group").rowsBetween(W.unboundedPreceding, 0)) - c("n"))
-    ranked = new.withColumn("rn", F.row_number().over(W.partitionBy("group").orderBy("text"))).join(groups, "group").crossJoin(F.broadcast(last))
+    cuts = new.orderBy(F.xxhash64("text"), "text").limit(blocks - 1).agg(F.array_sort(F.collect_list("text")).alias("cuts"))
+    placed = new.crossJoin(F.broadcast(cuts)).select("text", F.size(F.filter("cuts", lambda x: x < c("text"))).alias("block"))
+    sizes = placed.groupBy("block").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, 0)) - c("n"))
+    ranked = placed.withColumn("rn", F.row_number().over(W.partitionBy("block").orderBy("text"))).join(F.broadcast(sizes), "block").crossJoin(F.broadcast(last))
     return known.withColumn("is_new", F.lit(False)).unionByName(ranked.select("text", (c("last") + c("before") + c("rn")).alias("id"), F.lit(True).alias("is_new")))
 
 

@@ -112,21 +112,22 @@ def rate_call_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
 def billing_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices by hour, day, week and month and by customer and domain, as whole hundred-thousandths.
 
-    One pass: a call becomes a row for each grain and subject, summed before the shuffle.
+    Calls are summed by hour, nation and domain first; what is left of them becomes a row for each grain and subject.
     """
     calls = rated(spark, sf_dir).withColumn("price", price(c("dur_s"), c("price"), c("t1"), c("t2")))
-    day = F.expr("calldate_us div 86400000000")
-    at = F.timestamp_seconds(c("calldate_us") / S)
+    finest = calls.groupBy(F.expr("calldate_us div 3600000000").alias("hour"), "nation", "domain").agg(F.sum(F.round(c("price") * 100000).cast("bigint")).alias("p"), F.count("*").alias("n"))
+    day = F.expr("hour div 24")
+    at = F.timestamp_seconds(c("hour") * 3600)
     grains = F.array(
-        F.struct(F.lit("hour").alias("grain"), F.expr("calldate_us div 3600000000").alias("part")),
+        F.struct(F.lit("hour").alias("grain"), c("hour").alias("part")),
         F.struct(F.lit("day").alias("grain"), day.alias("part")),
         F.struct(F.lit("week").alias("grain"), F.floor((day + 3) / 7).alias("part")),
         F.struct(F.lit("month").alias("grain"), (F.year(at) * 12 + F.month(at)).cast("bigint").alias("part")),
     )
     subjects = F.array(F.struct(F.lit("nation").alias("subject"), c("nation").cast("string").alias("value")), F.struct(F.lit("domain").alias("subject"), c("domain").alias("value")))
-    rows = calls.select(F.explode(grains).alias("g"), subjects.alias("s"), F.round(c("price") * 100000).cast("bigint").alias("p"))
-    rows = rows.select("g.grain", "g.part", F.explode("s").alias("s"), "p")
-    return rows.groupBy("grain", "part", "s.subject", "s.value").agg(F.sum("p").alias("price_100000"), F.count("*").alias("n"))
+    rows = finest.select(F.explode(grains).alias("g"), subjects.alias("s"), "p", "n")
+    rows = rows.select("g.grain", "g.part", F.explode("s").alias("s"), "p", "n")
+    return rows.groupBy("grain", "part", "s.subject", "s.value").agg(F.sum("p").alias("price_100000"), F.sum("n").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (rate_call, rate_call_peak, billing_rollup)}

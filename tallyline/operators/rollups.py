@@ -27,12 +27,14 @@ def flow_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def traffic_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each flow goes out of its source and into its destination; by five minutes, hour and day in one pass."""
+    """Each flow goes out of its source and into its destination; by five minutes, and their sums by hour and day."""
     f = cdr(spark, sf_dir)
-    ends = F.array(F.struct(c("src_ip").alias("ip"), c("dur_us").alias("out"), F.lit(0).cast("bigint").alias("in")), F.struct(c("dst_ip").alias("ip"), F.lit(0).cast("bigint").alias("out"), c("dur_us").alias("in")))
-    grains = F.array(*(F.struct(F.lit(g).alias("grain"), F.expr(f"b_us div {w * S} * {w}").alias("bucket")) for g, w in (("interval", 300), ("hour", 3600), ("day", 86400))))
-    rows = f.select("b_us", F.explode(ends).alias("e")).select("b_us", "e.ip", "e.out", "e.in").withColumn("g", F.explode(grains))
-    return rows.groupBy("g.grain", "g.bucket", "ip").agg(F.sum("out").alias("octets_out"), F.sum("in").alias("octets_in"), F.count("*").alias("flows"))
+    none = F.lit(0).cast("bigint")
+    ends = F.array(F.struct(c("src_ip").alias("ip"), c("dur_us").alias("out"), none.alias("in")), F.struct(c("dst_ip").alias("ip"), none.alias("out"), c("dur_us").alias("in")))
+    finest = f.select(F.expr("b_us div 300000000 * 300").alias("at"), F.explode(ends).alias("e")).groupBy("at", "e.ip").agg(F.sum("e.out").alias("out"), F.sum("e.in").alias("in"), F.count("*").alias("n"))
+    grains = F.array(*(F.struct(F.lit(g).alias("grain"), F.expr(f"at div {w} * {w}").alias("bucket")) for g, w in (("interval", 300), ("hour", 3600), ("day", 86400))))
+    rows = finest.select("ip", "out", "in", "n", F.explode(grains).alias("g"))
+    return rows.groupBy("g.grain", "g.bucket", "ip").agg(F.sum("out").alias("octets_out"), F.sum("in").alias("octets_in"), F.sum("n").alias("flows"))
 
 
 def register_failed_minute(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,16 +33,15 @@ def export(df: DataFrame, path: str, kind: str = "csv") -> None:
 
 
 def read_bundle(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of bundles, one file each: `csv_header:table:a,b` names the columns of `csv_row:table:1,2` lines below.
+    """Rows of bundles: `csv_header:table:a,b` names the columns of the file's `csv_row:table:1,2` lines.
 
-    Returns file, table, names, values, where values are strings; quoted ones may hold commas and escaped quotes. A
-    header holds for its file, so files are read whole and a file is one row until it is split.
+    Returns file, table, names, values, where values are strings; quoted ones may hold commas and escaped quotes. Lines
+    are read in splits of the files, and headers are a side table that is joined by file and table; a row without a
+    header has null names. Of several headers of a table in one file the greatest text counts.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("lines"))
-    part = lambda x, i: F.element_at(F.split(x, ":", 3), i)
-    headers = F.map_from_entries(F.transform(F.filter("lines", lambda x: x.startswith("csv_header:")), lambda x: F.struct(part(x, 2), F.split(part(x, 3), ","))))
-    rows = F.filter("lines", lambda x: x.startswith("csv_row:"))
-    out = files.select("file", headers.alias("headers"), F.explode(rows).alias("row")).select("file", part(F.col("row"), 2).alias("table"), "headers", part(F.col("row"), 3).alias("text"))
-    field = r'("(?:[^"\\]|\\.)*"|[^,]*)(?:,|$)'
-    values = F.transform(F.regexp_extract_all(F.concat("text", F.lit(",")), F.lit(field.replace("(?:,|$)", ",")), 1), lambda v: F.regexp_replace(F.regexp_replace(v, r'^"|"$', ""), r"\\(.)", "$1"))
-    return out.select("file", "table", F.element_at("headers", F.col("table")).alias("names"), values.alias("values"))
+    part = F.split("value", ":", 3)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), part[0].alias("kind"), part[1].alias("table"), part[2].alias("text"))
+    headers = lines.where("kind = 'csv_header'").groupBy("file", "table").agg(F.split(F.max("text"), ",").alias("names"))
+    values = F.transform(F.regexp_extract_all(F.concat("text", F.lit(",")), F.lit(r'("(?:[^"\\]|\\.)*"|[^,]*),'), 1), lambda v: F.regexp_replace(F.regexp_replace(v, r'^"|"$', ""), r"\\(.)", "$1"))
+    rows = lines.where("kind = 'csv_row'").select("file", "table", values.alias("values"))
+    return rows.join(headers, ["file", "table"], "left").select("file", "table", "names", "values")

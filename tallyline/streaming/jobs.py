@@ -11,8 +11,9 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyline.operators.intervals import S
@@ -92,19 +93,29 @@ def answered(requests: DataFrame, responses: DataFrame, within: str = "30 minute
     return q.join(r, on, "leftOuter").select("request_id", "response_id")
 
 
-def upsert(folder: str, keys: list[str]):
-    """A foreachBatch sink: rows of a batch replace those of the same keys; the table is the newest version.
+def newest(spark: SparkSession, folder: str, schema, before: int | None = None) -> DataFrame:
+    """The rows of an upserted table: of each part its newest version, or the newest before a batch."""
+    kept = T.StructType([*schema.fields, T.StructField("_version", T.LongType()), T.StructField("_part", T.LongType())])
+    rows = spark.read.schema(kept).parquet(folder)
+    if before is not None:
+        rows = rows.where(c("_version") < before)
+    last = rows.groupBy("_part").agg(F.max("_version").alias("_version"))
+    return rows.join(last, ["_part", "_version"], "left_semi")
 
-    A version is written whole before it becomes the newest, and a batch that is run again writes the same version.
+
+def upsert(folder: str, keys: list[str], part: Column):
+    """A foreachBatch sink: rows of a batch replace those of the same keys.
+
+    `part` is a whole number that follows from the keys, such as the day of a bucket. A batch writes new versions only of
+    the parts that it touches, so its cost follows what changed and not the table. A version is whole before it counts,
+    and a batch that is run again writes the same one.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if epoch:
-            old = spark.read.parquet(f"{folder}/{epoch - 1}")
-            rows = old.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-        rows.write.mode("overwrite").parquet(f"{folder}/{epoch}")
+        batch = batch.withColumn("_part", part.cast("bigint"))
+        old = newest(batch.sparkSession, folder, T.StructType([f for f in batch.schema.fields if f.name != "_part"]), epoch).drop("_version")
+        old = old.join(batch.select("_part").distinct(), "_part", "left_semi").join(batch.select(*keys), keys, "left_anti")
+        old.unionByName(batch).write.mode("overwrite").partitionBy("_part").parquet(f"{folder}/_version={epoch}")
 
     return write
 
@@ -120,23 +131,20 @@ def alert_sink(folder: str, rule: str, time_us: str):
     return write
 
 
-def drain(stream: DataFrame, folder: str, keys: list[str] | None = None, mode: str = "append") -> DataFrame:
-    """Runs a stream until its source is read up; returns the sink's table."""
+def drain(stream: DataFrame, folder: str, keys: list[str] | None = None, mode: str = "append", part: Column | None = None) -> DataFrame:
+    """Runs a stream until its source is read up; returns the sink's table, upserted where keys are named."""
+    spark, rows = stream.sparkSession, f"{folder}/rows"
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
     if keys is None:
-        q = writer.format("parquet").option("path", f"{folder}/rows").start()
-    else:
-        q = writer.foreachBatch(upsert(f"{folder}/versions", keys)).start()
-    q.awaitTermination()
-    spark = stream.sparkSession
-    if keys is None:
-        return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
-    last = (q.lastProgress or {}).get("batchId", 0)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/versions/{last}")
+        writer.format("parquet").option("path", rows).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(rows)
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{rows}/_version=-1/_part=0")  # there is a table even if no row comes
+    writer.foreachBatch(upsert(rows, keys, F.lit(0) if part is None else part)).start().awaitTermination()
+    return newest(spark, rows, stream.schema).drop("_version", "_part")
 
 
 def stream_quarter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drain(quarter_counts(events_stream(spark, sf_dir)), shared_folder(spark), ["bucket", "event_type"], "update")
+    return drain(quarter_counts(events_stream(spark, sf_dir)), shared_folder(spark), ["bucket", "event_type"], "update", F.expr("bucket div 86400"))
 
 
 def dedup_within_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,19 @@ def test_upsert_updates_a_bucket_over_batches(spark, tmp_path):
     assert got == [("a", 2, 3.0), ("b", 1, 4.0)]
 
 
+def test_upsert_rewrites_only_the_parts_of_a_batch(spark, tmp_path):
+    out = f"{tmp_path}/out"
+    spark.createDataFrame([], "bucket long, n long").write.parquet(f"{out}/_version=-1/_part=0")
+    sink = jobs.upsert(out, ["bucket"], F.expr("bucket div 10"))
+    batches = [[(1, 1), (2, 1), (11, 1)], [(12, 5), (11, 2)], [(12, 6)], []]
+    for epoch in (0, 1, 2, 1, 2, 3):  # batches that are run again change nothing
+        sink(spark.createDataFrame(batches[epoch], "bucket long, n long"), epoch)
+    schema = spark.createDataFrame([], "bucket long, n long").schema
+    assert sorted((r["bucket"], r["n"]) for r in jobs.newest(spark, out, schema).collect()) == [(1, 1), (2, 1), (11, 2), (12, 6)]
+    assert sorted(d for d in os.listdir(f"{out}/_version=1") if d.startswith("_part")) == ["_part=1"]
+    assert jobs.newest(spark, out, schema, 0).count() == 0
+
+
 def test_duplicates_within_the_watermark_go(spark, tmp_path):
     write(spark, tmp_path, [(1, at(1), 1, "a", 1.0), (1, at(2), 1, "a", 1.0)], "in1")
     write(spark, tmp_path, [(1, at(3), 1, "a", 1.0), (2, at(3), 1, "a", 1.0)], "in2")
