@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tallyline.operators import dimensions, filters, intervals, listing, lookups, products, rating, rollups, rules, scalars, sequences, series
+from tallyline.operators import dimensions, filters, intervals, listing, lookups, products, rating, registration, rollups, rules, scalars, sequences, series
 from tallyline.streaming import jobs
 
-_MODULES = [intervals, products, filters, lookups, sequences, rules, rating, rollups, scalars, listing, dimensions, series, jobs]
+_MODULES = [intervals, products, filters, lookups, sequences, rules, rating, rollups, scalars, listing, dimensions, series, registration, jobs]
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import semantics as X
 from tallyline.functions import voice
-from tallyline.operators import intervals, rating, sequences
+from tallyline.operators import intervals, rating, sequences, series
 from tallyline.operators.anchored import anchored
 
 
@@ -209,3 +209,31 @@ def test_addresses_of_version_6(spark):
         assert one(spark, X.inet6_aton(L(bad))) is None, bad
     net = ipaddress.ip_network("2001:db80::/29")
     assert one(spark, X.network6(X.inet6_aton(L("2001:db87:1::5")), 29)) == f"{int(net.network_address):032x}"
+
+
+def test_energy_of_samples_equals_the_tables_of_the_standard(spark):
+    def u_law(b):
+        b = ~b & 255
+        return (((b & 15) << 3) + 132 << (b >> 4 & 7)) - 132
+
+    def a_law(b):
+        b ^= 85
+        m, e = (b & 15) << 4, b >> 4 & 7
+        return m + 8 if e == 0 else m + 264 << e - 1
+
+    for codec, law in ((0, u_law), (8, a_law)):
+        got = one(spark, F.transform(F.sequence(L(0), L(255)), lambda b: voice.energy_level(F.array(b), L(codec))))
+        assert list(got) == [law(b) for b in range(256)]
+    assert one(spark, voice.energy_level(F.array().cast("array<int>"), L(0))) == 0 == one(spark, voice.energy_level(F.array(L(3)), L(18)))
+
+
+def test_rules_of_domains_and_headers_with_nulls(spark):
+    calls = spark.createDataFrame([(1, "a", "b"), (2, "b", None), (3, None, None), (4, "x", "a")], "call_id long, domain_src string, domain_dst string")
+    rules = spark.createDataFrame([(2, "a", 1, 10), (1, "b", 2, 20), (3, "b", 0, 30)], "position int, domain string, direction int, flags int")
+    got = {r["call_id"]: r["flags"] for r in series.domain_rule(calls, rules).collect()}
+    assert got == {1: 20, 2: 30, 3: None, 4: None}
+    headers = spark.createDataFrame([(1, "abc"), (2, "ab"), (3, "abd"), (4, "zzc"), (5, ""), (6, None), (7, "abc")], "call_id long, header string")
+    rules = spark.createDataFrame([("ab", "exact", 1), ("a", "prefix", 2), ("abc", "prefix", 3), ("c$", "regexp", 4)], "pattern string, kind string, flags int")
+    got = {r["call_id"]: r["flags"] for r in series.header_rule(headers, rules).collect()}
+    assert got == {1: 3, 2: 1, 3: 2, 4: 4, 5: None, 6: None, 7: 3}
+    assert {r["flags"] for r in series.header_rule(headers, rules.limit(0)).collect()} == {None}
