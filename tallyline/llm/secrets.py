@@ -2,7 +2,9 @@
 
 Base secrets are found in the text itself. Then what looks encoded is decoded into layers: the whole text with its
 percent escapes, or its Unicode, byte and backslash escapes, replaced; base64 runs, also wrapped over lines or behind
-characters of the same alphabet; UTF-16 below them; and compressed bytes that begin anywhere in them.
+characters of the same alphabet; UTF-16 below them; and compressed bytes that begin anywhere in them. A run of escapes
+of an escape sign is one layer. A layer is let go before the last ones of its own are searched, so a chain of layers needs
+the memory of two, however long it is; its time is at most its length times the text's.
 Each layer is scanned and searched again, until no layer gives a new one. Layers seen before are skipped, which ends
 cycles. Every character of a layer knows which characters of the original it came from, so a find deep inside maps to
 a span of the text. A secret that a layer only repeats from the one above it is not reported again.
@@ -47,8 +49,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex")
 
-PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
-ESCAPED = re.compile(r"""\\(?:u\{([0-9A-Fa-f]{1,6})\}|u([Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|[0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|(["'/\\bfnrt]))""")
+#: An escape sign that is itself escaped, any number of times, is undone in one step: %252541 is A, as %41 is.
+PERCENT = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+ESCAPED = re.compile(r"""\\(?:(?:u005[Cc]|x5[Cc])(?=u005[Cc]|x5[Cc]|[ux{"'/bfnrt\\]))*(?:u\{([0-9A-Fa-f]{1,6})\}|u([Dd][89ABab][0-9A-Fa-f]{2}\\u[Dd][C-Fc-f][0-9A-Fa-f]{2}|[0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|(["'/\\bfnrt]))""")
 PLAIN_ESCAPES = dict(zip("bfnrt", "\b\f\n\r\t"))
 #: A run, which may be wrapped: then every line but the last is long, too.
 BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{%d,}+\r?\n[\x20\t]*)+[A-Za-z0-9+/_-]++={0,2}|[A-Za-z0-9+/_-]{%d,}+={0,2}" % (BASE64_LEAST, BASE64_LEAST))
@@ -227,6 +230,14 @@ def _without_zeros(raw: bytes, starts: np.ndarray, stops: np.ndarray):
     return raw.replace(b"\0", b""), starts[kept], stops[kept]
 
 
+def _from(raw: bytes, at: int) -> Iterator[bytes]:
+    """The bytes from a place on, in blocks that begin small: where nothing is packed, little is copied."""
+    size = 64
+    while at < len(raw):
+        yield raw[at : at + size]
+        at, size = at + size, min(2 * size, BLOCK_BYTES)
+
+
 def _packed_layers(name: str, blocks: Callable[[], Iterator[bytes]], seen: set) -> Iterator[tuple[str, str]]:
     """(name, text) of compressed bytes, block by block, and of those compressed in them; `blocks` begins them anew."""
     while packing := _packing(_Source(blocks()).peek()):
@@ -254,17 +265,28 @@ class _Search:
     """The hidden secrets of one text."""
 
     def __init__(self, text: str):
-        self.found, self.seen, self.told = set(), {_digest(text)}, set()
-        stack = [self.layers("", text, None)]
+        self.seen, self.told = {_digest(text)}, {}
+        stack = [self.layers("", text, None, False)]
         while stack:  # a layer is searched before the next one of its parent is opened
-            child = next(stack[-1], None)
-            if child is None:
+            try:
+                child = next(stack[-1])
+            except StopIteration as done:  # what is as long as its parent comes when that is gone
                 stack.pop()
+                rest = done.value
+                del done
+                while rest:
+                    stack.append(self.layers(*rest.pop()))
             else:
                 stack.append(self.layers(*child))
+                del child
+
+    @property
+    def found(self) -> list[tuple[str, int, int]]:
+        return [(kind, begin, end) for (_, _, begin, end), (kind, _) in self.told.items()]
 
-    def layers(self, path: str, layer: str, sources):
-        """(path, text, sources) of the new layers that one decoding step opens, once their secrets are noted.
+    def layers(self, path: str, layer: str, sources, shifted: bool):
+        """(path, text, sources, shifted) of the new layers that one decoding step opens, once their secrets are noted. The layers
+        whose escapes were replaced are returned at the end.
 
         Escapes are replaced in the layer as a whole, so what is only partly escaped is read with its surroundings. Its
         runs as they stand come first: those that replacing leaves as they are then count as seen.
@@ -276,33 +298,40 @@ class _Search:
             whole.append(("unicode", *_replaced(layer, ESCAPED, _escaped_bytes)))
         known = base_spans(layer) if whole else []
         for name, raw, starts, stops in whole:
-            later += self.opened(path, sources, name, *_characters(raw, starts, stops), known)
-        yield from self.base64_layers(path, layer, sources, slice(0, 1))
+            later += self.opened(path, sources, name, *_characters(raw, starts, stops), known, shifted=shifted)
+        yield from self.base64_layers(path, layer, sources, slice(0, 1), shifted)
         for name, raw, starts, stops in whole:
+            if not PACKED.search(raw):
+                continue
+            wide, lines = stops - starts > 1, np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) if name == "url" else np.empty(0, np.int64)
             for m in PACKED.finditer(raw):
-                if m[0][:1] == b"B" or (stops - starts)[m.start() : m.end()].max() > 1:
-                    end = raw.find(b"\n", m.start()) if name == "url" else -1
-                    ends = int(starts[m.start()]), int(stops[end])
-                    for inner, text in _packed_layers(name, lambda r=raw, a=m.start(): iter((r[a:],)), self.seen):
-                        yield from self.opened(path, sources, inner, text, *_same(*ends, len(text)))
-        yield from later
-        yield from self.base64_layers(path, layer, sources, slice(1, 4))
-
-    def base64_layers(self, path: str, layer: str, sources, readings: slice):
+                if m[0][:1] == b"B" or wide[m.start() : m.end()].any():
+                    line = np.searchsorted(lines, m.start())
+                    ends = int(starts[m.start()]), int(stops[lines[line] if line < len(lines) else -1])
+                    for inner, text in _packed_layers(name, partial(_from, raw, m.start()), self.seen):
+                        yield from self.opened(path, sources, inner, text, *_same(*ends, len(text)), shifted=shifted)
+        yield from self.base64_layers(path, layer, sources, slice(1, 4), True)
+        return later[::-1]
+
+    def base64_layers(self, path: str, layer: str, sources, readings: slice, shifted: bool):
         for m in BASE64.finditer(layer):
             for run in islice(_base64(m), readings.start, readings.stop):
-                yield from self.opened(path, sources, "base64", *_characters(*run))
+                yield from self.opened(path, sources, "base64", *_characters(*run), shifted=shifted)
                 if b"\0" in run[0]:
-                    yield from self.opened(path, sources, "base64.utf16", *_characters(*_without_zeros(*run)))
+                    yield from self.opened(path, sources, "base64.utf16", *_characters(*_without_zeros(*run)), shifted=shifted)
                 for at in PACKED.finditer(run[0]):
-                    for name, text in _packed_layers("base64", lambda r=run[0], a=at.start(): iter((r[a:],)), self.seen):
-                        yield from self.opened(path, sources, name, text, *_same(m.start(), m.end(), len(text)))
+                    for name, text in _packed_layers("base64", partial(_from, run[0], at.start()), self.seen):
+                        yield from self.opened(path, sources, name, text, *_same(m.start(), m.end(), len(text)), shifted=shifted)
                         if "\0" in text:
                             plain = text.replace("\0", "")
-                            yield from self.opened(path, sources, f"{name}.utf16", plain, *_same(m.start(), m.end(), len(plain)))
+                            yield from self.opened(path, sources, f"{name}.utf16", plain, *_same(m.start(), m.end(), len(plain)), shifted=shifted)
 
-    def opened(self, path: str, sources, name: str, text: str, starts: np.ndarray, stops: np.ndarray, known=()) -> list:
-        """The layer to search, if it is new; notes its secrets but those inside `known` spans of its parent."""
+    def opened(self, path: str, sources, name: str, text: str, starts: np.ndarray, stops: np.ndarray, known=(), shifted: bool = False) -> list:
+        """The layer to search, if it is new; notes its secrets but those inside `known` spans of its parent.
+
+        A secret that several orders of steps open is noted once, by the first of them in which no base64 run was
+        `shifted`, read from a later character than its first.
+        """
         if not text:
             return []
         ends = (int(starts[0]), int(stops[-1]))
@@ -322,14 +351,13 @@ class _Search:
             if sources is not None:
                 begin, end = int(sources[0][begin]), int(sources[1][end - 1])
             same = (kind, _digest(text[a:b]), begin, end)
-            if same not in self.told:  # else it was opened in another order of steps
-                self.told.add(same)
-                self.found.add((f"{kind}{path}.{name}", begin, end))
+            if same not in self.told or self.told[same][1] and not shifted:
+                self.told[same] = (f"{kind}{path}.{name}", shifted)
         if "%" not in text and "\\" not in text and not BASE64.search(text):
             return []
         if sources is not None:
             starts, stops = sources[0][starts], sources[1][stops - 1]
-        return [(f"{path}.{name}", text, (starts, stops))]
+        return [(f"{path}.{name}", text, (starts, stops), shifted)]
 
 
 def _digest(text: str, *ends: int) -> bytes:
@@ -338,7 +366,7 @@ def _digest(text: str, *ends: int) -> bytes:
 
 def hidden_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, stop) of the secrets in decoded layers; the kind names the decodings, e.g. assign.base64.gzip."""
-    return sorted(_Search(text).found, key=lambda s: (s[1], s[0], s[2]))
+    return sorted(set(_Search(text).found), key=lambda s: (s[1], s[0], s[2]))
 
 
 def find_secrets(text: Column) -> Column:

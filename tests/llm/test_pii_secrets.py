@@ -7,6 +7,7 @@ import urllib.parse
 import zlib
 from collections import Counter
 
+import pytest
 import regex
 import zstandard
 from pyspark.sql import functions as F
@@ -241,3 +242,22 @@ def test_base64_out_of_step_wrapped_and_wide():
     for wide in ("utf-16-le", "utf-16", "utf-32-be"):
         assert "assign.base64.utf16" in {k for k, _ in opened(base64.b64encode(inner.decode().encode(wide)).decode())}
     assert secrets._replaced("\\ud83d\\ude00!", secrets.ESCAPED, secrets._escaped_bytes)[0].decode() == "😀!"
+
+
+@pytest.mark.parametrize("nested", ["%" + "25" * 50_000 + "41", "\\" + "u005c" * 20_000 + "u0041", "%78%9c" * 20_000, "%25" * 30_000])
+def test_nested_escapes_take_memory_and_time_in_proportion(nested):
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.time()
+    assert secrets.hidden_spans(nested) == []
+    assert time.time() - began < 30 and tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_nested_escape_signs_are_undone_in_one_step():
+    assert opened("token%25253Dabcdefghijkl") == {("assign.url", "token%25253Dabcdefghijkl")}
+    text = "\\u005cu0022password\\u005cu0022:\\u005cu0022abcdefghijkl\\u005cu0022"
+    assert {k for k, _ in opened(text)} == {"assign.unicode"}
+    assert opened("token%5Cu003dabcdefghijkl") == {("assign.url.unicode", "token%5Cu003dabcdefghijkl")}
