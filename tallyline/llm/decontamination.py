@@ -120,9 +120,10 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bytes
     exclusive, and the items that occur.
 
     The benchmark is a given set of queries: every document is held against all of it, in one scan without a shuffle.
-    It is broadcast as texts in parts of bytes_a_table; a task builds the tables of one part at a time and holds a
-    bounded number of documents against them before the next, so its memory depends on neither the benchmark's size
-    nor the documents'.
+    It is broadcast as texts in parts of bytes_a_table; a task builds the tables of one part at a time, lets go of its
+    texts, and holds a bounded number of documents against them before the next, so its memory depends on neither the
+    benchmark's size nor the documents'. Each executor's disk gets the benchmark's texts once, and each document is
+    scanned once for every part: a benchmark of n parts costs n scans of the words, not of the table.
     """
     name = "_hits"
     while name in docs.columns:
@@ -138,6 +139,7 @@ def _search_udf(parts: list, window: int):
         if not held or held[0] != k:
             held.clear()
             held.extend((k, tables_of(parts[k].value, window)))
+            vars(parts[k]).pop("_value", None)  # a worker would keep every part's texts that it has read; they stay on its disk
         return held[1]
 
     def groups(raws: list) -> list[list]:
