@@ -149,29 +149,7 @@ def rerated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where("old <> new")
 
 
-def oldest_unanswered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests with the response that answers them: a response belongs to the oldest request that has none yet.
-
-    Within a relation the k-th response answers the k-th request, as long as requests are not outrun: a response with no
-    open request before it is dropped. Responses that count are those that keep the running number of responses under
-    that of requests; a qualify is good if it was answered within the limit by 200.
-    """
-    e = cdr(spark, sf_dir).where("event_type IN ('click', 'view')").withColumn("is_request", (c("event_type") == "click").cast("int"))
-    w = W.partitionBy("caller", "sensor_id").orderBy("b_us", "call_id").rowsBetween(W.unboundedPreceding, 0)
-    # the lowest point of (requests - responses) so far says how many responses came to no open request
-    e = e.withColumn("open", F.sum(F.when(c("is_request") == 1, 1).otherwise(-1)).over(w))
-    e = e.withColumn("dropped", F.greatest(F.lit(0), -F.min("open").over(w)))
-    e = e.withColumn("lost", (c("is_request") == 0) & (c("dropped") > F.coalesce(F.lag("dropped").over(W.partitionBy("caller", "sensor_id").orderBy("b_us", "call_id")), F.lit(0))))
-    requests = e.where("is_request = 1").withColumn("k", F.row_number().over(W.partitionBy("caller", "sensor_id").orderBy("b_us", "call_id")))
-    responses = e.where("is_request = 0 AND NOT lost").withColumn("k", F.row_number().over(W.partitionBy("caller", "sensor_id").orderBy("b_us", "call_id")))
-    a = requests.select("caller", "sensor_id", "k", c("call_id").alias("request_id"), c("b_us").alias("asked_us"))
-    b = responses.select("caller", "sensor_id", "k", c("call_id").alias("response_id"), c("b_us").alias("answered_us"), "lsr")
-    out = a.join(b, ["caller", "sensor_id", "k"], "left")
-    took = c("answered_us") - c("asked_us")
-    return out.select("request_id", "response_id", took.alias("took_us"), X.known((took <= 3600 * 12 * S) & (c("lsr") == 200)).alias("qualify_ok"))
-
-
-QUERIES = {f.__name__: f for f in (number_rules_from_table, ratio_pairs, mos_by_codec, stream_quality, alerts_by_period, customer_by_address, prefix_groups, size_by_group, filter_registrations, rerated, oldest_unanswered)}
+QUERIES = {f.__name__: f for f in (number_rules_from_table, ratio_pairs, mos_by_codec, stream_quality, alerts_by_period, customer_by_address, prefix_groups, size_by_group, filter_registrations, rerated)}
 
 _PAIR = lambda v1, v2, name: f"""CASE WHEN {v2} > 0 THEN '{{"_":"cmp2","v1":' || {v1} || ',"v2":' || {v2} || '}}' END AS {name}"""
 _PRICE = lambda p: f"round(CAST(CASE WHEN t1 = t2 THEN ((dur_s + t1 - 1) // t1) * t1 ELSE t1 + CASE WHEN dur_s > t1 THEN ((dur_s - t1 + t2 - 1) // t2) * t2 ELSE 0 END END AS DOUBLE) * CAST({p} AS DOUBLE) / 60, 6)"
@@ -208,9 +186,4 @@ LEFT JOIN customer ON src_ip = 167772160 + c_custkey GROUP BY 1""",
   AND ua LIKE 'ua%' AND dur_us // 1000000 BETWEEN 10 AND 300""",
     "rerated": f"""SELECT id, rule_id, old, new FROM (SELECT id, rule_id, {_PRICE('price')} AS old, {_PRICE('CASE WHEN rule_id = 2 THEN price * 2 ELSE price END')} AS new
 FROM (SELECT *, nation % 3 + 1 AS rid FROM {CDR_BILLING}) JOIN {values(BILLING_RULES, 'r(rule_id, price, price_peak, t1, t2)')} ON rid = rule_id WHERE id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')) WHERE old <> new""",
-    "oldest_unanswered": f"""WITH RECURSIVE e AS (SELECT caller, sensor_id, call_id, b_us, lsr, event_type = 'click' AS q, row_number() OVER (PARTITION BY caller, sensor_id ORDER BY b_us, call_id) AS rn FROM {CDR} WHERE event_type IN ('click', 'view')),
-s AS (SELECT e.*, CASE WHEN q THEN [call_id] ELSE [] END AS waiting, CAST(NULL AS BIGINT) AS answers FROM e WHERE rn = 1
- UNION ALL SELECT e.*, CASE WHEN e.q THEN list_append(s.waiting, e.call_id) ELSE s.waiting[2:] END, CASE WHEN NOT e.q THEN s.waiting[1] END FROM s JOIN e ON e.caller = s.caller AND e.sensor_id = s.sensor_id AND e.rn = s.rn + 1)
-SELECT q.call_id AS request_id, r.call_id AS response_id, r.b_us - q.b_us AS took_us, coalesce(r.b_us - q.b_us <= 43200000000 AND r.lsr = 200, false) AS qualify_ok
-FROM (SELECT * FROM s WHERE q) q LEFT JOIN (SELECT * FROM s WHERE answers IS NOT NULL) r ON r.answers = q.call_id""",
 }

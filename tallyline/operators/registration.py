@@ -1,4 +1,14 @@
-"""Registrations as states: segments of one state, expiry of good ones, and which identities are still held."""
+"""Registrations as states: segments of one state, expiry of good ones, and which identities are still held.
+
+An identity keeps two lists of segments, one of failed registrations and one of all others, so a failure does not end a
+good segment. A message extends the last segment of its list if the state is the same and the segment did not begin over
+TIMEOUT_S before; it begins one otherwise. A good segment expires when a message of the identity, or the sweep after a
+grace, comes later than its last message and what that asked for; an expired segment of no length follows it. An identity
+is put out when its last state is long over, sooner if it only ever failed, and begins anew with its next message.
+
+All of this follows from a few facts of each row's neighbours, so it is one chain of windows that are split by day, and
+windows that open themselves for the timeout. `Registrations` is the same message by message, for a stream's keyed state.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyline.operators.anchored import anchored
 from tallyline.operators.intervals import S
-from tallyline.operators.sequences import previous, running
+from tallyline.operators.machines import Machine
+from tallyline.operators.sequences import carried, has_hot_key, previous, running
 from tallyline.sources.calls import CDR, cdr
 
 c = F.col
@@ -15,6 +27,8 @@ KEYS = ["caller", "sensor_id"]
 TIMEOUT_S, GRACE_S = 600, 30
 #: How long an identity is held after its last message: one that only failed, and any other.
 FAILED_HELD_S, HELD_S = 60, 7200
+#: Calls of the tables are hours apart; as registrations their times are this much denser.
+DENSER = 100
 
 
 def state(lsr: Column, messages: Column, expires: Column, many: int = 10) -> Column:
@@ -29,33 +43,137 @@ def state(lsr: Column, messages: Column, expires: Column, many: int = 10) -> Col
 
 
 def registrations(calls: DataFrame) -> DataFrame:
-    """Calls taken as registrations, with the number of their messages and the expiry they ask for."""
-    return calls.select(*KEYS, "call_id", "b_us", (c("k") % 12).alias("messages"), (c("k") % 5 * 3600).alias("expires_s"), "lsr").withColumn("state", state(c("lsr"), c("messages"), c("expires_s")))
-
-
-def state_runs(rows: DataFrame, timeout_s: int = TIMEOUT_S) -> DataFrame:
-    """Runs of one state whose messages follow within the timeout; a later one begins a segment even in the same state."""
-    rows = previous(rows, KEYS, ["state", "b_us"])
-    goes_on = c("previous").isNotNull() & (c("previous.state") == c("state")) & (c("b_us") - c("previous.b_us") <= timeout_s * S)
-    marked = rows.select(*KEYS, "state", "expires_s", c("b_us").alias("t"), c("call_id").alias("tie"), F.when(goes_on, 0).otherwise(1).alias("d"))
-    numbered = running(marked, KEYS, order=("t", "tie"))
-    return numbered.groupBy(*KEYS, c("n").alias("segment"), "state").agg(F.min("t").alias("from_us"), F.max("t").alias("to_us"), F.count("*").alias("n"), F.max_by("expires_s", F.struct("t", "tie")).alias("expires_s"))
-
-
-def with_expired(segments: DataFrame, now: DataFrame) -> DataFrame:
-    """Adds a segment `expired` behind each good one that nothing follows before its expiry and the grace; the last one
-    of an identity is held against `now`, a table of one row and column."""
-    following = F.lead("from_us").over(W.partitionBy(*KEYS).orderBy("segment"))
-    all_ = segments.withColumn("next_us", following).crossJoin(F.broadcast(now)).withColumn("until_us", F.coalesce("next_us", "now_us"))
-    over = c("to_us") + c("expires_s") * S
-    late = all_.where((c("state") == "ok") & (c("until_us") > over + GRACE_S * S))
-    late = late.select(*KEYS, "segment", F.lit("expired").alias("state"), over.alias("from_us"), c("until_us").alias("to_us"), F.lit(0).cast("bigint").alias("n"))
-    return segments.select(*late.columns).unionByName(late)
+    """Calls taken as registrations: KEYS, call_id, b_us, state and expires_s."""
+    expires = F.element_at(F.array(*map(F.lit, (0, 60, 600, 3600, 10800))), (c("k") % 5 + 1).cast("int"))
+    return calls.select(*KEYS, "call_id", F.expr(f"b_us div {DENSER}").alias("b_us"), expires.cast("bigint").alias("expires_s"), state(c("lsr"), c("k") % 12, expires).alias("state"))
+
+
+def second(t: Column) -> Column:
+    return F.floor(t / S)
+
+
+def lives(rows: DataFrame, keys: list[str], split: bool) -> DataFrame:
+    """Adds failed, and life, a number: rows of one life are those between which the identity was not put out.
+
+    Between two messages that did not fail lie only failed ones. The first of them is late if it comes too long after the
+    last state; from then on the identity has only failed, and is put out by the shorter rule until another message
+    succeeds. So whether a row begins a life follows from the row before it, the last message before it that did not
+    fail, and whether one of the failed rows since that one was late.
+    """
+    place, every = F.struct("b_us", "call_id"), F.lit(True)
+    rows = rows.withColumn("failed", c("state") == "failed")
+    before = carried(rows, keys, {"_last": (c("b_us"), every), "_other": (F.struct("b_us", "call_id", "state", "expires_s"), ~c("failed"))}, split=split)
+    good = c("_other.state") == "ok"
+    swept = good & (c("_other.expires_s") + GRACE_S < HELD_S)
+    held_from = F.when(swept, F.greatest(c("_other.b_us") + c("_other.expires_s") * S, "_last")).when(good, c("_other.b_us")).otherwise(c("_last"))
+    late = c("_other").isNotNull() & (c("b_us") > held_from + HELD_S * S)
+    late = carried(before.withColumn("_late", late), keys, {"_late_row": (place, c("_late"))}, split=split)
+    only_failed = c("_other").isNull() | F.coalesce(c("_late_row") > F.struct("_other.b_us", "_other.call_id"), F.lit(False))
+    begins = c("_last").isNull() | F.when(only_failed, c("b_us") > c("_last") + FAILED_HELD_S * S).otherwise(c("_late"))
+    marked = late.withColumn("t", c("b_us")).withColumn("d", F.when(begins, 1).otherwise(0))
+    return running(marked, keys, order=("t", "call_id"), split=split).withColumn("life", c("n")).select(*rows.columns, "life")
+
+
+def segments(rows: DataFrame, keys: list[str], now_us: int | None = None) -> DataFrame:
+    """(keys, state, from_us, to_us, n): all segments of registrations, and those that expired until now_us (the last message)."""
+    split = has_hot_key(rows, keys)
+    lived, listed = lives(rows, keys, split), [*keys, "life", "failed"]
+    runs = previous(lived, listed, ["b_us", "state", "expires_s"], split=split)
+    over = (c("previous.state") == "ok") & (second(c("previous.b_us")) + c("previous.expires_s") < second(c("b_us")))
+    starts = c("previous").isNull() | (c("previous.state") != c("state")) | over
+    runs = runs.withColumn("t", c("b_us")).withColumn("d", F.when(starts, 1).otherwise(0)).drop("previous")
+    runs = running(runs, listed, order=("t", "call_id"), split=split).withColumn("run", c("n")).drop("n", "d", "t")
+    runs = anchored(runs, [*listed, "run"], "b_us", "call_id", (TIMEOUT_S + 1) * S, at_end=True)
+    last = F.max_by("expires_s", F.struct("b_us", "call_id")).alias("expires_s")
+    found = runs.groupBy(*listed, "run", "state", c("begin_us").alias("from_us")).agg(F.max("b_us").alias("to_us"), F.count("*").alias("n"), last)
+    # a life's last message, and whether another life follows
+    ends = lived.groupBy(*keys, "life").agg(F.max("b_us").alias("end_us"))
+    ends = ends.withColumn("_more", F.lead("life").over(W.partitionBy(*keys).orderBy("life")).isNotNull())
+    now = rows.agg(F.max("b_us").alias("now_us")) if now_us is None else rows.sparkSession.range(1).select(F.lit(now_us).alias("now_us"))
+    following = F.lead("from_us").over(W.partitionBy(*keys, "life").orderBy("run", "from_us"))
+    good = found.where("NOT failed").withColumn("next_us", following).where("state = 'ok'").join(ends, [*keys, "life"]).crossJoin(F.broadcast(now))  # one row
+    over_s = second(c("to_us")) + c("expires_s")
+    swept = (c("expires_s") + GRACE_S < HELD_S) & (c("_more") | (over_s + GRACE_S < second(c("now_us"))))
+    expired = good.where(F.when(c("next_us").isNotNull(), over_s < second(c("next_us"))).otherwise((over_s < second(c("end_us"))) | swept))
+    at = c("to_us") + c("expires_s") * S
+    expired = expired.select(*keys, F.lit("expired").alias("state"), at.alias("from_us"), at.alias("to_us"), F.lit(0).cast("bigint").alias("n"))
+    return found.select(expired.columns).unionByName(expired)
+
+
+def sweep(held: dict, now: int) -> tuple[dict, list[tuple]]:
+    """What an identity holds after sweeps until `now`, and the segments that they closed. held: its last segment
+    (state, from_us, to_us, expires_s, n) of each list, under "other" and "failed"."""
+    out, other, failed = [], held.get("other"), held.get("failed")
+    if other and other[0] == "ok" and other[3] + GRACE_S < HELD_S and other[2] // S + other[3] + GRACE_S < now // S:
+        out += [other, ("expired", other[2] + other[3] * S, other[2] + other[3] * S, 0, 0)]
+        other = ("gone", 0, other[2] + other[3] * S, 0, 0)
+    if other:
+        last = other[2] if other[0] == "ok" or not failed else max(other[2], failed[2])
+        over = now > last + HELD_S * S
+    else:
+        over = failed is not None and now > failed[2] + FAILED_HELD_S * S
+    if over:
+        return {}, out + [x for x in (other, failed) if x and x[0] != "gone"]
+    return {k: v for k, v in (("other", other), ("failed", failed)) if v}, out
+
+
+def take(held: dict, t: int, kind: str, expires_s: int) -> tuple[dict, list[tuple]]:
+    """What an identity holds after a message, and the segments that it closed."""
+    held, out = sweep(held, t)
+    other = held.get("other")
+    if other and other[0] == "ok" and other[2] // S + other[3] < t // S:
+        out += [other, ("expired", other[2] + other[3] * S, other[2] + other[3] * S, 0, 0)]
+        held["other"] = ("gone", 0, other[2] + other[3] * S, 0, 0)
+    where = "failed" if kind == "failed" else "other"
+    last = held.get(where)
+    if last and last[0] == kind and (t - last[1]) // S <= TIMEOUT_S:
+        held[where] = (kind, last[1], t, expires_s, last[4] + 1)
+    else:
+        out += [last] if last and last[0] != "gone" else []
+        held[where] = (kind, t, t, expires_s, 1)
+    return held, out
+
+
+def next_sweep(held: dict) -> int | None:
+    """The next time at which a sweep may change what is held."""
+    other, failed = held.get("other"), held.get("failed")
+    if other and other[0] == "ok" and other[3] + GRACE_S < HELD_S:
+        return other[2] + (other[3] + GRACE_S + 1) * S
+    if other:
+        return (other[2] if other[0] == "ok" or not failed else max(other[2], failed[2])) + HELD_S * S + 1
+    return failed[2] + FAILED_HELD_S * S + 1 if failed else None
+
+
+class Registrations(Machine):
+    """The same, message by message: what an identity holds is its last segment of each list."""
+
+    STATE = "list string, state string, from_us bigint, to_us bigint, expires_s bigint, n bigint"
+    MESSAGE = "state string, expires_s bigint"
+    OUT = "state string, from_us bigint, to_us bigint, n bigint"
+
+    def load(self, rows: list[tuple]) -> dict:
+        return {r[0]: tuple(r[1:]) for r in rows}
+
+    def dump(self, held: dict) -> list[tuple]:
+        return [(k, *v) for k, v in held.items()]
+
+    def take(self, held: dict, t: int, message: tuple) -> tuple[dict, list[tuple]]:
+        return take(held, t, *message)
+
+    def sweep(self, held: dict, now: int) -> tuple[dict, list[tuple]]:
+        return sweep(held, now)
+
+    def wakes(self, held: dict) -> int | None:
+        return next_sweep(held)
+
+    def out(self, closed: tuple) -> tuple:
+        kind, from_us, to_us, _, n = closed
+        return kind, from_us, to_us, n
 
 
 def registration_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = registrations(cdr(spark, sf_dir))
-    return with_expired(state_runs(rows), rows.agg(F.max("b_us").alias("now_us")))
+    """All segments up to the last message."""
+    return segments(registrations(cdr(spark, sf_dir)), KEYS)
 
 
 def registrations_held(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,17 +186,39 @@ def registrations_held(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (registration_segments, registrations_held)}
 
-_ROWS = f"""(SELECT caller, sensor_id, call_id, b_us, k % 5 * 3600 AS expires_s, CASE WHEN lsr IN (401, 403, 404, 699) OR k % 12 <= 1 THEN 'failed' WHEN lsr = 200 AND k % 5 = 0 THEN 'unregister'
-  WHEN lsr = 200 THEN 'ok' WHEN k % 12 > 10 THEN 'many_messages' ELSE 'unknown' END AS state FROM {CDR})"""
+_ROWS = f"""(SELECT *, CASE WHEN lsr IN (401, 403, 404, 699) OR k % 12 <= 1 THEN 'failed' WHEN lsr = 200 AND expires_s = 0 THEN 'unregister'
+  WHEN lsr = 200 THEN 'ok' WHEN k % 12 > 10 THEN 'many_messages' ELSE 'unknown' END AS state
+  FROM (SELECT caller, sensor_id, call_id, b_us // {DENSER} AS b_us, k, lsr, [0, 60, 600, 3600, 10800][k % 5 + 1] AS expires_s FROM {CDR}))"""
+
+
+def walk(now: str, rows: str = _ROWS) -> str:
+    """SQL that walks each identity's messages one after the other: sweeps, expiry, then the list of the message."""
+    s, over = f"1000000", f"CASE WHEN o1 IS NULL THEN f_to IS NOT NULL AND t > f_to + {FAILED_HELD_S * S} WHEN o1 = 'ok' OR f_to IS NULL THEN t > o1_to + {HELD_S * S} ELSE t > greatest(o1_to, f_to) + {HELD_S * S} END"
+    other, failed = "[{'state': o, 'from_us': o_from, 'to_us': o_to, 'n': o_n}]", "[{'state': 'failed', 'from_us': f_from, 'to_us': f_to, 'n': f_n}]"
+    expired = f"[{{'state': 'expired', 'from_us': o_to + o_e * {s}, 'to_us': o_to + o_e * {s}, 'n': CAST(0 AS BIGINT)}}]"
+    swept = f"""SELECT *, CASE WHEN x1 THEN 'gone' ELSE o END AS o1, CASE WHEN x1 THEN o_to + o_e * {s} ELSE o_to END AS o1_to
+   FROM (SELECT *, coalesce(o = 'ok' AND o_e + {GRACE_S} < {HELD_S} AND o_to // {s} + o_e + {GRACE_S} < t // {s}, false) AS x1 FROM joined)"""
+    return f"""WITH RECURSIVE r AS (SELECT caller, sensor_id, b_us AS t, state, CAST(expires_s AS BIGINT) AS e, row_number() OVER (PARTITION BY caller, sensor_id ORDER BY b_us, call_id) AS rn FROM {rows}),
+w AS (SELECT caller, sensor_id, rn, CASE WHEN state <> 'failed' THEN state END AS o, t AS o_from, t AS o_to, e AS o_e, CAST(1 AS BIGINT) AS o_n, CASE WHEN state = 'failed' THEN t END AS f_from, CASE WHEN state = 'failed' THEN t END AS f_to, CAST(1 AS BIGINT) AS f_n,
+  CAST([] AS STRUCT(state VARCHAR, from_us BIGINT, to_us BIGINT, n BIGINT)[]) AS done FROM r WHERE rn = 1
+ UNION ALL SELECT caller, sensor_id, rn,
+  CASE WHEN bad THEN o3 ELSE state END, CASE WHEN bad OR same THEN o_from ELSE t END, CASE WHEN bad THEN o3_to ELSE t END, CASE WHEN bad THEN o_e ELSE e END, CASE WHEN bad THEN o_n WHEN same THEN o_n + 1 ELSE 1 END,
+  CASE WHEN NOT bad THEN f3 WHEN f_same THEN f_from ELSE t END, CASE WHEN NOT bad THEN f3_to ELSE t END, CASE WHEN NOT bad THEN f_n WHEN f_same THEN f_n + 1 ELSE 1 END,
+  list_concat(list_concat(CASE WHEN x1 OR x2 THEN list_concat({other}, {expired}) ELSE [] END, CASE WHEN dead AND NOT x1 AND o IS NOT NULL AND o <> 'gone' THEN {other} WHEN NOT dead AND NOT bad AND NOT same AND o3 IS NOT NULL AND o3 <> 'gone' THEN {other} ELSE [] END),
+   CASE WHEN f_to IS NOT NULL AND (dead OR bad AND NOT f_same) THEN {failed} ELSE [] END)
+ FROM (SELECT *, state = 'failed' AS bad, coalesce(o3 = state AND (t - o_from) // {s} <= {TIMEOUT_S}, false) AS same, coalesce(f3_to IS NOT NULL AND (t - f3) // {s} <= {TIMEOUT_S}, false) AS f_same
+  FROM (SELECT *, CASE WHEN dead THEN NULL WHEN x2 THEN 'gone' ELSE o1 END AS o3, CASE WHEN x2 THEN o_to + o_e * {s} ELSE o1_to END AS o3_to, CASE WHEN NOT dead THEN f_from END AS f3, CASE WHEN NOT dead THEN f_to END AS f3_to
+   FROM (SELECT *, NOT dead AND coalesce(o1 = 'ok' AND o_to // {s} + o_e < t // {s}, false) AS x2
+    FROM (SELECT *, {over} AS dead FROM ({swept.replace('FROM joined', 'FROM (SELECT r.*, w.* EXCLUDE (caller, sensor_id, rn) FROM w JOIN r ON r.caller = w.caller AND r.sensor_id = w.sensor_id AND r.rn = w.rn + 1)')})))))),
+z AS (SELECT *, {now} AS t FROM w QUALIFY row_number() OVER (PARTITION BY caller, sensor_id ORDER BY rn DESC) = 1)
+SELECT caller, sensor_id, x.state, x.from_us, x.to_us, x.n FROM (SELECT caller, sensor_id, unnest(done) AS x FROM w)
+UNION ALL SELECT caller, sensor_id, o, o_from, o_to, o_n FROM z WHERE o <> 'gone'
+UNION ALL SELECT caller, sensor_id, 'failed', f_from, f_to, f_n FROM z WHERE f_to IS NOT NULL
+UNION ALL SELECT caller, sensor_id, 'expired', o_to + o_e * {s}, o_to + o_e * {s}, 0 FROM z WHERE o = 'ok' AND o_e + {GRACE_S} < {HELD_S} AND o_to // {s} + o_e + {GRACE_S} < t // {s}"""
+
 
 ORACLE_SQL = {
-    "registration_segments": f"""WITH r AS (SELECT * FROM {_ROWS}),
-m AS (SELECT *, CASE WHEN lag(state) OVER w = state AND b_us - lag(b_us) OVER w <= 600000000 THEN 0 ELSE 1 END AS d FROM r WINDOW w AS (PARTITION BY caller, sensor_id ORDER BY b_us, call_id)),
-g AS (SELECT *, sum(d) OVER (PARTITION BY caller, sensor_id ORDER BY b_us, call_id ROWS UNBOUNDED PRECEDING) AS segment FROM m),
-s AS (SELECT caller, sensor_id, CAST(segment AS BIGINT) AS segment, state, min(b_us) AS from_us, max(b_us) AS to_us, count(*) AS n, arg_max(expires_s, (b_us, call_id)) AS expires_s FROM g GROUP BY caller, sensor_id, segment, state),
-f AS (SELECT *, coalesce(lead(from_us) OVER (PARTITION BY caller, sensor_id ORDER BY segment), (SELECT max(b_us) FROM r)) AS until_us FROM s)
-SELECT caller, sensor_id, segment, state, from_us, to_us, n FROM s
-UNION ALL SELECT caller, sensor_id, segment, 'expired', to_us + expires_s * 1000000, until_us, 0 FROM f WHERE state = 'ok' AND until_us > to_us + expires_s * 1000000 + 30000000""",
+    "registration_segments": walk("(SELECT max(t) FROM r)"),
     "registrations_held": f"""WITH r AS (SELECT * FROM {_ROWS}), k AS (SELECT caller, sensor_id, max(b_us) AS last_us, bool_and(state = 'failed') AS only_failed FROM r GROUP BY caller, sensor_id),
 h AS (SELECT *, (SELECT max(b_us) FROM r) - last_us <= CASE WHEN only_failed THEN 60000000 ELSE 7200000000 END AS held FROM k)
 SELECT sensor_id, count(*) AS known, count(*) FILTER (WHERE held) AS held, count(*) FILTER (WHERE NOT held AND only_failed) AS failed_out, count(*) FILTER (WHERE NOT held AND NOT only_failed) AS others_out FROM h GROUP BY sensor_id""",

@@ -23,11 +23,23 @@ def plus_minus(calls: DataFrame, keys: list[str]) -> DataFrame:
     return calls.select(*keys, F.explode(F.array(F.struct(c("b_us").alias("t"), F.lit(1).alias("d")), F.struct(c("e_us").alias("t"), F.lit(-1).alias("d")))).alias("x")).select(*keys, "x.t", "x.d")
 
 
-def running(events: DataFrame, keys: list[str], block_us: int = DAY, order: tuple[str, ...] = ("t", "d")) -> DataFrame:
+#: A key with more rows than this is split into blocks of time; below it one task walks a key, which shuffles only once.
+SPLIT_ROWS = 1_000_000
+
+
+def has_hot_key(rows: DataFrame, keys: list[str]) -> bool:
+    """Whether a key has more than SPLIT_ROWS rows, counted before anything is shuffled whole."""
+    return (rows.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"] or 0) > SPLIT_ROWS
+
+
+def running(events: DataFrame, keys: list[str], block_us: int = DAY, order: tuple[str, ...] = ("t", "d"), split: bool = True) -> DataFrame:
     """Adds n, the running sum of d by t (by default ends before begins at one time), exactly.
 
     Sums within blocks of time run in parallel; what came before a block is a prefix sum over the few block totals.
+    Without `split` a key is one window.
     """
+    if not split:
+        return events.withColumn("n", F.sum("d").over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
     events = events.withColumn("_block", F.floor(c("t") / block_us))
     inner = W.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     outer = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
@@ -36,16 +48,30 @@ def running(events: DataFrame, keys: list[str], block_us: int = DAY, order: tupl
     return within.join(totals.select(*keys, "_block", "_before"), [*keys, "_block"]).withColumn("n", c("_n") + c("_before")).drop("_block", "_n", "_before")
 
 
-def previous(rows: DataFrame, keys: list[str], columns: list[str], t: str = "b_us", tie: str = "call_id", block_us: int = DAY) -> DataFrame:
-    """Adds previous, a struct of columns of the key's row before this one; null for the first.
+def carried(rows: DataFrame, keys: list[str], values: dict[str, tuple[Column, Column]], t: str = "b_us", tie: str = "call_id", block_us: int = DAY, split: bool = True) -> DataFrame:
+    """Adds for each name (value, condition) the value of the key's latest earlier row that meets the condition, or null.
 
-    Blocks of time run in parallel, so a hot key is split; a block's first row takes the last one of the block before.
+    Blocks of time run in parallel, so a hot key is split; a block's first rows take what the blocks before left.
+    Without `split` a key is one window. Values are not null.
     """
+    back = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    latest = lambda name, w: F.last(F.when(values[name][1], values[name][0]), ignorenulls=True).over(back(w))
+    if not split:
+        w = W.partitionBy(*keys).orderBy(t, tie)
+        return rows.select("*", *[latest(name, w).alias(name) for name in values])
     rows = rows.withColumn("_block", F.floor(c(t) / block_us))
-    last = rows.groupBy(*keys, "_block").agg(F.max_by(F.struct(*columns), F.struct(t, tie)).alias("_last"))
-    last = last.withColumn("_before", F.lag("_last").over(W.partitionBy(*keys).orderBy("_block"))).drop("_last")
-    inner = F.lag(F.struct(*columns)).over(W.partitionBy(*keys, "_block").orderBy(t, tie))
-    return rows.withColumn("_inner", inner).join(last, [*keys, "_block"]).withColumn("previous", F.coalesce("_inner", "_before")).drop("_block", "_inner", "_before")
+    last = rows.groupBy(*keys, "_block").agg(*[F.max_by(F.when(cond, value), F.when(cond, F.struct(t, tie))).alias(name) for name, (value, cond) in values.items()])
+    outer = back(W.partitionBy(*keys).orderBy("_block"))
+    last = last.select(*keys, "_block", *[F.last(name, ignorenulls=True).over(outer).alias(f"_{name}_before") for name in values])
+    inner = W.partitionBy(*keys, "_block").orderBy(t, tie)
+    rows = rows.select("*", *[latest(name, inner).alias(f"_{name}_inner") for name in values]).join(last, [*keys, "_block"])
+    out = rows.select("*", *[F.coalesce(f"_{name}_inner", f"_{name}_before").alias(name) for name in values])
+    return out.drop("_block", *[f"_{name}_{where}" for name in values for where in ("inner", "before")])
+
+
+def previous(rows: DataFrame, keys: list[str], columns: list[str], t: str = "b_us", tie: str = "call_id", block_us: int = DAY, split: bool = True) -> DataFrame:
+    """Adds previous, a struct of columns of the key's row before this one; null for the first."""
+    return carried(rows, keys, {"previous": (F.struct(*columns), F.lit(True))}, t, tie, block_us, split)
 
 
 def running_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +94,9 @@ def change_country(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segments(rows: DataFrame, keys: list[str], state: str, t: str, tie: str) -> DataFrame:
     """Runs of one state: keys, state, first and last time and the number of rows."""
     same = c("previous").isNotNull() & c(state).eqNullSafe(c(f"previous.{state}"))
-    changes = previous(rows, keys, [state], t, tie).select(*keys, state, c(t).alias("t"), c(tie).alias("tie"), F.when(same, 0).otherwise(1).alias("d"))
-    numbered = running(changes, keys, order=("t", "tie"))
+    split = has_hot_key(rows, keys)
+    changes = previous(rows, keys, [state], t, tie, split=split).select(*keys, state, c(t).alias("t"), c(tie).alias("tie"), F.when(same, 0).otherwise(1).alias("d"))
+    numbered = running(changes, keys, order=("t", "tie"), split=split)
     return numbered.groupBy(*keys, c("n").alias("segment"), state).agg(F.min("t").alias("from_us"), F.max("t").alias("to_us"), F.count("*").alias("n"))
 
 

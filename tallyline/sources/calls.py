@@ -19,8 +19,12 @@ def micros(column: str) -> Column:
 
 
 def cdr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Call records from events."""
-    e = table(spark, sf_dir, "events")
+    """Call records from the table of events."""
+    return calls(table(spark, sf_dir, "events"))
+
+
+def calls(e: DataFrame) -> DataFrame:
+    """Call records from events, of a table or a stream."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     base = e.select(
         F.col("event_id").alias("call_id"),

@@ -85,14 +85,6 @@ def anchored_alerts(events: DataFrame, length_s: int, limit: int) -> DataFrame:
     return grouped.applyInPandasWithState(update, "user_id long, begin_us long, judged_us long, n long", "begin_us long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def answered(requests: DataFrame, responses: DataFrame, within: str = "30 minutes") -> DataFrame:
-    """Requests with their response inside a time, and those without one once the watermark has passed."""
-    q = requests.withWatermark("at", LATE).select(c("user_id").alias("q_user"), c("at").alias("q_at"), c("event_id").alias("request_id"))
-    r = responses.withWatermark("at", LATE).select(c("user_id").alias("r_user"), c("at").alias("r_at"), c("event_id").alias("response_id"))
-    on = (c("q_user") == c("r_user")) & (c("r_at") > c("q_at")) & (c("r_at") <= c("q_at") + F.expr(f"INTERVAL {within}"))
-    return q.join(r, on, "leftOuter").select("request_id", "response_id")
-
-
 def newest(spark: SparkSession, folder: str, schema, before: int | None = None) -> DataFrame:
     """The rows of an upserted table: of each part its newest version, or the newest before a batch."""
     kept = T.StructType([*schema.fields, T.StructField("_version", T.LongType()), T.StructField("_part", T.LongType())])

@@ -49,15 +49,6 @@ def test_duplicates_within_the_watermark_go(spark, tmp_path):
     assert sorted(r["event_id"] for r in out.collect()) == [1, 2]
 
 
-def test_requests_with_and_without_an_answer(spark, tmp_path):
-    write(spark, tmp_path, [(1, at(0), 7, "request", 0.0), (2, at(10), 7, "response", 0.0), (3, at(60), 8, "request", 0.0)], "in1")
-    write(spark, tmp_path, [(9, at(6000), 9, "request", 0.0), (10, at(6000), 9, "response", 0.0)], "in2")
-    write(spark, tmp_path, [(11, at(9000), 9, "request", 0.0), (12, at(9000), 9, "response", 0.0)], "in3")
-    q, r = (stream(spark, tmp_path).where(F.col("event_type") == k) for k in ("request", "response"))
-    got = {(x["request_id"], x["response_id"]) for x in jobs.drain(jobs.answered(q, r), f"{tmp_path}-out").collect()}
-    assert {(1, 2), (3, None)} <= got
-
-
 def test_queries_keep_every_row_of_many_unordered_files(spark, tmp_path):
     import duckdb
 
