@@ -28,10 +28,10 @@ def first_past(t: np.ndarray, low: np.ndarray, high: np.ndarray, limit: np.ndarr
     return low
 
 
-def cut(t: np.ndarray, starts: np.ndarray, length: int, at_end: bool, closes: bool, carried: tuple[int, int] | None) -> tuple[np.ndarray, np.ndarray, bool]:
+def cut(t: np.ndarray, starts: np.ndarray, length: np.ndarray, at_end: bool, closes: bool, carried: tuple[int, int] | None) -> tuple[np.ndarray, np.ndarray, bool]:
     """Window begin and position of every row of a batch, and whether its last window is closed.
 
-    starts are the first rows of each key; carried is the open window (begin, rows so far) of the first one. A row past
+    starts are the first rows of each key; length is that of each row's key; carried is the open window (begin, rows so far) of the first one. A row past
     the length belongs to the window that it closes if `closes`, and begins the next one otherwise.
     """
     rows, ends = len(t), np.append(starts[1:], len(t))
@@ -41,7 +41,7 @@ def cut(t: np.ndarray, starts: np.ndarray, length: int, at_end: bool, closes: bo
     heads = np.zeros(rows, dtype=bool)
     front = starts.copy()
     if carried is not None:
-        front[0] = first_past(t, front[:1], ends[:1], np.array([carried[0] + length]), at_end)[0] + closes
+        front[0] = first_past(t, front[:1], ends[:1], np.array([carried[0] + length[0]]), at_end)[0] + closes
     limit = ends
     while len(front):
         inside = front < limit
@@ -53,11 +53,12 @@ def cut(t: np.ndarray, starts: np.ndarray, length: int, at_end: bool, closes: bo
     if carried is not None:
         begin, n = np.where(head < 0, carried[0], begin), np.where(head < 0, at + 1 + carried[1], n)
     last = t[-1] - begin[-1]
-    return begin, n, bool(closes and (last >= length if at_end else last > length))
+    return begin, n, bool(closes and (last >= length[-1] if at_end else last > length[-1]))
 
 
-def anchored(rows: DataFrame, keys: list[str], t: str, tie: str, length: int, at_end: bool = False, closes: bool = False) -> DataFrame:
-    """Adds begin_us and n, the row's position in its window. Keys and times are not null.
+def anchored(rows: DataFrame, keys: list[str], t: str, tie: str, length: int | str, at_end: bool = False, closes: bool = False) -> DataFrame:
+    """Adds begin_us and n, the row's position in its window. Keys and times are not null. length may name a column of whole
+    numbers, one for each key.
 
     A row past the length (at or past it, if `at_end`) begins a window, or with `closes` is the last of the old one.
     """
@@ -77,7 +78,8 @@ def anchored(rows: DataFrame, keys: list[str], t: str, tie: str, length: int, at
             if tuple(c[0].as_py() for c in columns) != last:
                 carried, last = None, None
             times = batch.column(names.index(t)).to_numpy()
-            begin, n, closed = cut(times, np.flatnonzero(changed), length, at_end, closes, carried)
+            lengths = np.full(len(times), length) if isinstance(length, int) else batch.column(names.index(length)).to_numpy()
+            begin, n, closed = cut(times, np.flatnonzero(changed), lengths, at_end, closes, carried)
             last = tuple(c[-1].as_py() for c in columns)
             carried = None if closed else (int(begin[-1]), int(n[-1]))
             if closed:

@@ -150,7 +150,7 @@ def topk_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def having_distinct_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls of (caller, sensor) groups that use more than one user agent or destination."""
+    """Calls of (caller, sensor) groups that have more than 12 different destinations."""
     calls = cdr(spark, sf_dir)
     dup = calls.groupBy("caller", "sensor_id").agg(F.count_distinct("dst_ip").alias("n_dst")).where("n_dst > 12")
     return calls.join(dup, ["caller", "sensor_id"]).select("call_id", "caller", "sensor_id", "dst_ip", "n_dst")

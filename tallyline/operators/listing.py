@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyline.functions import semantics as X
@@ -97,25 +96,9 @@ def change_country_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where("previous.country <> country AND previous.dst_ip <> dst_ip").select("call_id", "caller", c("previous.country").alias("old_country"), "country")
 
 
-def registration_states(spark: SparkSession, sf_dir: str, timeout_s: int = 600) -> DataFrame:
-    """Registration states from response and expiry, and whether a state is extended, renewed after a timeout, or new."""
-    calls = cdr(spark, sf_dir)
-    state = F.when(c("lsr").isin(401, 403, 404, 699) | (c("k") % 11 <= 1), "failed").when((c("lsr") == 200) & (c("k") % 13 == 0), "unregister").when(c("lsr") == 200, "ok").otherwise("unknown")
-    w = W.partitionBy("caller", "sensor_id").orderBy("b_us", "call_id")
-    rows = calls.withColumn("state", state).withColumn("before", F.lag("state").over(w)).withColumn("before_us", F.lag("b_us").over(w))
-    kind = F.when(~c("before").eqNullSafe(c("state")), "new").when(c("b_us") - c("before_us") > timeout_s * S, "renewed").otherwise("extended")
-    return rows.groupBy("caller", "sensor_id", "state").agg(*(F.count_if(kind == k).alias(k) for k in ("new", "renewed", "extended")))
-
-
-def register_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many registrations of an address pair a cache would answer: those less than an hour after the last one kept."""
-    rows = cdr(spark, sf_dir).where("event_type = 'signup'").select("src_ip", "b_us", "call_id")
-    return anchored(rows, ["src_ip"], "b_us", "call_id", 3600 * S, at_end=True).select("src_ip", "call_id", (c("n") > 1).alias("hit"))
-
-
 QUERIES = {
     f.__name__: f
-    for f in (chart_json, chart_value_combination, histogram_reduced, filter_json, period_gate, message_hash, send_call_info, counter_restart, session_counts, change_country_register, registration_states, register_cache)
+    for f in (chart_json, chart_value_combination, histogram_reduced, filter_json, period_gate, message_hash, send_call_info, counter_restart, session_counts, change_country_register)
 }
 
 def _wraps(value: str, begin: int, end: int) -> str:
@@ -148,12 +131,4 @@ SELECT src_ip, call_id, begin_us, n FROM w""",
   FROM (SELECT *, CASE WHEN b_us - lag(b_us) OVER (PARTITION BY caller ORDER BY b_us, call_id) < 21600000000 THEN 0 ELSE 1 END AS fresh FROM {CDR})) GROUP BY caller, s""",
     "change_country_register": f"""SELECT call_id, caller, old_country, country FROM (SELECT *, lag(country) OVER w AS old_country, lag(dst_ip) OVER w AS old_ip FROM (SELECT *, k // 16 % 4 AS country FROM {CDR} WHERE event_type = 'signup')
   WINDOW w AS (PARTITION BY caller ORDER BY b_us, call_id)) WHERE old_country <> country AND old_ip <> dst_ip""",
-    "registration_states": f"""WITH s AS (SELECT *, CASE WHEN lsr IN (401, 403, 404, 699) OR k % 11 <= 1 THEN 'failed' WHEN lsr = 200 AND k % 13 = 0 THEN 'unregister' WHEN lsr = 200 THEN 'ok' ELSE 'unknown' END AS state FROM {CDR}),
-b AS (SELECT *, lag(state) OVER (PARTITION BY caller, sensor_id ORDER BY b_us, call_id) AS before, lag(b_us) OVER (PARTITION BY caller, sensor_id ORDER BY b_us, call_id) AS before_us FROM s),
-k AS (SELECT *, CASE WHEN before IS NULL OR before <> state THEN 'new' WHEN b_us - before_us > 600000000 THEN 'renewed' ELSE 'extended' END AS kind FROM b)
-SELECT caller, sensor_id, state, count(*) FILTER (WHERE kind = 'new') AS new, count(*) FILTER (WHERE kind = 'renewed') AS renewed, count(*) FILTER (WHERE kind = 'extended') AS extended FROM k GROUP BY caller, sensor_id, state""",
-    "register_cache": f"""WITH RECURSIVE r AS (SELECT src_ip, call_id, b_us, row_number() OVER (PARTITION BY src_ip ORDER BY b_us, call_id) AS rn FROM {CDR} WHERE event_type = 'signup'),
-w AS (SELECT src_ip, call_id, rn, b_us AS kept, false AS hit FROM r WHERE rn = 1
- UNION ALL SELECT r.src_ip, r.call_id, r.rn, CASE WHEN r.b_us - w.kept < 3600000000 THEN w.kept ELSE r.b_us END, r.b_us - w.kept < 3600000000 FROM w JOIN r ON r.src_ip = w.src_ip AND r.rn = w.rn + 1)
-SELECT src_ip, call_id, hit FROM w""",
 }

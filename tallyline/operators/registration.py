@@ -20,6 +20,7 @@ from tallyline.operators.anchored import anchored
 from tallyline.operators.intervals import S
 from tallyline.operators.machines import Machine
 from tallyline.operators.sequences import carried, has_hot_key, previous, running
+from tallyline.session import table
 from tallyline.sources.calls import CDR, cdr
 
 c = F.col
@@ -86,18 +87,21 @@ def segments(rows: DataFrame, keys: list[str], now_us: int | None = None) -> Dat
     runs = anchored(runs, [*listed, "run"], "b_us", "call_id", (TIMEOUT_S + 1) * S, at_end=True)
     last = F.max_by("expires_s", F.struct("b_us", "call_id")).alias("expires_s")
     found = runs.groupBy(*listed, "run", "state", c("begin_us").alias("from_us")).agg(F.max("b_us").alias("to_us"), F.count("*").alias("n"), last)
-    # a life's last message, and whether another life follows
-    ends = lived.groupBy(*keys, "life").agg(F.max("b_us").alias("end_us"))
-    ends = ends.withColumn("_more", F.lead("life").over(W.partitionBy(*keys).orderBy("life")).isNotNull())
+    life = W.partitionBy(*keys, "life")
+    good = found.withColumn("next_us", F.lead("from_us").over(W.partitionBy(*listed).orderBy("run", "from_us"))).withColumn("end_us", F.max("to_us").over(life))
+    if split:
+        good = good.join(found.groupBy(*keys).agg(F.max("life").alias("last_life")), keys)
+    else:
+        good = good.withColumn("last_life", F.max("life").over(W.partitionBy(*keys)))
     now = rows.agg(F.max("b_us").alias("now_us")) if now_us is None else rows.sparkSession.range(1).select(F.lit(now_us).alias("now_us"))
-    following = F.lead("from_us").over(W.partitionBy(*keys, "life").orderBy("run", "from_us"))
-    good = found.where("NOT failed").withColumn("next_us", following).where("state = 'ok'").join(ends, [*keys, "life"]).crossJoin(F.broadcast(now))  # one row
+    good = good.crossJoin(F.broadcast(now))  # one row
     over_s = second(c("to_us")) + c("expires_s")
-    swept = (c("expires_s") + GRACE_S < HELD_S) & (c("_more") | (over_s + GRACE_S < second(c("now_us"))))
-    expired = good.where(F.when(c("next_us").isNotNull(), over_s < second(c("next_us"))).otherwise((over_s < second(c("end_us"))) | swept))
+    swept = (c("expires_s") + GRACE_S < HELD_S) & ((c("life") < c("last_life")) | (over_s + GRACE_S < second(c("now_us"))))
+    expired = (c("state") == "ok") & F.when(c("next_us").isNotNull(), over_s < second(c("next_us"))).otherwise((over_s < second(c("end_us"))) | swept)
     at = c("to_us") + c("expires_s") * S
-    expired = expired.select(*keys, F.lit("expired").alias("state"), at.alias("from_us"), at.alias("to_us"), F.lit(0).cast("bigint").alias("n"))
-    return found.select(expired.columns).unionByName(expired)
+    one = F.struct("state", "from_us", "to_us", "n")
+    two = F.struct(F.lit("expired").alias("state"), at.alias("from_us"), at.alias("to_us"), F.lit(0).cast("bigint").alias("n"))
+    return good.select(*keys, F.explode(F.when(expired, F.array(one, two)).otherwise(F.array(one))).alias("x")).select(*keys, "x.*")
 
 
 def sweep(held: dict, now: int) -> tuple[dict, list[tuple]]:
@@ -184,7 +188,67 @@ def registrations_held(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_key.groupBy("sensor_id").agg(F.count("*").alias("known"), F.count_if(held).alias("held"), F.count_if(~held & c("only_failed")).alias("failed_out"), F.count_if(~held & ~c("only_failed")).alias("others_out"))
 
 
-QUERIES = {f.__name__: f for f in (registration_segments, registrations_held)}
+def registration_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often and how long an identity was in each state."""
+    found = segments(registrations(cdr(spark, sf_dir)), KEYS)
+    return found.groupBy(*KEYS, "state").agg(F.count("*").alias("segments"), F.sum("n").alias("messages"), F.max(c("to_us") - c("from_us")).alias("longest_us"))
+
+
+def state_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When good registrations expired, the last ones of the table included."""
+    return segments(registrations(cdr(spark, sf_dir)), KEYS).where("state = 'expired'").select(*KEYS, c("from_us").alias("expired_us"))
+
+
+def alerts(found: DataFrame, rules: DataFrame) -> DataFrame:
+    """(rule, begin_us, at_us, n): alerts on segments (KEYS, ua, state, from_us, to_us).
+
+    rules: rule, kind (agent, short or expired), pattern and negated (of agents; no agent meets only a negated one),
+    within_s (a good or unknown state is lost within this time), interval_s and least. Segments that meet a rule count
+    from its first one; the first one past the interval still counts, ends it and begins the next. Without an interval
+    every `least` segments are an alert.
+    """
+    before = W.partitionBy(*KEYS).orderBy("from_us", "to_us", "state")
+    lasting = ("ok", "unknown")
+    e = found.where("state <> 'failed'").select("*", F.lag("state").over(before).alias("old"), F.lag("to_us").over(before).alias("old_to"))
+    lost = ~c("state").isin(*lasting) & c("old").isin(*lasting) & (c("from_us") > c("old_to")) & (c("from_us") - c("old_to") <= c("within_s") * S)
+    agent = F.coalesce(F.rlike(c("ua"), c("pattern")), F.lit(False)) != c("negated")
+    meets = F.when(c("kind") == "agent", agent).when(c("kind") == "short", lost).otherwise(c("state") == "expired")
+    e = e.crossJoin(F.broadcast(rules)).where(meets)
+    tie = F.xxhash64(*KEYS, "state").alias("tie")
+    timed = e.where("interval_s > 0").select("rule", "least", c("from_us").alias("t"), tie, (c("interval_s") * S).alias("length"))
+    w = anchored(timed, ["rule"], "t", "tie", "length")
+    w = w.groupBy("rule", "least", "begin_us").agg(F.count("*").alias("n"))
+    by_rule = W.partitionBy("rule").orderBy("begin_us")
+    w = w.select("rule", "least", "begin_us", F.lead("begin_us").over(by_rule).alias("at_us"), (c("n") + F.when(F.lag("n").over(by_rule).isNull(), 1).otherwise(0)).alias("n"))
+    every = e.where("interval_s = 0").select("rule", "least", c("from_us").alias("t"), tie, F.lit(1).alias("d"))
+    every = running(every, ["rule"], order=("t", "tie")).where("n % least = 0")
+    every = every.select("rule", F.lit(None).cast("bigint").alias("begin_us"), c("t").alias("at_us"), c("least").alias("n"))
+    return w.where("at_us IS NOT NULL AND n >= least").select("rule", "begin_us", "at_us", "n").unionByName(every)
+
+
+def register_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each region, from its number; the table has a row for each rule that a user wrote."""
+    k = c("r_regionkey")
+    return table(spark, sf_dir, "region").select(
+        c("r_name").alias("rule"), F.when(k < 2, "agent").when(k == 3, "expired").otherwise("short").alias("kind"), F.lit("^ua[01]$").alias("pattern"), (k == 1).alias("negated"),
+        (k * 120).cast("bigint").alias("within_s"), F.when(k == 4, 0).otherwise((k + 1) * 600).cast("bigint").alias("interval_s"), (k + 3).cast("bigint").alias("least"),
+    )
+
+
+def fraud_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts on agents, on registrations that were lost soon, and on expired ones, by rules of a table."""
+    found = segments(registrations(cdr(spark, sf_dir)), KEYS).withColumn("ua", F.concat(F.lit("ua"), (F.substring("caller", 4, 6).cast("bigint") % 5).cast("string")))
+    return alerts(found, register_rules(spark, sf_dir))
+
+
+def register_cache(spark: SparkSession, sf_dir: str, held_s: int = 60) -> DataFrame:
+    """Which registrations of a pair of addresses a cache answers: those that come, in whole seconds, less than a minute
+    after the last one that it let pass."""
+    rows = cdr(spark, sf_dir).select("src_ip", "dst_ip", F.expr(f"b_us div {DENSER * 100} div {S} * {S}").alias("t"), "call_id")
+    return anchored(rows, ["src_ip", "dst_ip"], "t", "call_id", held_s * S, at_end=True).select("src_ip", "dst_ip", "call_id", (c("n") > 1).alias("hit"))
+
+
+QUERIES = {f.__name__: f for f in (registration_segments, registrations_held, registration_states, state_expiry, fraud_register, register_cache)}
 
 _ROWS = f"""(SELECT *, CASE WHEN lsr IN (401, 403, 404, 699) OR k % 12 <= 1 THEN 'failed' WHEN lsr = 200 AND expires_s = 0 THEN 'unregister'
   WHEN lsr = 200 THEN 'ok' WHEN k % 12 > 10 THEN 'many_messages' ELSE 'unknown' END AS state
@@ -217,8 +281,27 @@ UNION ALL SELECT caller, sensor_id, 'failed', f_from, f_to, f_n FROM z WHERE f_t
 UNION ALL SELECT caller, sensor_id, 'expired', o_to + o_e * {s}, o_to + o_e * {s}, 0 FROM z WHERE o = 'ok' AND o_e + {GRACE_S} < {HELD_S} AND o_to // {s} + o_e + {GRACE_S} < t // {s}"""
 
 
+_SEGMENTS = f"({walk('(SELECT max(t) FROM r)')})"
+
 ORACLE_SQL = {
     "registration_segments": walk("(SELECT max(t) FROM r)"),
+    "registration_states": f"SELECT caller, sensor_id, state, count(*) AS segments, CAST(sum(n) AS BIGINT) AS messages, max(to_us - from_us) AS longest_us FROM {_SEGMENTS} GROUP BY caller, sensor_id, state",
+    "state_expiry": f"SELECT caller, sensor_id, from_us AS expired_us FROM {_SEGMENTS} WHERE state = 'expired'",
+    "fraud_register": f"""WITH RECURSIVE g AS (SELECT *, 'ua' || CAST(CAST(substr(caller, 4, 6) AS BIGINT) % 5 AS VARCHAR) AS ua, lag(state) OVER v AS old, lag(to_us) OVER v AS old_to FROM {_SEGMENTS} WHERE state <> 'failed'
+  WINDOW v AS (PARTITION BY caller, sensor_id ORDER BY from_us, to_us, state)),
+p AS (SELECT r_name AS rule, k, k * 120000000 AS within_us, CASE WHEN k = 4 THEN 0 ELSE (k + 1) * 600000000 END AS length, k + 3 AS least FROM (SELECT r_name, CAST(r_regionkey AS BIGINT) AS k FROM region)),
+e AS (SELECT rule, length, least, from_us AS t, row_number() OVER (PARTITION BY rule ORDER BY from_us) AS rn FROM g, p
+  WHERE CASE k WHEN 0 THEN ua IN ('ua0', 'ua1') WHEN 1 THEN ua NOT IN ('ua0', 'ua1') WHEN 3 THEN state = 'expired'
+    ELSE state NOT IN ('ok', 'unknown') AND old IN ('ok', 'unknown') AND from_us > old_to AND from_us - old_to <= within_us END),
+w AS (SELECT rule, rn, t AS begin_us, CAST(1 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS from_us, t AS at_us, CAST(NULL AS BIGINT) AS told FROM e WHERE rn = 1 AND length > 0
+ UNION ALL SELECT e.rule, e.rn, CASE WHEN e.t - w.begin_us > length THEN e.t ELSE w.begin_us END, CASE WHEN e.t - w.begin_us > length THEN 0 ELSE w.n + 1 END, w.begin_us, e.t, CASE WHEN e.t - w.begin_us > length AND w.n + 1 >= least THEN w.n + 1 END
+ FROM w JOIN e ON e.rule = w.rule AND e.rn = w.rn + 1)
+SELECT rule, from_us AS begin_us, at_us, told AS n FROM w WHERE told IS NOT NULL
+UNION ALL SELECT rule, NULL, t, least FROM e WHERE length = 0 AND rn % least = 0""",
+    "register_cache": f"""WITH RECURSIVE r AS (SELECT src_ip, dst_ip, call_id, t, row_number() OVER (PARTITION BY src_ip, dst_ip ORDER BY t, call_id) AS rn FROM (SELECT *, b_us // {DENSER * 100} // 1000000 AS t FROM {CDR})),
+w AS (SELECT src_ip, dst_ip, call_id, rn, t AS kept, false AS hit FROM r WHERE rn = 1
+ UNION ALL SELECT r.src_ip, r.dst_ip, r.call_id, r.rn, CASE WHEN w.kept + 60 <= r.t THEN r.t ELSE w.kept END, w.kept + 60 > r.t FROM w JOIN r ON r.src_ip = w.src_ip AND r.dst_ip = w.dst_ip AND r.rn = w.rn + 1)
+SELECT src_ip, dst_ip, call_id, hit FROM w""",
     "registrations_held": f"""WITH r AS (SELECT * FROM {_ROWS}), k AS (SELECT caller, sensor_id, max(b_us) AS last_us, bool_and(state = 'failed') AS only_failed FROM r GROUP BY caller, sensor_id),
 h AS (SELECT *, (SELECT max(b_us) FROM r) - last_us <= CASE WHEN only_failed THEN 60000000 ELSE 7200000000 END AS held FROM k)
 SELECT sensor_id, count(*) AS known, count(*) FILTER (WHERE held) AS held, count(*) FILTER (WHERE NOT held AND only_failed) AS failed_out, count(*) FILTER (WHERE NOT held AND NOT only_failed) AS others_out FROM h GROUP BY sensor_id""",

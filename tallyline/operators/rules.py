@@ -81,13 +81,7 @@ def fraud_destination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdr(spark, sf_dir).where(listed & (c("lsr") == 200)).groupBy("caller", "called").agg(F.count("*").alias("n"), F.min("b_us").alias("first_us"))
 
 
-def fraud_register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registrations by agents that match an expression, those that were lost soon, and expired ones."""
-    r = cdr(spark, sf_dir).where("event_type IN ('signup', 'click')")
-    return r.groupBy("caller").agg(F.count_if(c("ua").rlike("^ua[01]$")).alias("by_agent"), F.count_if(~c("ua").rlike("^ua[01]$")).alias("by_other_agent"), F.count_if(c("dur_us") < 20 * S).alias("lost_soon"), F.count_if(c("dur_us") > 120 * S).alias("expired")).where("lost_soon >= 2")
-
-
-QUERIES = {f.__name__: f for f in (fraud_packet_window, fraud_register_count, fraud_sequential, suppress_repeats, fraud_concurrent_calls, fraud_concurrent_streams, fraud_time_periods, fraud_destination, fraud_register)}
+QUERIES = {f.__name__: f for f in (fraud_packet_window, fraud_register_count, fraud_sequential, suppress_repeats, fraud_concurrent_calls, fraud_concurrent_streams, fraud_time_periods, fraud_destination)}
 
 
 def _anchored_sql(keys: list[str], where: str, length_us: int, limit: int) -> str:
@@ -121,6 +115,4 @@ SELECT caller, b_us, call_id FROM w WHERE raised""",
     "fraud_time_periods": f"""SELECT sensor_id, period_limit, count(*) AS alerts FROM (SELECT *, CASE WHEN t // 3600000000 % 24 >= 22 OR t // 3600000000 % 24 <= 5 THEN 2 ELSE 4 END AS period_limit FROM {_running_sql('sensor_id', CDR)} WHERE d = 1)
 WHERE n >= period_limit GROUP BY sensor_id, period_limit""",
     "fraud_destination": f"SELECT caller, called, count(*) AS n, min(b_us) AS first_us FROM {CDR} WHERE (called LIKE '0049%' OR called LIKE '001%') AND lsr = 200 GROUP BY caller, called",
-    "fraud_register": f"""SELECT caller, count(*) FILTER (WHERE ua IN ('ua0', 'ua1')) AS by_agent, count(*) FILTER (WHERE ua NOT IN ('ua0', 'ua1')) AS by_other_agent, count(*) FILTER (WHERE dur_us < 20000000) AS lost_soon,
-  count(*) FILTER (WHERE dur_us > 120000000) AS expired FROM {CDR} WHERE event_type IN ('signup', 'click') GROUP BY caller HAVING count(*) FILTER (WHERE dur_us < 20000000) >= 2""",
 }

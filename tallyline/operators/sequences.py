@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyline.operators.intervals import MINUTES, S, minutes, r6
+from tallyline.operators.intervals import S, r6
+from tallyline.session import table
 from tallyline.sources.calls import CDR, cdr
 
 c = F.col
@@ -106,15 +107,6 @@ def state_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(calls, ["caller"], "state", "b_us", "call_id")
 
 
-def state_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expired segments: a good state that is not refreshed before its expiry and the grace of 30 s."""
-    calls = cdr(spark, sf_dir)
-    following = F.lead("b_us").over(W.partitionBy("caller").orderBy("b_us", "call_id"))
-    expires = c("b_us") + (3600 * 4) * S
-    out = calls.withColumn("next_us", following).where((c("lsr") == 200) & c("next_us").isNotNull() & (c("next_us") > expires + 30 * S))
-    return out.select("call_id", "caller", expires.alias("expired_us"), ((c("next_us") - expires) / S).cast("bigint").alias("gap_s"))
-
-
 def moving_avg_30(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("caller").orderBy("b_us", "call_id").rowsBetween(-29, 0)
     return cdr(spark, sf_dir).select("call_id", r6(F.sum("dur_us").over(w) / F.count("*").over(w) / S).alias("avg_30"))
@@ -135,18 +127,49 @@ def seq_gap_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.groupBy("sensor_id", F.least(c("step") - 1, F.lit(10)).alias("length")).agg(F.count("*").alias("n"))
 
 
-def drops(per_minute: DataFrame, minutes_back: int = 5, percent: float = 30, absolute: int = 1) -> DataFrame:
-    """Minutes whose count fell below the whole mean of the minutes before, by a share and by a number. There is one row
-    a minute, so the window is over few rows however many calls there are."""
-    w = W.orderBy("bucket").rowsBetween(-minutes_back, -1)
-    m = per_minute.withColumn("before", F.count("*").over(w)).withColumn("mean", F.floor(F.sum("n").over(w) / F.count("*").over(w)).cast("bigint"))
+def minute_maxima(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, minute, first, n): the most calls (b_us, e_us) that a key had at once in each minute from its first to its last,
+    those without any event included: what was going on when a minute began counts in it. first is its first minute."""
+    events = running(plus_minus(calls, keys), keys).withColumn("minute", F.floor(c("t") / (60 * S)))
+    seen = events.groupBy(*keys, "minute").agg(F.max("n").alias("most"), F.max_by("n", F.struct("t", "d")).alias("at_end"))
+    spine = seen.groupBy(*keys).agg(F.min("minute").alias("a"), F.max("minute").alias("b")).select(*keys, c("a").alias("first"), F.explode(F.sequence("a", "b")).alias("minute"))
+    full = spine.join(seen, [*keys, "minute"], "left")  # a row a minute, however many calls there are
+    before = F.last("at_end", ignorenulls=True).over(W.partitionBy(*keys).orderBy("minute").rowsBetween(W.unboundedPreceding, -1))
+    return full.select(*keys, "minute", "first", F.greatest(F.coalesce("most", F.lit(0)), F.coalesce(before, F.lit(0))).cast("bigint").alias("n"))
+
+
+def drops(per_minute: DataFrame, rules: DataFrame) -> DataFrame:
+    """(rule, minute, n, mean): minutes in which a rule sees a drop.
+
+    per_minute (minute, first, n) has no gaps; it has one row a minute, so one window over it is small. rules: rule, back
+    (minutes before, of which the whole mean is taken), percent and number (limits of the drop; 0 is none), both (whether
+    both limits must be met, else one) and least (means below it are not looked at; 0 is none). The sum of the minutes
+    before is the difference of two running sums, which meet in one grouping whatever `back` is.
+    """
+    sums = per_minute.withColumn("sum", F.sum("n").over(W.orderBy("minute").rowsBetween(W.unboundedPreceding, 0)))
+    here = F.struct(c("minute").alias("at"), "first", "n", "sum", F.lit(None).cast("bigint").alias("old"))
+    later = F.struct((c("minute") + c("back") + 1).alias("at"), "first", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("sum"), c("sum").alias("old"))
+    rule = [k for k in rules.columns]
+    both_ = sums.crossJoin(F.broadcast(rules)).select(*rule, F.explode(F.array(here, later)).alias("x")).select(*rule, "x.*")
+    m = both_.groupBy(*rule, c("at").alias("minute"), "first").agg(F.max("n").alias("n"), F.max("sum").alias("sum"), F.max("old").alias("old"))
+    m = m.where(c("n").isNotNull() & (c("minute") - c("back") >= c("first"))).withColumn("mean", F.expr("(sum - n - coalesce(old, 0)) div back"))
     diff = c("mean") - c("n")
-    return m.where((c("before") >= minutes_back) & (c("n") < c("mean")) & (diff * 100 >= percent * c("mean")) & (diff >= absolute)).select("bucket", "n", "mean")
+    by_share, by_number = (c("percent") > 0) & (diff * 100 >= c("percent") * c("mean")), (c("number") > 0) & (diff >= c("number"))
+    unmet = (c("percent") > 0) & ~by_share | (c("number") > 0) & ~by_number
+    alert = (c("n") < c("mean")) & ((c("least") == 0) | (c("mean") >= c("least"))) & (by_share | by_number) & ~(c("both") & unmet)
+    return m.where(alert).select("rule", "minute", "n", "mean")
+
+
+def drop_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each region, from its number; the table has a row for each rule that a user wrote."""
+    k = c("r_regionkey")
+    return table(spark, sf_dir, "region").select(c("r_name").alias("rule"), (k + 2).cast("bigint").alias("back"), (k * 20).alias("percent"), (k % 3).alias("number"), (k % 2 == 1).alias("both"), (k % 2 * 2).alias("least"))
 
 
 def concurrency_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minutes in which the calls of all sensors together dropped."""
-    return drops(minutes(cdr(spark, sf_dir)).groupBy("bucket").agg(F.count("*").alias("n")))
+    """Minutes in which the connected calls of all sensors together dropped, by rule."""
+    calls = cdr(spark, sf_dir).where("connect_us IS NOT NULL").withColumn("b_us", c("e_us") - c("connect_us"))
+    return drops(minute_maxima(calls, []), drop_rules(spark, sf_dir))
 
 
 def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,9 +184,7 @@ def response_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdr(spark, sf_dir).where("connect_us IS NOT NULL").groupBy("caller").agg(F.expr("sum(dur_us - connect_us) div count(*)").alias("rrd_avg"))
 
 
-QUERIES = {f.__name__: f for f in (running_concurrency, change_country, state_segments, state_expiry, moving_avg_30, jitter_rfc3550, seq_gap_histogram, concurrency_drop, latest_per_key, response_delay)}
-
-_PER_MINUTE = f"(SELECT bucket, count(*) AS n FROM {MINUTES} GROUP BY bucket)"
+QUERIES = {f.__name__: f for f in (running_concurrency, change_country, state_segments, moving_avg_30, jitter_rfc3550, seq_gap_histogram, concurrency_drop, latest_per_key, response_delay)}
 
 ORACLE_SQL = {
     "running_concurrency": f"SELECT sensor_id, max(n) AS most, count(*) AS events, round(CAST(sum(CASE WHEN d = 1 THEN n END) AS DOUBLE) / count(*) FILTER (WHERE d = 1), 6) AS mean_at_begin FROM {_RUNNING} GROUP BY sensor_id",
@@ -172,16 +193,23 @@ ORACLE_SQL = {
     "state_segments": f"""SELECT caller, segment, state, min(b_us) AS from_us, max(b_us) AS to_us, count(*) AS n FROM (SELECT *, sum(changed) OVER (PARTITION BY caller ORDER BY b_us, call_id ROWS UNBOUNDED PRECEDING) AS segment
   FROM (SELECT *, CASE WHEN state = lag(state) OVER (PARTITION BY caller ORDER BY b_us, call_id) THEN 0 ELSE 1 END AS changed
   FROM (SELECT *, CASE WHEN lsr = 200 THEN 'ok' WHEN lsr IN (401, 403, 404) THEN 'failed' ELSE 'unknown' END AS state FROM {CDR}))) GROUP BY caller, segment, state""",
-    "state_expiry": f"""SELECT call_id, caller, b_us + 14400000000 AS expired_us, (next_us - b_us - 14400000000) // 1000000 AS gap_s FROM (SELECT *, lead(b_us) OVER (PARTITION BY caller ORDER BY b_us, call_id) AS next_us FROM {CDR})
-WHERE lsr = 200 AND next_us > b_us + 14430000000""",
     "moving_avg_30": f"""SELECT call_id, round(CAST(sum(dur_us) OVER w AS DOUBLE) / count(*) OVER w / 1000000, 6) AS avg_30 FROM {CDR} WINDOW w AS (PARTITION BY caller ORDER BY b_us, call_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""",
     "jitter_rfc3550": f"""WITH RECURSIVE r AS (SELECT user_id, abs(value) AS v, row_number() OVER (PARTITION BY user_id ORDER BY call_id) AS rn FROM {CDR}),
 j AS (SELECT user_id, rn, v / 16 AS a FROM r WHERE rn = 1 UNION ALL SELECT r.user_id, r.rn, j.a + (r.v - j.a) / 16 FROM j JOIN r ON r.user_id = j.user_id AND r.rn = j.rn + 1)
 SELECT user_id, round(a, 6) AS jitter FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS last FROM j) WHERE last = 1""",
     "seq_gap_histogram": f"""SELECT sensor_id, least(step - 1, 10) AS length, count(*) AS n FROM (SELECT sensor_id, (((seq - lag(seq) OVER (PARTITION BY sensor_id, codec, dst_ip ORDER BY b_us, call_id)) % 65536) + 65536) % 65536 AS step
   FROM (SELECT *, (((call_id * 11 - CASE WHEN k % 5 = 0 THEN k % 97 ELSE 0 END) % 65536) + 65536) % 65536 AS seq FROM {CDR})) WHERE step > 1 AND step < 32768 GROUP BY 1, 2""",
-    "concurrency_drop": f"""SELECT bucket, n, mean FROM (SELECT *, count(*) OVER w AS before, CAST(floor(CAST(sum(n) OVER w AS DOUBLE) / count(*) OVER w) AS BIGINT) AS mean FROM {_PER_MINUTE}
-  WINDOW w AS (ORDER BY bucket ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) WHERE before >= 5 AND n < mean AND (mean - n) * 100 >= 30 * mean AND mean - n >= 1""",
+    "concurrency_drop": f"""WITH c AS (SELECT e_us - connect_us AS b, e_us AS e FROM {CDR} WHERE connect_us IS NOT NULL),
+x AS (SELECT t, d, sum(d) OVER (ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS n FROM (SELECT b AS t, 1 AS d FROM c UNION ALL SELECT e, -1 FROM c)),
+k AS (SELECT t // 60000000 AS minute, max(n) AS most, arg_max(n, (t, d)) AS at_end FROM x GROUP BY 1),
+p AS (SELECT m.minute, CAST(greatest(coalesce(most, 0), coalesce(last_value(at_end IGNORE NULLS) OVER (ORDER BY m.minute ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) AS n
+  FROM (SELECT unnest(generate_series((SELECT min(minute) FROM k), (SELECT max(minute) FROM k))) AS minute) m LEFT JOIN k ON k.minute = m.minute),
+r AS (SELECT r_name AS rule, r_regionkey + 2 AS back, r_regionkey * 20 AS percent, r_regionkey % 3 AS number, r_regionkey % 2 = 1 AS both_, r_regionkey % 2 * 2 AS least_ FROM region),
+q AS (SELECT rule, p.minute, p.n, CAST(sum(o.n) AS BIGINT) // any_value(back) AS mean, any_value(percent) AS percent, any_value(number) AS number, any_value(both_) AS both_, any_value(least_) AS least_
+  FROM p, r JOIN p o ON o.minute BETWEEN p.minute - back AND p.minute - 1 GROUP BY rule, p.minute, p.n HAVING count(*) = any_value(back))
+SELECT rule, minute, n, mean FROM q WHERE n < mean AND (least_ = 0 OR mean >= least_)
+  AND list_contains([percent > 0 AND (mean - n) * 100 >= percent * mean, number > 0 AND mean - n >= number], true)
+  AND NOT (both_ AND ((percent > 0 AND (mean - n) * 100 < percent * mean) OR (number > 0 AND mean - n < number)))""",
     "latest_per_key": f"""SELECT caller, dst_ip, call_id, lsr, dur_us, n, first_us FROM (SELECT *, count(*) OVER (PARTITION BY caller, dst_ip) AS n, min(b_us) OVER (PARTITION BY caller, dst_ip) AS first_us,
   row_number() OVER (PARTITION BY caller, dst_ip ORDER BY b_us DESC, call_id DESC) AS rn FROM {CDR}) WHERE rn = 1""",
     "response_delay": f"SELECT caller, CAST(sum(dur_us - connect_us) // count(*) AS BIGINT) AS rrd_avg FROM {CDR} WHERE connect_us IS NOT NULL GROUP BY caller",
