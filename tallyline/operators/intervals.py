@@ -135,13 +135,18 @@ def counted_to(counted: DataFrame, keys: list[str], value: str, parts: int = 64)
     return rows.withColumn("_to", F.sum("_n").over(inner)).join(totals.drop("_sum"), [*keys, "_block"]).withColumn("_to", F.col("_to") + F.col("_before")).drop("_block", "_before")
 
 
+#: Groups that may have more rows than this are ordered in blocks.
+BLOCK_ROWS = 1_000_000
+
+
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, percents: list[int], descending: bool = False, prefix: str = "perc", large: bool = False) -> DataFrame:
     """Nearest-rank percentiles: 0-based index least(round(n p / 100), n - 1) of the sorted values, or of the reverse.
 
-    Equal values are counted first, so what is sorted in a group is its distinct values; with `large`, in blocks.
+    Equal values are counted first, so what is sorted in a group is its distinct values; with `large`, in blocks if a
+    group has more than BLOCK_ROWS rows, which are counted.
     """
     counted = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    if large:
+    if large and (rows.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"] or 0) > BLOCK_ROWS:
         counted = counted_to(counted, keys, value)
         if descending:
             counted = counted.withColumn("_to", F.col("_all") - F.col("_to") + F.col("_n"))

@@ -99,7 +99,13 @@ def price_with_peak(begin_s: Column, seconds: Column, normal: Column, peak: Colu
     def step(s: Column, k: Column) -> Column:
         return F.when(s["left"] > 0, X.let(rate(s), lambda r: X.let(billed(s, k, r), lambda n: on(s, r, n)))).otherwise(s)
 
-    return F.aggregate(F.sequence(F.lit(1).cast("bigint"), 2 + 3 * days), start, step, lambda s: s["total"])
+    walked = F.aggregate(F.sequence(F.lit(1).cast("bigint"), 2 + 3 * days), start, step, lambda s: s["total"])
+    # most calls are one slice, or two of which no change of rates cuts the second: they need no walk
+    cost = lambda n, unit, high: F.ceil(n / unit).cast("bigint") * unit * F.when(high, peak).otherwise(normal) / 60
+    rest, later = length - t1, begin_s + t1
+    high, _ = peak_at(begin_s, is_working(first_day), begin, end)
+    high_later, until = peak_at(later, is_working(F.floor(later / 86_400)), begin, end)
+    return F.when(t1 == t2, cost(length, t1, high)).when(rest <= 0, cost(t1, t1, high)).when(rest <= until - later, cost(t1, t1, high) + cost(rest, t2, high_later)).otherwise(walked)
 
 
 def rate_call_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
