@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -85,29 +86,91 @@ def anchored_alerts(events: DataFrame, length_s: int, limit: int) -> DataFrame:
     return grouped.applyInPandasWithState(update, "user_id long, begin_us long, judged_us long, n long", "begin_us long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def newest(spark: SparkSession, folder: str, schema, before: int | None = None) -> DataFrame:
-    """The rows of an upserted table: of each part its newest version, or the newest before a batch."""
-    kept = T.StructType([*schema.fields, T.StructField("_version", T.LongType()), T.StructField("_part", T.LongType())])
-    rows = spark.read.schema(kept).parquet(folder)
-    if before is not None:
-        rows = rows.where(c("_version") < before)
-    last = rows.groupBy("_part").agg(F.max("_version").alias("_version"))
-    return rows.join(last, ["_part", "_version"], "left_semi")
+class Versioned:
+    """A table of parts in a folder, each part a version of its own: what a batch does not touch is neither read nor written.
 
+    A batch writes new versions of its parts and then a manifest, the list of each part's version, which is what counts:
+    until it is there, readers see the batch before, and a batch that is run again writes the same. Versions that no
+    manifest kept names are deleted. Manifests have a row for each part, whatever the number of rows.
+    """
 
-def upsert(folder: str, keys: list[str], part: Column):
-    """A foreachBatch sink: rows of a batch replace those of the same keys.
-
-    `part` is a whole number that follows from the keys, such as the day of a bucket. A batch writes new versions only of
-    the parts that it touches, so its cost follows what changed and not the table. A version is whole before it counts,
-    and a batch that is run again writes the same one.
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, kept: int = 3):
+        self.spark, self.folder, self.schema, self.kept = spark, folder, schema, kept
+        self.fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def epochs(self, before: int | None = None) -> list[int]:
+        """Batches that ended, the last one first; their number is bounded, since old manifests go."""
+        if not self.fs.exists(self._path("manifest")):
+            return []
+        found = [s.getPath() for s in self.fs.listStatus(self._path("manifest"))]
+        whole = [int(f.getName().split("=")[1]) for f in found if self.fs.exists(self._path(f"manifest/{f.getName()}/_SUCCESS"))]
+        return sorted((e for e in whole if before is None or e < before), reverse=True)
+
+    def parts(self, before: int | None = None) -> DataFrame:
+        """(part, version): the last manifest, or the last one before a batch."""
+        ended = self.epochs(before)
+        if not ended:
+            return self.spark.createDataFrame([], "part bigint, version bigint")
+        return self.spark.read.schema("part bigint, version bigint").parquet(f"{self.folder}/manifest/epoch={ended[0]}")
+
+    def rows(self, parts: DataFrame) -> DataFrame:
+        """The rows of listed parts; only their folders are read."""
+        listed = [(r["part"], r["version"]) for r in parts.collect()]
+        if not listed:
+            return self.spark.createDataFrame([], self.schema)
+        folders = [f"{self.folder}/version={v}/part={p}" for p, v in listed]
+        return self.spark.read.schema(self.schema).parquet(*folders)
+
+    def table(self) -> DataFrame:
+        return self.rows(self.parts())
+
+    def write(self, rows: DataFrame, part: Column, epoch: int, merge) -> None:
+        """merge(old, new) of the parts that rows touch becomes their version `epoch`."""
+        rows = rows.withColumn("part", part.cast("bigint")).persist()
+        touched = rows.select("part").distinct()
+        before = self.parts(epoch)
+        old = self.rows(before.join(touched, "part", "left_semi"))
+        out = merge(old, rows.drop("part")).withColumn("part", part.cast("bigint"))
+        out.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/version={epoch}")
+        now = before.join(touched, "part", "left_anti").unionByName(touched.withColumn("version", F.lit(epoch).cast("bigint")))
+        now.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/epoch={epoch}")
+        rows.unpersist()
+        self._vacuum()
+
+    def _vacuum(self) -> None:
+        ended = self.epochs()
+        named: set[tuple[int, int]] = set()
+        for e in ended[: self.kept]:
+            named |= {(r["part"], r["version"]) for r in self.spark.read.parquet(f"{self.folder}/manifest/epoch={e}").collect()}
+        for e in ended[self.kept :]:
+            self.fs.delete(self._path(f"manifest/epoch={e}"), True)
+        for version in self.fs.listStatus(self._path("")):
+            name = version.getPath().getName()
+            if not name.startswith("version=") or int(name.split("=")[1]) > (ended[0] if ended else -1):
+                continue
+            held = [s.getPath() for s in self.fs.listStatus(version.getPath()) if s.getPath().getName().startswith("part=")]
+            old = [p for p in held if (int(p.getName().split("=")[1]), int(name.split("=")[1])) not in named]
+            for path in [version.getPath()] if len(old) == len(held) else old:
+                self.fs.delete(path, True)
+
+
+def upsert(folder: str, keys: list[str], part: Column, added: tuple[str, ...] = ()):
+    """A foreachBatch sink of a Versioned table: rows of a batch replace those of the same keys, or with `added` are summed
+    with them.
+
+    `part` is a whole number that follows from the keys, such as the day of a bucket.
     """
 
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        if added:
+            return old.unionByName(new).groupBy(*keys).agg(*[F.sum(name).alias(name) for name in added])
+        return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+
     def write(batch: DataFrame, epoch: int) -> None:
-        batch = batch.withColumn("_part", part.cast("bigint"))
-        old = newest(batch.sparkSession, folder, T.StructType([f for f in batch.schema.fields if f.name != "_part"]), epoch).drop("_version")
-        old = old.join(batch.select("_part").distinct(), "_part", "left_semi").join(batch.select(*keys), keys, "left_anti")
-        old.unionByName(batch).write.mode("overwrite").partitionBy("_part").parquet(f"{folder}/_version={epoch}")
+        Versioned(batch.sparkSession, folder, batch.schema).write(batch, part, epoch, merge)
 
     return write
 
@@ -123,20 +186,47 @@ def alert_sink(folder: str, rule: str, time_us: str):
     return write
 
 
-def drain(stream: DataFrame, folder: str, keys: list[str] | None = None, mode: str = "append", part: Column | None = None) -> DataFrame:
+def drain(stream: DataFrame, folder: str, keys: list[str] | None = None, mode: str = "append", part: Column | None = None, added: tuple[str, ...] = ()) -> DataFrame:
     """Runs a stream until its source is read up; returns the sink's table, upserted where keys are named."""
     spark, rows = stream.sparkSession, f"{folder}/rows"
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
     if keys is None:
         writer.format("parquet").option("path", rows).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(rows)
-    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{rows}/_version=-1/_part=0")  # there is a table even if no row comes
-    writer.foreachBatch(upsert(rows, keys, F.lit(0) if part is None else part)).start().awaitTermination()
-    return newest(spark, rows, stream.schema).drop("_version", "_part")
+    writer.foreachBatch(upsert(rows, keys, F.lit(0) if part is None else part, added)).start().awaitTermination()
+    return Versioned(spark, rows, stream.schema).table()
+
+
+def value_counts(events: DataFrame) -> DataFrame:
+    """(event_type, day, value, n): one row of n = 1 for each call that was measured, to be added up."""
+    measured = events.where("value <> 0")
+    return measured.select("event_type", F.expr("unix_seconds(at) div 86400").alias("day"), "value", F.lit(1).cast("bigint").alias("n"))
+
+
+def stream_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest-rank percentiles of values by type and day, from counts of values that every batch adds to.
+
+    What is kept between batches are distinct values and their counts, so percentiles are exact however often they are
+    asked for, and a batch touches only the days that it has rows of.
+    """
+    kept = drain(value_counts(events_stream(spark, sf_dir)), shared_folder(spark), ["event_type", "day", "value"], part=c("day"), added=("n",))
+    return ranks_of_counts(kept, ["event_type", "day"], "value", "n", (95, 99))
+
+
+def ranks_of_counts(counted: DataFrame, keys: list[str], value: str, n: str, percents: tuple[int, ...]) -> DataFrame:
+    """Nearest-rank percentiles of (keys, value, n)."""
+    w = W.partitionBy(*keys)
+    r = counted.withColumn("_to", F.sum(n).over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum(n).over(w))
+    at = lambda p: F.least(F.round(c("_all") * p / 100.0).cast("bigint"), c("_all") - 1)
+    return r.groupBy(*keys).agg(*(F.max(F.when((c("_to") > at(p)) & (c("_to") - c(n) <= at(p)), c(value))).alias(f"perc{p}") for p in percents))
 
 
 def stream_quarter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drain(quarter_counts(events_stream(spark, sf_dir)), shared_folder(spark), ["bucket", "event_type"], "update", F.expr("bucket div 86400"))
+    """Calls by type and quarter of an hour. Batches add to the table, so a call counts however late it comes."""
+    e = events_stream(spark, sf_dir)
+    one = e.select(F.expr("unix_seconds(at) div 900 * 900").alias("bucket"), "event_type", F.lit(1).cast("bigint").alias("n"), c("value").alias("total"))
+    kept = drain(one, shared_folder(spark), ["bucket", "event_type"], part=F.expr("bucket div 86400"), added=("n", "total"))
+    return kept.withColumn("total", F.round("total", 6))
 
 
 def dedup_within_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,9 +238,12 @@ def stream_anchored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(anchored_alerts(events_stream(spark, sf_dir), 6 * 3600, 3), shared_folder(spark))
 
 
-QUERIES = {f.__name__: f for f in (stream_quarter_counts, dedup_within_watermark, stream_anchored_alerts)}
+QUERIES = {f.__name__: f for f in (stream_quarter_counts, stream_percentiles, dedup_within_watermark, stream_anchored_alerts)}
 
 ORACLE_SQL = {
+    "stream_percentiles": """SELECT event_type, day, max(CASE WHEN rn = least(CAST(round(n * 95 / 100.0) AS BIGINT), n - 1) THEN value END) AS perc95, max(CASE WHEN rn = least(CAST(round(n * 99 / 100.0) AS BIGINT), n - 1) THEN value END) AS perc99
+FROM (SELECT event_type, epoch_us(ts) // 86400000000 AS day, value, row_number() OVER w - 1 AS rn, count(*) OVER (PARTITION BY event_type, epoch_us(ts) // 86400000000) AS n FROM events WHERE value <> 0
+  WINDOW w AS (PARTITION BY event_type, epoch_us(ts) // 86400000000 ORDER BY value)) GROUP BY event_type, day""",
     "stream_quarter_counts": "SELECT epoch_us(ts) // 900000000 * 900 AS bucket, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     "dedup_within_watermark": "SELECT DISTINCT event_id, user_id, event_type FROM events",
     "stream_anchored_alerts": f"""WITH RECURSIVE r AS (SELECT user_id, b_us, row_number() OVER (PARTITION BY user_id ORDER BY b_us, call_id) AS rn FROM {CDR}),
