@@ -118,15 +118,6 @@ def jitter_rfc3550(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdr(spark, sf_dir).select("user_id", (F.abs("value") / 16 * F.pow(F.lit(15 / 16), back)).alias("part")).groupBy("user_id").agg(r6(F.sum("part")).alias("jitter"))
 
 
-def seq_gap_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of packets missing between neighbours in a 16-bit sequence, 1 to 9 and 10 for more; a step back of less
-    than half the range is a reordered packet, not a gap."""
-    rows = cdr(spark, sf_dir).withColumn("seq", F.pmod(c("call_id") * 11 - F.when(c("k") % 5 == 0, c("k") % 97).otherwise(0), F.lit(65536)))
-    step = F.pmod(c("seq") - c("previous.seq"), F.lit(65536))
-    gaps = previous(rows, ["sensor_id", "codec", "dst_ip"], ["seq"], tie="call_id").withColumn("step", step).where("step > 1 AND step < 32768")
-    return gaps.groupBy("sensor_id", F.least(c("step") - 1, F.lit(10)).alias("length")).agg(F.count("*").alias("n"))
-
-
 def minute_maxima(calls: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, minute, first, n): the most calls (b_us, e_us) that a key had at once in each minute from its first to its last,
     those without any event included: what was going on when a minute began counts in it. first is its first minute."""
@@ -184,7 +175,7 @@ def response_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdr(spark, sf_dir).where("connect_us IS NOT NULL").groupBy("caller").agg(F.expr("sum(dur_us - connect_us) div count(*)").alias("rrd_avg"))
 
 
-QUERIES = {f.__name__: f for f in (running_concurrency, change_country, state_segments, moving_avg_30, jitter_rfc3550, seq_gap_histogram, concurrency_drop, latest_per_key, response_delay)}
+QUERIES = {f.__name__: f for f in (running_concurrency, change_country, state_segments, moving_avg_30, jitter_rfc3550, concurrency_drop, latest_per_key, response_delay)}
 
 ORACLE_SQL = {
     "running_concurrency": f"SELECT sensor_id, max(n) AS most, count(*) AS events, round(CAST(sum(CASE WHEN d = 1 THEN n END) AS DOUBLE) / count(*) FILTER (WHERE d = 1), 6) AS mean_at_begin FROM {_RUNNING} GROUP BY sensor_id",
@@ -197,8 +188,6 @@ ORACLE_SQL = {
     "jitter_rfc3550": f"""WITH RECURSIVE r AS (SELECT user_id, abs(value) AS v, row_number() OVER (PARTITION BY user_id ORDER BY call_id) AS rn FROM {CDR}),
 j AS (SELECT user_id, rn, v / 16 AS a FROM r WHERE rn = 1 UNION ALL SELECT r.user_id, r.rn, j.a + (r.v - j.a) / 16 FROM j JOIN r ON r.user_id = j.user_id AND r.rn = j.rn + 1)
 SELECT user_id, round(a, 6) AS jitter FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS last FROM j) WHERE last = 1""",
-    "seq_gap_histogram": f"""SELECT sensor_id, least(step - 1, 10) AS length, count(*) AS n FROM (SELECT sensor_id, (((seq - lag(seq) OVER (PARTITION BY sensor_id, codec, dst_ip ORDER BY b_us, call_id)) % 65536) + 65536) % 65536 AS step
-  FROM (SELECT *, (((call_id * 11 - CASE WHEN k % 5 = 0 THEN k % 97 ELSE 0 END) % 65536) + 65536) % 65536 AS seq FROM {CDR})) WHERE step > 1 AND step < 32768 GROUP BY 1, 2""",
     "concurrency_drop": f"""WITH c AS (SELECT e_us - connect_us AS b, e_us AS e FROM {CDR} WHERE connect_us IS NOT NULL),
 x AS (SELECT t, d, sum(d) OVER (ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS n FROM (SELECT b AS t, 1 AS d FROM c UNION ALL SELECT e, -1 FROM c)),
 k AS (SELECT t // 60000000 AS minute, max(n) AS most, arg_max(n, (t, d)) AS at_end FROM x GROUP BY 1),

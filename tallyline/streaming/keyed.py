@@ -1,4 +1,4 @@
-"""State machines as the keyed state of a stream, closed by timers of event time: registrations and requests.
+"""State machines as the keyed state of a stream, closed by timers of event time: registrations, requests, open calls.
 
 A key holds its messages until the watermark has passed them, so that what it says depends neither on their order nor on
 how they fall into batches. What is still open when a source is read up is closed by a clock: one row without a key that
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from tallyline.operators import registration, requests
+from tallyline.operators import open_calls, registration, requests
 from tallyline.operators.intervals import S
 from tallyline.operators.machines import Machine
 from tallyline.session import table
@@ -132,13 +132,13 @@ def drained(stream: DataFrame, folder: str, schema: T.StructType, clock_us: int
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def _run(spark: SparkSession, sf_dir: str, derive, keys: list[str], machine: Machine) -> DataFrame:
+def _run(spark: SparkSession, sf_dir: str, derive, keys: list[str], machine: Machine, tie: str = "call_id") -> DataFrame:
     """A machine as a stream over the folder's files, closed by a clock behind the last message."""
     folder = shared_folder(spark)
     events = table(spark, sf_dir, "events")
     messages = derive(calls(spark.readStream.schema(events.schema).parquet(f"{sf_dir}/[e]vents.parquet")))
     last = derive(calls(events)).agg(F.max("b_us").alias("t")).first()["t"] or 0
-    return drained(machine_stream(messages, keys, machine, folder), folder, messages.schema, last + CLOCK_US)
+    return drained(machine_stream(messages, keys, machine, folder, tie=tie), folder, messages.schema, last + CLOCK_US)
 
 
 def stream_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,9 +151,17 @@ def stream_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.summary(_run(spark, sf_dir, requests.messages, requests.RELATION, requests.Requests()))
 
 
-QUERIES = {f.__name__: f for f in (stream_registrations, stream_requests)}
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of all rules on open calls, as rows of an alert sink: rule, time, and what is known as JSON."""
+    known = open_calls.rules(spark, sf_dir)
+    found = _run(spark, sf_dir, lambda calls_: open_calls.messages(calls_, known), open_calls.KEYS, open_calls.OpenCalls(), "tie")
+    return found.select("rule", "at_us", F.to_json(F.struct("caller", "n")).alias("alert_info"))
+
+
+QUERIES = {f.__name__: f for f in (stream_registrations, stream_requests, stream_alerts)}
 
 ORACLE_SQL = {
     "stream_registrations": registration.walk(f"(SELECT max(t) FROM r) + {CLOCK_US}"),
     "stream_requests": requests.WALK,
+    "stream_alerts": f"""SELECT rule, at_us, '{{"caller":"' || caller || '","n":' || n || '}}' AS alert_info FROM ({open_calls.WALK})""",
 }

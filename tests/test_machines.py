@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyline.operators import registration, requests, sequences
+from tallyline.operators import open_calls, registration, requests, rtp, sequences
 from tallyline.operators.intervals import S
 from tallyline.operators.machines import folded
 from tallyline.streaming import keyed
@@ -162,3 +162,53 @@ def test_every_message_is_in_one_segment(found):
     out = registered(*rows)
     assert sum(n for *_, n in out) == len(rows)
     assert all(b - a <= registration.TIMEOUT_S for s, a, b, _ in out)
+
+
+def opened(*messages):
+    """(second, call, connects, least, hours) of one key -> (second, calls open)."""
+    return [(t // S, n) for t, n in walk(open_calls.OpenCalls(), [(t * S, i, *m) for i, (t, *m) in enumerate(messages)], 10**9 * S)]
+
+
+def test_alerts_on_open_calls():
+    assert opened((0, 1, True, 2, 0), (1, 2, True, 2, 0), (2, 1, False, 2, 0), (3, 3, True, 2, 0)) == [(1, 2), (3, 2)]
+    assert opened((0, 1, True, 1, 0), (1, 2, True, 1, 0), (2, 3, True, 1, 0)) == [(0, 1), (2, 3)]  # not within a second
+    assert opened((0, 1, True, 1, 1), (3600, 2, True, 1, 1), (3601, 3, True, 1, 1)) == [(0, 1), (3601, 2)]  # once an hour
+    forgotten = open_calls.PURGE_S
+    assert opened((0, 1, True, 2, 0), (forgotten, 2, True, 2, 0)) == [(forgotten, 2)]
+    assert opened((0, 1, True, 2, 0), (forgotten + 1, 2, True, 2, 0)) == []
+
+
+def test_a_stream_of_alerts_equals_the_table(spark, tmp_path):
+    random = np.random.default_rng(9)
+    schema = "rule string, caller string, b_us long, tie long, call_id long, connects boolean, least long, hours long"
+    rows = []
+    for i in range(120):
+        t = (1000 + int(random.integers(0, 3000))) * S
+        key = ("r", f"u{random.integers(3)}")
+        rows.append((*key, t, 2 * i + 1, i, True, 2, 0))
+        if i % 3:
+            rows.append((*key, t + int(random.integers(1, 400)) * S, 2 * i, i, False, 2, 0))
+    want = sorted(map(tuple, folded(spark.createDataFrame(rows, schema), open_calls.KEYS, "b_us", "tie", open_calls.OpenCalls(), 1 << 60).collect()))
+    assert len(want) > 20
+    source = in_files(spark, rows, schema, f"{tmp_path}/in", 3, True)
+    job = keyed.machine_stream(source, open_calls.KEYS, open_calls.OpenCalls(), f"{tmp_path}/out", "10 days", tie="tie")
+    got = keyed.drained(job, f"{tmp_path}/out", source.schema, 10**9 * S)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def streamed(*numbers, step_ms=20):
+    """Sequence numbers -> (packets, lost, reordered, runs by length)."""
+    (n, lost, reordered, runs), = walk(rtp.Sequences(), [(k * step_ms * 1000, k, s % rtp.MODULUS) for k, s in enumerate(numbers)], 1 << 60)
+    return n, lost, reordered, {k + 1: v for k, v in enumerate(runs) if v}
+
+
+def test_sequence_numbers():
+    # the third packet is the second that follows another; it counts as one before the base, which is two early ones
+    assert streamed(*range(10)) == (8, 0, 2, {})
+    assert streamed(*range(65530, 65546)) == (14, 0, 2, {})  # over the end of the range
+    assert streamed(0, 1, 2, 3, 6, 7, 8) == (5, 2, 2, {2: 1})
+    assert streamed(0, 5, 9, 20)[0] == 0  # never two that follow each other
+    assert streamed(0, 1, 2, 4, 3, 5) == (4, 0, 3, {1: 1})  # one came late
+    assert streamed(0, 1, 2, 10_000, 10_001, 10_002, step_ms=5000)[:2] == (3, 0)  # a restart once the next packet follows it
+    assert streamed(0, 1, 2, 2500, 2501)[3] == {}  # too many to be lost within a second
+    assert streamed(0, 1, 2, 2500, 2501, step_ms=5000)[3] == {10: 1}
