@@ -11,7 +11,7 @@ import time
 HEADLINE = [
     "cdr_stat", "cdr_problems", "cdr_summary", "minute_expand", "chart_minute", "concurrency_min_max_avg", "perc95_nearest_rank", "category_area", "filter_number_list", "longest_prefix_match",
     "range_join_geoip", "best_weight_match", "left_join_children", "dedup_prefer_rtp", "running_concurrency", "state_segments", "moving_avg_30", "jitter_rfc3550", "fraud_packet_window", "fraud_concurrent_calls",
-    "rate_call", "rate_call_peak", "billing_rollup", "rtp_stat_10s", "traffic_in_out", "rrd_rollup", "mos_g711",
+    "rate_call", "rate_call_peak", "billing_rollup", "rtp_stat_10s", "traffic_in_out", "rrd_rollup", "mos_g711", "chart_seconds",
 ]
 
 

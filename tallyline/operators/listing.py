@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyline.functions import semantics as X
@@ -26,11 +27,17 @@ def chart_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chart_value_combination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The combined value encoding of a series: most, least, sum, count, and the value histogram, as a struct in JSON."""
+    """The combined value encoding of a series: most, least, sum, count, percentiles (p5 of 95 and p9 of 99 percent, from
+    the best value down), and the value histogram, as a struct in JSON."""
     rows = cdr(spark, sf_dir).where("mos_x10 <> 0").withColumn("bucket", F.expr("b_us div 86400000000 * 86400"))
     v = rows.groupBy("bucket", "mos_x10").agg(F.count("*").alias("n"))
     entry = F.concat(F.lit('"'), c("mos_x10").cast("string"), F.lit('":'), c("n").cast("string"))
+    w = W.partitionBy("bucket")  # at most one row for each value of the scale
+    v = v.withColumn("_to", F.sum("n").over(w.orderBy(F.desc("mos_x10")).rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("n").over(w))
+    at = lambda p: F.least(F.round(c("_all") * p / 100.0).cast("bigint"), c("_all") - 1)
+    rank = lambda p: F.max(F.when((c("_to") > at(p)) & (c("_to") - c("n") <= at(p)), c("mos_x10")))
     return v.groupBy("bucket").agg(
+        rank(95).alias("p5"), rank(99).alias("p9"),
         F.max("mos_x10").alias("m"), F.min("mos_x10").alias("i"), F.sum(c("mos_x10") * c("n")).alias("s"), F.sum("n").alias("c"), F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("}")).alias("vm")
     )
 
@@ -112,8 +119,10 @@ ORACLE_SQL = {
     "chart_json": f"""WITH a AS (SELECT bucket, '{{' || string_agg('"' || key || '":' || n, ',' ORDER BY '"' || key || '":' || n) || '}}' AS area FROM (SELECT bucket, CAST(lsr AS VARCHAR) AS key, count(*) AS n FROM {QUARTERS} WHERE first GROUP BY 1, 2) GROUP BY bucket),
 o AS (SELECT bucket, '{{' || string_agg('"' || key || '":' || n, ',' ORDER BY '"' || key || '":' || n) || '}}' AS ordinals FROM (SELECT bucket, CAST(ordinal AS VARCHAR) AS key, count(*) AS n FROM {QUARTERS} GROUP BY 1, 2) GROUP BY bucket)
 SELECT o.bucket, o.ordinals, a.area FROM o LEFT JOIN a ON o.bucket = a.bucket""",
-    "chart_value_combination": f"""SELECT bucket, max(mos_x10) AS m, min(mos_x10) AS i, sum(mos_x10 * n) AS s, sum(n) AS c, '{{' || string_agg('"' || mos_x10 || '":' || n, ',' ORDER BY '"' || mos_x10 || '":' || n) || '}}' AS vm
-FROM (SELECT b_us // 86400000000 * 86400 AS bucket, mos_x10, count(*) AS n FROM {CDR} WHERE mos_x10 <> 0 GROUP BY 1, 2) GROUP BY bucket""",
+    "chart_value_combination": f"""WITH r AS (SELECT bucket, mos_x10, row_number() OVER (PARTITION BY bucket ORDER BY mos_x10 DESC) - 1 AS rn, count(*) OVER (PARTITION BY bucket) AS c FROM (SELECT *, b_us // 86400000000 * 86400 AS bucket FROM {CDR}) WHERE mos_x10 <> 0),
+p AS (SELECT bucket, max(CASE WHEN rn = least(CAST(round(c * 95 / 100.0) AS BIGINT), c - 1) THEN mos_x10 END) AS p5, max(CASE WHEN rn = least(CAST(round(c * 99 / 100.0) AS BIGINT), c - 1) THEN mos_x10 END) AS p9 FROM r GROUP BY bucket)
+SELECT bucket, max(mos_x10) AS m, min(mos_x10) AS i, sum(mos_x10 * n) AS s, sum(n) AS c, any_value(p5) AS p5, any_value(p9) AS p9, '{{' || string_agg('"' || mos_x10 || '":' || n, ',' ORDER BY '"' || mos_x10 || '":' || n) || '}}' AS vm
+FROM (SELECT bucket, mos_x10, count(*) AS n FROM r GROUP BY 1, 2) JOIN p USING (bucket) GROUP BY bucket""",
     "histogram_reduced": f"""SELECT event_type, part, round(sum(value * n) / sum(n), 6) AS value, sum(n) AS n FROM (SELECT *, CASE WHEN distinct_values // 50 > 1 THEN (rn - 1) // (distinct_values // 50) ELSE rn - 1 END AS part
   FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS distinct_values FROM (SELECT event_type, value, count(*) AS n FROM {CDR} GROUP BY event_type, value)))
 GROUP BY event_type, part""",

@@ -38,7 +38,7 @@ def sides(rows: DataFrame) -> DataFrame:
 
 
 def none_if_zero(c: Column) -> Column:
-    """Stored ratios of exactly zero are null."""
+    """Stored ratios and minutes of exactly zero are null."""
     return F.nullif(c, F.lit(0.0))
 
 
@@ -52,7 +52,7 @@ def counters(rows: DataFrame, keys: list[str]) -> DataFrame:
         answered.alias("count_connected"),
         *(F.count_if(first & F.col("lsr").cast("string").startswith(str(k))).alias(f"count_lsr_{k}") for k in (3, 4, 5, 6)),
         F.count_if(first & (F.col("a_rtp") | F.col("b_rtp"))).alias("count_exists_rtp"),
-        (F.expr("(coalesce(sum(overlap_us), 0) + 30) div 60") / S).alias("minutes"),  # rounded half up in whole numbers
+        none_if_zero(F.expr("(coalesce(sum(overlap_us), 0) + 30) div 60") / S).alias("minutes"),  # rounded half up in whole numbers
         none_if_zero(r6(F.try_divide(answered, began) * 100)).alias("asr"),
         r6(F.try_divide(seconds, answered) / S).alias("acd"),
         none_if_zero(r6(F.try_divide(F.count_if(first & (connected | lsr_matches(F.col("lsr"), *NER))), began) * 100)).alias("ner"),
@@ -119,7 +119,7 @@ def _product_sql(calls: str, keys: list[str], width: int, values: list[str]) ->
     prices = ", ".join(f"round({seconds} * {rate} / 60000000, 6) AS {name}" for name, rate in PRICES.items())
     return f"""WITH q AS (SELECT *, greatest(0, least(e_us, (bucket + {width}) * 1000000) - greatest(e_us - connect_us, bucket * 1000000)) AS overlap_us FROM {calls}),
 base AS (SELECT {k}, {began} AS count_all, {answered} AS count_connected, {', '.join(f'count(*) FILTER (WHERE first AND lsr // 100 = {c}) AS count_lsr_{c}' for c in (3, 4, 5, 6))},
-  count(*) FILTER (WHERE first AND (a_rtp OR b_rtp)) AS count_exists_rtp, CAST((CAST(coalesce(sum(CASE WHEN connect_us IS NOT NULL THEN overlap_us END), 0) AS BIGINT) + 30) // 60 AS DOUBLE) / 1000000 AS minutes,
+  count(*) FILTER (WHERE first AND (a_rtp OR b_rtp)) AS count_exists_rtp, nullif(CAST((CAST(coalesce(sum(CASE WHEN connect_us IS NOT NULL THEN overlap_us END), 0) AS BIGINT) + 30) // 60 AS DOUBLE) / 1000000, 0) AS minutes,
   nullif(round({answered} * 1.0 / nullif({began}, 0) * 100, 6), 0) AS asr, round({seconds} / nullif({answered}, 0) / 1000000, 6) AS acd,
   nullif(round(count(*) FILTER (WHERE first AND (connect_us IS NOT NULL OR lsr IN (600, 603, 604, 607, 608) OR lsr // 100 IN (2, 3, 4))) * 1.0 / nullif({began}, 0) * 100, 6), 0) AS ner,
   nullif(round(count(*) FILTER (WHERE first AND lsr IN (200, 480, 486, 600, 603)) * 1.0 / nullif(count(*) FILTER (WHERE first AND lsr // 100 <> 3), 0) * 100, 6), 0) AS seer, {prices} FROM q GROUP BY {k}),
@@ -155,6 +155,10 @@ def in_nets(ip: Column, nets: list[tuple[int, int]]) -> Column:
     return found
 
 
+#: The score on a side: that of the caller for the source, and of the called one for the destination.
+SIDE_MOS = "CASE side WHEN 'src' THEN mos_x10 ELSE greatest(10, mos_x10 - k % 4) END"
+
+
 def cdr_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problem counters by address, by number and by both, for all calls and for those of each origin."""
     c = cdr(spark, sf_dir).withColumn("bucket", (F.floor(F.col("b_us") / (QUARTER * S)) * QUARTER).cast("bigint"))
@@ -163,7 +167,7 @@ def cdr_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = c.withColumn("problem_type", F.explode(F.filter(kinds, lambda k: k.isNotNull())))
     both = F.array(F.struct(F.lit("src").alias("side"), F.col("src_ip").alias("ip"), F.col("caller").alias("number")), F.struct(F.lit("dst").alias("side"), F.col("dst_ip").alias("ip"), F.col("called").alias("number")))
     c = c.withColumn("_s", F.explode(both)).select("*", "_s.side", "_s.ip", "_s.number").drop("_s")
-    mos, connected = F.col("mos_x10"), F.col("connect_us").isNotNull()
+    mos, connected = F.expr(SIDE_MOS), F.col("connect_us").isNotNull()
     counts = {
         "count_all": F.lit(True),
         "count_connected": connected,
@@ -195,8 +199,8 @@ _KINDS = f"""(SELECT 'all' AS problem_type, c.* FROM {CDR} c UNION ALL SELECT 'o
 CDR_PROBLEMS = f"""WITH s AS (SELECT 'src' AS side, src_ip AS ip, caller AS number, b_us // 900000000 * 900 AS bucket, * FROM {_KINDS} UNION ALL SELECT 'dst', dst_ip, called, b_us // 900000000 * 900, * FROM {_KINDS}),
 g AS (SELECT 'ip' AS grouped_by, ip AS g_ip, NULL AS g_number, * FROM s UNION ALL SELECT 'number', NULL, number, * FROM s UNION ALL SELECT 'comb', ip, number, * FROM s)
 SELECT sensor_id, problem_type, side, bucket, g_ip AS ip, g_number AS number, grouped_by, count(*) AS count_all, count(connect_us) AS count_connected,
-  count(*) FILTER (WHERE mos_x10 > 0 AND mos_x10 < 31) AS count_mos_lt_31, count(*) FILTER (WHERE mos_x10 >= 31 AND mos_x10 < 36) AS count_mos_lt_36,
-  count(*) FILTER (WHERE mos_x10 >= 36 AND mos_x10 < 40) AS count_mos_lt_40, count(*) FILTER (WHERE bye = 1) AS count_interrupted,
+  count(*) FILTER (WHERE {SIDE_MOS} > 0 AND {SIDE_MOS} < 31) AS count_mos_lt_31, count(*) FILTER (WHERE {SIDE_MOS} >= 31 AND {SIDE_MOS} < 36) AS count_mos_lt_36,
+  count(*) FILTER (WHERE {SIDE_MOS} >= 36 AND {SIDE_MOS} < 40) AS count_mos_lt_40, count(*) FILTER (WHERE bye = 1) AS count_interrupted,
   count(*) FILTER (WHERE connect_us IS NOT NULL AND a_rtp <> b_rtp) AS count_one_way, count(*) FILTER (WHERE connect_us IS NOT NULL AND NOT a_rtp AND NOT b_rtp) AS count_missing_rtp,
   {', '.join(f'count(*) FILTER (WHERE (k & {bit}) <> 0) AS count_{name}' for name, bit in FLAGS.items())},
   {', '.join(f'count(*) FILTER (WHERE bye = {b}) AS count_bye_{b}' for b in BYE_CODES)}
