@@ -56,14 +56,28 @@ def range_join_geoip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best
 
 
-NUMBER_RANGES = [("420000000", "420000049", 1), ("420000050", "420000099", 2), ("420000120", "420000129", 3)]
+def text_range_join(points: DataFrame, value: str, ranges: DataFrame, low: str, high: str) -> DataFrame:
+    """Points joined with every range that holds them, compared as text, ends included.
+
+    All texts of a range begin with what its ends have in common. That beginning is the key; a point gives one for each
+    length that occurs. So ranges and points may both be many, and a range meets only points of its own beginning.
+    """
+    same = lambda n: F.substring(c(low), F.lit(1), n) == F.substring(c(high), F.lit(1), n)
+    size = F.size(F.filter(F.sequence(F.lit(0), F.least(F.length(low), F.length(high))), same)) - 1
+    keyed = ranges.where(c(low) <= c(high)).withColumn("_size", size).withColumn("_begin", F.substring(c(low), F.lit(1), c("_size")))
+    sizes = sorted(r["_size"] for r in keyed.select("_size").distinct().collect())  # no more than the longest number has digits
+    each = points.withColumn("_size", F.explode(F.array(*map(F.lit, sizes))) if sizes else F.lit(-1))
+    each = each.withColumn("_begin", F.substring(c(value), F.lit(1), c("_size")))
+    return each.join(keyed, ["_size", "_begin"]).where(c(value).between(c(low), c(high))).drop("_size", "_begin")
 
 
 def number_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers by ranges of numbers, compared as text."""
+    """Customers by ranges of numbers, compared as text: every seventh one has ten numbers, some share some."""
     calls = cdr(spark, sf_dir).groupBy("caller").agg(F.count("*").alias("n"))
-    r = small(spark, NUMBER_RANGES, "number_from string, number_to string, customer_id int")
-    return calls.join(r, (c("caller") >= c("number_from")) & (c("caller") <= c("number_to"))).select("caller", "n", "customer_id")
+    number = lambda x: F.concat(F.lit("420"), F.lpad(x.cast("string"), 6, "0"))
+    k = c("c_custkey")
+    r = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(number(k).alias("number_from"), number(k + 9).alias("number_to"), k.alias("customer_id"))
+    return text_range_join(calls, "caller", r, "number_from", "number_to").select("caller", "n", "customer_id")
 
 
 def best_assignments(calls: DataFrame, rules: DataFrame, longest: int = 16) -> DataFrame:
@@ -251,7 +265,8 @@ ORACLE_SQL = {
     "longest_prefix_match": f"SELECT call_id, number, prefix, country FROM {_COUNTRY}",
     "range_join_geoip": f"""SELECT src_ip, n, country FROM (SELECT src_ip, n, country, row_number() OVER (PARTITION BY src_ip ORDER BY ip_from DESC) AS rn FROM (SELECT src_ip, count(*) AS n FROM {CDR} GROUP BY src_ip)
   JOIN {values(GEO_RANGES, 'g(ip_from, ip_to, country)')} ON src_ip BETWEEN ip_from AND ip_to) WHERE rn = 1""",
-    "number_range_join": f"SELECT caller, n, customer_id FROM (SELECT caller, count(*) AS n FROM {CDR} GROUP BY caller) JOIN {values(NUMBER_RANGES, 'r(number_from, number_to, customer_id)')} ON caller >= number_from AND caller <= number_to",
+    "number_range_join": f"""SELECT caller, n, c_custkey AS customer_id FROM (SELECT caller, count(*) AS n FROM {CDR} GROUP BY caller) JOIN customer ON c_custkey % 7 = 0
+  AND caller BETWEEN '420' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AND '420' || lpad(CAST(c_custkey + 9 AS VARCHAR), 6, '0')""",
     "best_weight_match": _weights_sql(),
     "number_pattern_rank": _patterns_sql(),
     "left_join_children": f"""SELECT o_orderkey AS cdr_id, 1 AS idx, o_orderpriority, saddr, received, lost FROM orders LEFT JOIN (SELECT * FROM {CDR_RTP} WHERE received > 2000) r ON o_orderkey = r.cdr_id AND r.idx = 1""",

@@ -69,3 +69,27 @@ def test_what_goes_on_counts_in_later_minutes(spark):
     got = sequences.minute_maxima(rows, []).orderBy("minute").select("minute", "n").collect()
     assert [tuple(r) for r in got] == [(0, 2), (1, 1), (2, 1), (3, 1)]
     assert sequences.minute_maxima(rows.where(F.lit(False)), []).count() == 0
+
+
+def test_text_ranges_equal_a_search(spark):
+    from tallyline.operators.lookups import text_range_join
+
+    random = np.random.default_rng(6)
+    number = lambda: "".join(random.choice(list("0123"), int(random.integers(1, 6))))
+    ranges = [tuple(sorted((number(), number()))) for _ in range(60)] + [("12", "12"), ("0", "3333"), ("3", "1")]
+    points = sorted({number() for _ in range(120)})
+    got = text_range_join(spark.createDataFrame([(p,) for p in points], "v string"), "v", spark.createDataFrame(ranges, "a string, b string"), "a", "b").collect()
+    assert sorted(map(tuple, got)) == sorted((p, a, b) for p in points for a, b in ranges if a <= p <= b)
+    none = spark.createDataFrame([], "a string, b string")
+    assert text_range_join(spark.createDataFrame([("1",)], "v string"), "v", none, "a", "b").count() == 0
+
+
+def test_a_row_of_the_table_is_a_series(spark):
+    from tallyline.operators.defined import matched
+
+    sums = spark.createDataFrame([(s, k, r, n, 1) for s in range(2) for k in (0, 8) for r in (2, 4) for n in (0, 1)], "sensor_id long, codec long, response long, connected int, n long")
+    rows = [("all", None, None, None, None), ("one", 1, None, 4, None), ("each", 1, 8, 2, 1), ("none", 7, None, None, None)]
+    series = spark.createDataFrame(rows, "series string, sensor_id long, codec long, response long, connected long")
+    got = {r["series"]: r["n"] for r in matched(sums, series).groupBy("series").agg(F.sum("n").alias("n")).collect()}
+    assert got == {"all": 16, "one": 4, "each": 1}
+    assert matched(sums, series.limit(0)).count() == 0
