@@ -208,3 +208,55 @@ def test_unknown_is_calibrated_and_templates_confirm(licence_scanner):
     noise = [" ".join(rng.choice(["the", "of", "software", "license", "free", "terms", "copy", "public", "cat", "house"], 12)) for _ in range(200)]
     assert np.mean([licence_scanner.predict(licenses.words_of(t))[0] == "unknown" for t in noise]) >= 0.9
     assert all(licence_scanner.scan(t) == [] for t in noise)
+
+
+def test_quality_scores_by_brute_force(spark, sf, plain):
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels, F.lit(True))
+    got = {r["doc_id"]: r["s"] for r in docs.select("doc_id", quality.score(model, F.col("text"), spark).alias("s")).collect()}
+    size = lambda piece, raw: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_checksum=False, write_dict_id=False).compress(piece))
+    for doc_id, text in plain[:25] + sorted(plain, key=lambda d: len(d[1] or ""))[-2:]:
+        raw = (text or "").encode()
+        bad, good = (sum(size(raw[i : i + 1024], d) for i in range(0, len(raw), 1024)) for d in model["dictionaries"])
+        x = (bad - good + 64 * model["usual"]) / (len(raw) + 64)
+        assert abs(got[doc_id] - 1 / (1 + math.exp(-(model["a"] * x + model["b"])))) < 1e-9
+
+
+def objective(w, bias, own, y, swapped, penalty):
+    """What the toxicity classifier makes small: weighted log loss, squared weights, squared changes of swapped texts."""
+    score = lambda x: sum(w[i] for i in x) + bias
+    loss = 0.0
+    for x, k in zip(own, y, strict=True):
+        loss += 0.5 / max(1, sum(v == k for v in y)) * math.log1p(math.exp(-score(x) if k else score(x)))
+    loss += 0.5 * toxicity.RIDGE * float(np.dot(w, w))
+    return loss + penalty / len(swapped) * sum((score(x) - score(own[i])) ** 2 for i, x in swapped)
+
+
+def test_toxicity_weights_are_where_the_objective_is_least():
+    random = np.random.default_rng(1)
+    own = [sorted(set(random.integers(0, 8, 4).tolist())) for _ in range(30)]
+    y = np.array([int(0 in x or random.random() < 0.2) for x in own])
+    swapped = [(i, sorted({(f + 1) % 8 if f < 2 else f for f in own[i]})) for i in range(12)]
+    w, bias = toxicity.train(own, y, swapped, 8, penalty=0.5, rounds=20_000)
+    least = objective(w, bias, own, y, swapped, 0.5)
+    for k in range(9):
+        step = np.eye(9)[k] * 1e-4
+        up, down = (objective(w + s * step[:8], bias + s * step[8], own, y, swapped, 0.5) for s in (1, -1))
+        assert abs(up - down) / 2e-4 < 1e-4 and min(up, down) >= least - 1e-12
+    free, _ = toxicity.train(own, y, swapped, 8, penalty=0.0, rounds=20_000)
+    change = lambda w: sum((w[list(x)].sum() - w[own[i]].sum()) ** 2 for i, x in swapped)
+    assert change(w) < change(free)
+
+
+def test_toxicity_scores_by_brute_force(spark, sf, plain):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, F.lit(True))
+    got = {r["doc_id"]: r["s"] for r in docs.select("doc_id", toxicity.score(model, F.col("text"), spark).alias("s")).collect()}
+    for doc_id, text in plain[:60]:
+        found = set()
+        for word in toxicity._words((text or "").lower()):
+            found |= {word, *(word[:n] + "*" for n in toxicity.BEGINNINGS if len(word) > n)}
+        z = sum(model["weights"][model["vocabulary"][f]] for f in found if f in model["vocabulary"]) + model["bias"]
+        assert abs(got[doc_id] - 1 / (1 + math.exp(-(model["a"] * z + model["b"])))) < 1e-9
