@@ -6,14 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Of the E-model for G.711 with concealment the best rating, the part that loss can take away and the
+# robustness to it, and the cubic from a rating r to a score; and the same as SQL for both engines.
+G711_BEST, G711_LOSSY, G711_ROBUST = 93.2062077233, 95.0, 17.2647
+G711_CUBIC = (2.06405, 0.031738, -0.000356641, 2.93143e-6)
+G711_RATING_SQL = f"{G711_BEST}{{d}} - {G711_LOSSY}{{d}} * (loss * 100 / (loss * 100 / burst + {G711_ROBUST}{{d}}))"
+G711_CUBIC_SQL = " + ".join(f"{x}{{d}}" + " * r" * k for k, x in enumerate(G711_CUBIC))
+
+
 def mos_g711(loss: Column, burst: Column) -> Column:
     """Mean opinion score for G.711 with concealment: loss as a share of packets, burst as its burst ratio.
 
     The E-model's rating falls with the effective loss and a cubic maps it to 1 to 4.5.
     """
     p = loss * 100
-    r = F.lit(93.2062077233) - F.lit(95.0) * (p / (p / burst + 17.2647))
-    cubic = F.lit(2.06405) + F.lit(0.031738) * r - F.lit(0.000356641) * r * r + F.lit(2.93143e-6) * r * r * r
+    r = F.lit(G711_BEST) - F.lit(G711_LOSSY) * (p / (p / burst + G711_ROBUST))
+    a, b, c, d = map(F.lit, G711_CUBIC)
+    cubic = a + b * r + c * r * r + d * r * r * r
     return F.when((loss == 0) | (burst == 0), 4.5).when(loss > 0.5, 1.0).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(4.5), cubic)))
 
 

@@ -173,8 +173,8 @@ FROM (SELECT sensor_id, b_us // 86400000000 AS day, CAST(coalesce(sum(connect_us
   count(*) FILTER (WHERE lsr // 100 <> 3) AS not_3 FROM {CDR} GROUP BY 1, 2)""",
     "mos_by_codec": f"""SELECT cdr_id, idx, codec, round(CASE WHEN brief THEN CASE WHEN codec = 18 THEN 3.92 ELSE 4.5 END
   WHEN codec = 18 THEN CASE WHEN e <= 0 THEN 1.0 ELSE least(4.5, 1.0 + 0.035 * e + e * (e - 60) * (100.0 - e) * 7e-6) END
-  WHEN loss = 0 OR burst = 0 THEN 4.5 WHEN loss > 0.5 THEN 1.0 ELSE greatest(1.0, least(4.5, 2.06405 + 0.031738 * r - 0.000356641 * r * r + 2.93143e-6 * r * r * r)) END, 6) AS mos
-FROM (SELECT *, CASE WHEN burst <> 0 THEN 93.2062077233 - 95.0 * (loss * 100 / (loss * 100 / burst + 17.2647)) END AS r, 93.2 - (11.0 + 84.0 * (loss * 100) / (loss * 100 / greatest(burst, 1.0) + 19.0)) AS e
+  WHEN loss = 0 OR burst = 0 THEN 4.5 WHEN loss > 0.5 THEN 1.0 ELSE greatest(1.0, least(4.5, {voice.G711_CUBIC_SQL.format(d='')})) END, 6) AS mos
+FROM (SELECT *, CASE WHEN burst <> 0 THEN {voice.G711_RATING_SQL.format(d='')} END AS r, 93.2 - (11.0 + 84.0 * (loss * 100) / (loss * 100 / greatest(burst, 1.0) + 19.0)) AS e
   FROM (SELECT *, CAST(lost AS DOUBLE) / (received + lost) AS loss, jitter_x10 / 20.0 AS burst, cdr_id % 2 = 0 AND received < 100 AS brief, CASE ssrc % 3 WHEN 0 THEN 0 WHEN 1 THEN 8 ELSE 18 END AS codec FROM {CDR_RTP} WHERE received + lost > 0))""",
     "alerts_by_period": f"""SELECT alert, sensor_id, at_hour AS at, n, period_limit FROM (SELECT sensor_id, b_us // 3600000000 AS at_hour, count(*) AS n FROM {CDR} GROUP BY 1, 2), {values(PERIODS, 'p(alert, h1, h2, period_limit)')}
 WHERE n >= period_limit AND CASE WHEN h1 <= h2 THEN at_hour % 24 BETWEEN h1 AND h2 ELSE at_hour % 24 >= h1 OR at_hour % 24 <= h2 END""",

@@ -116,8 +116,8 @@ _LOSS = f"(SELECT *, CAST(lost AS DOUBLE) / (received + lost) AS loss, jitter_x1
 _HIST = "".join(f", lost % {i + 2} AS h{i}" for i in range(5))
 
 ORACLE_SQL = {
-    "mos_g711": f"""SELECT cdr_id, idx, round(CASE WHEN loss = 0 OR burst = 0 THEN 4.5 WHEN loss > 0.5 THEN 1.0 ELSE greatest(1.0, least(4.5, 2.06405 + 0.031738 * r - 0.000356641 * r * r + 2.93143e-6 * r * r * r)) END, 6) AS mos
-FROM (SELECT *, CASE WHEN burst <> 0 THEN 93.2062077233 - 95.0 * (loss * 100 / (loss * 100 / burst + 17.2647)) END AS r FROM {_LOSS})""",
+    "mos_g711": f"""SELECT cdr_id, idx, round(CASE WHEN loss = 0 OR burst = 0 THEN 4.5 WHEN loss > 0.5 THEN 1.0 ELSE greatest(1.0, least(4.5, {voice.G711_CUBIC_SQL.format(d='')})) END, 6) AS mos
+FROM (SELECT *, CASE WHEN burst <> 0 THEN {voice.G711_RATING_SQL.format(d='')} END AS r FROM {_LOSS})""",
     "mos_e_model": f"""SELECT cdr_id, idx, round(CASE WHEN r <= 0 THEN 1.0 ELSE least(4.5, 1.0 + 0.035 * r + r * (r - 60) * (100.0 - r) * 7e-6) END, 6) AS mos
 FROM (SELECT *, 93.2 - (11.0 + 84.0 * (loss * 100) / (loss * 100 / greatest(burst, 1.0) + 19.0)) AS r FROM {_LOSS})""",
     "packet_loss_pct": f"SELECT cdr_id, idx, round(CAST(lost AS DOUBLE) / (received + 2 + lost) * 100, 6) AS loss_pct FROM {CDR_RTP}",
