@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.operators.intervals import QUARTERS, S, quarters, r6
+from tallyline.operators.intervals import QUARTER, QUARTERS, S, quarters, r6
 from tallyline.session import table
 from tallyline.sources.calls import cdr
 
 c = F.col
 FIELDS = ["sensor_id", "codec", "response", "connected"]
+#: Parts that the buckets of a profile are dealt to when series meet their values.
+BLOCKS = 16
 
 
 def _key(chosen: Column) -> Column:
@@ -32,14 +34,30 @@ def matched(sums: DataFrame, series: DataFrame) -> DataFrame:
     return each.withColumn("_key", _key(c("_mask"))).join(named, ["_mask", "_key"]).drop("_mask", "_key", *FIELDS)
 
 
+def profiles(series: DataFrame) -> DataFrame:
+    """(series, profile, measure, takes) for each series and measure: takes are its definitions and how often each is listed,
+    profile the same as text, with the measure. Series that are defined alike have one profile, whatever their number."""
+    one = series.groupBy("series", "measure", *FIELDS).agg(F.count("*").alias("times"))
+    listed = one.groupBy("series", "measure").agg(F.array_sort(F.collect_list(F.struct(*FIELDS, "times"))).alias("takes"))  # bounded by the values of FIELDS
+    return listed.select("series", F.to_json(F.struct("measure", "takes")).alias("profile"), "measure", "takes")
+
+
 def measured(calls: DataFrame, series: DataFrame) -> DataFrame:
     """(series, bucket, value) of calls by quarter of an hour, as each series measures them: calls that touch the quarter,
-    that begin in it, or the mean seconds of those that begin."""
+    that begin in it, or the mean seconds of those that begin.
+
+    Values are made once for each profile, so sums do not multiply with series; names meet them at the end. Buckets are
+    dealt to BLOCKS, so that a profile of many series is not one task.
+    """
     fields = calls.withColumn("response", F.expr("lsr div 100")).withColumn("connected", c("connect_us").isNotNull().cast("int"))
     q = quarters(fields).groupBy(*FIELDS, "bucket").agg(F.count("*").alias("touching"), F.count_if("first").alias("began"), F.sum(F.when(c("first"), c("dur_us"))).alias("us"))
-    total = matched(q, series).groupBy("series", "measure", "bucket").agg(*(F.sum(k).alias(k) for k in ("touching", "began", "us")))
+    named = profiles(series)
+    distinct = named.dropDuplicates(["profile"]).select("profile", "measure", F.explode("takes").alias("x")).select("profile", "measure", "x.*")
+    total = matched(q, distinct).groupBy("profile", "measure", "bucket").agg(*(F.sum(c(k) * c("times")).alias(k) for k in ("touching", "began", "us")))
     value = F.when(c("measure") == "touching", c("touching").cast("double")).when(c("measure") == "began", c("began").cast("double")).otherwise(r6(F.try_divide(c("us"), c("began")) / S))
-    return total.select("series", "bucket", value.alias("value")).where("value IS NOT NULL")
+    values = total.select("profile", "bucket", value.alias("value"), F.expr(f"pmod(bucket div {QUARTER}, {BLOCKS})").cast("int").alias("_block")).where("value IS NOT NULL")
+    names = named.select("series", "profile", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("_block"))
+    return values.join(names, ["profile", "_block"]).select("series", "bucket", "value")
 
 
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,18 @@ def test_a_row_of_the_table_is_a_series(spark):
     got = {r["series"]: r["n"] for r in matched(sums, series).groupBy("series").agg(F.sum("n").alias("n")).collect()}
     assert got == {"all": 16, "one": 4, "each": 1}
     assert matched(sums, series.limit(0)).count() == 0
+
+
+def test_series_that_are_defined_alike_are_measured_once(spark):
+    from tallyline.operators.defined import measured, profiles
+    from tallyline.operators.intervals import S
+
+    calls = spark.createDataFrame([(k % 2, 0, 200, 900 * S * (k % 3) + k, 900 * S * (k % 3) + 10 * S, 10 * S, 8 * S) for k in range(12)], "sensor_id long, codec long, lsr int, b_us long, e_us long, dur_us long, connect_us long")
+    alike = [(f"s{k}", "began", k % 2, None, None, None) for k in range(40)]
+    rows = [*alike, ("twice", "touching", 0, None, None, None), ("twice", "touching", 0, None, None, None), ("two", "began", 0, None, None, None), ("two", "began", 1, None, None, None), (None, None, None, 0, 2, 1)]
+    series = spark.createDataFrame(rows, "series string, measure string, sensor_id long, codec long, response long, connected long")
+    assert profiles(series).select("profile").distinct().count() == 5  # and not 43: sums meet profiles only
+    got = {}
+    for r in measured(calls, series).collect():
+        got.setdefault(r["series"], []).append(r["value"])
+    assert got == {**{f"s{k}": [2.0] * 3 for k in range(40)}, "twice": [4.0] * 3, "two": [4.0] * 3, None: [10.0] * 3}
