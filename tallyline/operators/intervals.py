@@ -74,6 +74,25 @@ def chart_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rows that a task should get, so that what it holds does not grow with the table; and rows of a key that are combined
+#: before they meet in one task.
+TASK_ROWS, HOT_ROWS = 20_000, 1_000_000
+
+
+def dealt(rows: DataFrame, keys: list[str], bound: str) -> tuple[DataFrame, bool]:
+    """rows dealt by keys to as many tasks as their number asks for, so that grouping by the keys needs no further exchange;
+    and whether they were dealt.
+
+    Where keys are almost one a row, hash tables before an exchange combine nothing and hold whatever a task reads. `bound`
+    is one of the keys, of few values: no key has more rows than it. If one might have over HOT_ROWS, rows stay where they
+    are, and aggregates combine them there.
+    """
+    sizes = rows.groupBy(bound).count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
+    if (sizes["most"] or 0) > HOT_ROWS:
+        return rows, False
+    return rows.repartition(max(1, -(-(sizes["n"] or 0) // TASK_ROWS)), *keys), True
+
+
 def overlap(calls: DataFrame, width: int = QUARTER) -> DataFrame:
     """Adds overlap_us: the connected part of a call, which ends when the call ends, inside the row's bucket."""
     begin = F.greatest(F.col("e_us") - F.col("connect_us"), F.col("bucket") * S)

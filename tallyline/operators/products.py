@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyline.operators.intervals import END_SECOND, NER, QUARTER, QUARTERS, S, SEER, end_second, expand, expanded_sql, lsr_matches, overlap, quarters, r6
+from tallyline.operators.intervals import END_SECOND, NER, QUARTER, QUARTERS, S, SEER, dealt, end_second, expand, expanded_sql, lsr_matches, overlap, quarters, r6
 from tallyline.sources.calls import CDR, cdr
 
 KEYS = ["side", "sensor_id", "ip", "bucket"]
@@ -61,12 +61,13 @@ def counters(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def distributions(rows: DataFrame, keys: list[str], width: int, values: list[str]) -> DataFrame:
+def distributions(rows: DataFrame, keys: list[str], width: int, values: list[str], by_keys: bool = False) -> DataFrame:
     """Occupancy, begins per second, and mean and nearest-rank percentiles of measures, all from one counted table.
 
     A call gives (kind, x, n): +1 and -1 at the seconds where it enters and leaves the bucket, its second of begin, and
     its measures other than zero. They are counted by x first, so what is then ordered inside a bucket are its seconds
-    and distinct values, however many calls it has. One exchange by the keys serves the windows and the last aggregate.
+    and distinct values, however many calls it has. One exchange by the keys serves the windows and the last aggregate; rows
+    that are dealt `by_keys` already need none of their facts, of which there are many for each call.
     """
     fact = lambda kind, x, n=1: F.struct(F.lit(kind).cast("byte").alias("kind"), x.cast("bigint").alias("x"), F.lit(n).cast("bigint").alias("n"))
     enter = F.greatest(F.floor(F.col("b_us") / S), F.col("bucket"))
@@ -77,7 +78,8 @@ def distributions(rows: DataFrame, keys: list[str], width: int, values: list[str
         own.append(F.when(x != 0, fact(kind, -x if MEASURES[name][2] else x)))  # the worst value comes last
     both = [fact(0, enter), fact(0, leave, -1)]
     facts = rows.select(*keys, F.explode(F.when(F.col("first"), F.array(*both, *own)).otherwise(F.array(*both))).alias("f")).where("f IS NOT NULL")
-    counted = facts.groupBy(*keys, "f.kind", "f.x").agg(F.sum("f.n").alias("n")).repartition(*keys)
+    counted = facts.groupBy(*keys, "f.kind", "f.x").agg(F.sum("f.n").alias("n"))
+    counted = counted if by_keys else counted.repartition(*keys)
     whole = W.partitionBy(*keys, "kind")
     to = F.sum("n").over(whole.orderBy("x").rowsBetween(W.unboundedPreceding, 0))
     counted = counted.select("*", to.alias("to"), (F.lead("x").over(whole.orderBy("x")) - F.col("x")).alias("seconds"), F.sum("n").over(whole).alias("total"))
@@ -102,7 +104,8 @@ def distributions(rows: DataFrame, keys: list[str], width: int, values: list[str
 
 def product(rows: DataFrame, keys: list[str], width: int, values: list[str]) -> DataFrame:
     """Counters and distributions of calls by bucket; rows are calls expanded over the buckets that they touch."""
-    return counters(overlap(rows, width), keys).join(distributions(rows, keys, width, values), keys, "left")
+    rows, by_keys = dealt(rows, keys, "bucket")
+    return counters(overlap(rows, width), keys).join(distributions(rows, keys, width, values, by_keys), keys, "left")
 
 
 def _product_sql(calls: str, keys: list[str], width: int, values: list[str]) -> str:

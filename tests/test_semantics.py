@@ -237,3 +237,29 @@ def test_rules_of_domains_and_headers_with_nulls(spark):
     got = {r["call_id"]: r["flags"] for r in series.header_rule(headers, rules).collect()}
     assert got == {1: 3, 2: 1, 3: 2, 4: 4, 5: None, 6: None, 7: 3}
     assert {r["flags"] for r in series.header_rule(headers, rules.limit(0)).collect()} == {None}
+
+
+def test_rows_are_dealt_to_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "TASK_ROWS", 100)
+    monkeypatch.setattr(intervals, "HOT_ROWS", 200)
+    rows = spark.range(1000).selectExpr("id % 7 AS bucket", "id % 50 AS k")
+    got, by_keys = intervals.dealt(rows, ["k", "bucket"], "bucket")
+    assert by_keys and got.rdd.getNumPartitions() == 10 and got.count() == 1000
+    assert got.select("k", "bucket", F.spark_partition_id()).distinct().count() == rows.distinct().count()
+    assert intervals.dealt(rows.limit(0), ["k", "bucket"], "bucket")[0].rdd.getNumPartitions() == 1
+    monkeypatch.setattr(intervals, "HOT_ROWS", 100)  # a key may be hot: combined where it is
+    assert intervals.dealt(rows, ["k", "bucket"], "bucket") == (rows, False)
+
+
+def test_summaries_do_not_exchange_facts(spark, monkeypatch):
+    from tallyline.operators import products
+
+    monkeypatch.setattr(intervals, "TASK_ROWS", 40)
+    plans, found = [], []
+    for hot in (10**6, 0):
+        monkeypatch.setattr(intervals, "HOT_ROWS", hot)
+        df = products.cdr_summary(spark, "/root/testdata/sf0.001")
+        plans.append([line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line])
+        found.append(sorted(map(repr, df.collect())))
+    assert found[0] == found[1] and len(found[0]) > 1000
+    assert len(plans[0]) == 2 < len(plans[1])  # calls for counters and for distributions
