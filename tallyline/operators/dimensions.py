@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions import semantics as X
 from tallyline.functions import voice
-from tallyline.operators.intervals import NER, S, SEER, lsr_matches, nearest_rank, r6
+from tallyline.operators.intervals import NER, S, SEER, dealt, lsr_matches, nearest_rank, r6
 from tallyline.operators.rating import price, rated
 from tallyline.session import table
 from tallyline.sources.calls import BILLING_RULES, CDR, CDR_BILLING, CDR_RTP, cdr, cdr_rtp, small, values
@@ -82,6 +82,7 @@ def stream_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loss and jitter of streams by source and day: mean, most, and the worst 5 and 1 in a hundred by nearest rank."""
     r = cdr_rtp(spark, sf_dir).select("saddr", F.expr("t_us div 86400000000").alias("day"), "jitter_x10", F.expr("lost * 1000 div (received + 2 + lost)").alias("loss_x10"))
     keys = ["saddr", "day"]
+    r, _ = dealt(r, keys, "day")
     base = r.groupBy(*keys).agg(F.count("*").alias("n"), *(f for v in ("loss_x10", "jitter_x10") for f in (r6(F.sum(v) / F.count("*")).alias(f"{v}_avg"), F.max(v).alias(f"{v}_max"))))
     for v in ("loss_x10", "jitter_x10"):
         base = base.join(nearest_rank(r.where(c(v) != 0), keys, v, [95, 99], prefix=f"{v}_perc"), keys, "left")
