@@ -1,6 +1,7 @@
 """Registrations and requests: windows, folds, streams of several batches and SQL agree."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -212,3 +213,85 @@ def test_sequence_numbers():
     assert streamed(0, 1, 2, 10_000, 10_001, 10_002, step_ms=5000)[:2] == (3, 0)  # a restart once the next packet follows it
     assert streamed(0, 1, 2, 2500, 2501)[3] == {}  # too many to be lost within a second
     assert streamed(0, 1, 2, 2500, 2501, step_ms=5000)[3] == {10: 1}
+
+
+class Calls:
+    """A handle of a stateful processor that holds everything here and counts what is asked of it."""
+
+    def __init__(self):
+        self.n, self.timers, self.value, self.list = 0, set(), None, []
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    getListState = getValueState  # noqa: N815
+
+    def __getattribute__(self, name):
+        if name in ("update", "put", "appendList", "registerTimer", "deleteTimer", "listTimers"):
+            self.n += 1
+        return object.__getattribute__(self, name)
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def appendList(self, rows):  # noqa: N802
+        self.list += rows
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def registerTimer(self, t):  # noqa: N802
+        self.timers.add(t)
+
+    def deleteTimer(self, t):  # noqa: N802
+        self.timers.discard(t)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.watermark
+
+
+class Waits(Calls):
+    def get(self):
+        return iter(self.list)
+
+    def clear(self):
+        self.list = []
+
+    def put(self, rows):
+        self.list = rows
+
+
+def test_calls_of_a_state_do_not_grow_with_keys_and_messages(spark):
+    calls = []
+    for keys, n in ((3, 40), (300, 4000)):
+        random, handle, waits = np.random.default_rng(2), Calls(), Waits()
+        rows = [(f"u{random.integers(keys)}", 1, int(random.integers(1, 90_000)) * S, i, KINDS[random.integers(5)], 600) for i in range(n)]
+        names = ["caller", "sensor_id", "t", "tie", "state", "expires_s"]
+        pack = keyed._packs([pa.RecordBatch.from_pylist([{"slot": 5, **dict(zip(names, r, strict=True))} for r in rows[k::4]]) for k in range(4)])
+        assert pack.num_rows == 1  # of all messages of a slot
+        job = keyed.Keyed(registration.Registrations(), registration.KEYS)
+        handle.getListState = lambda *_, waits=waits: waits
+        job.init(handle)
+        got = []
+        handle.watermark = 0
+        got += job.handleInputRows((5,), iter(pack.to_pylist()), handle)
+        for day in (50_000, 10**7):
+            handle.watermark = day * 1000
+            handle.timers = {t for t in handle.timers if t > handle.watermark}
+            got += job.handleExpiredTimer((5,), handle, None)
+            assert got and waits.list == [] or day == 50_000
+        assert handle.value is None and not handle.timers  # nothing is held, so there is no state
+        got += job.handleInputRows((5,), iter(pack.to_pylist()), handle)
+        assert waits.list == []  # they are late
+        want = []
+        for key in {r[0] for r in rows}:
+            want += [(key, 1, *x) for x in walk(registration.Registrations(), [(r[2], r[3], r[4], r[5]) for r in rows if r[0] == key], 1 << 60)]
+        assert sorted(map(tuple, got)) == sorted(want)
+        calls.append(handle.n + waits.n)
+    assert calls[0] == calls[1] < 15
