@@ -263,3 +263,14 @@ def test_summaries_do_not_exchange_facts(spark, monkeypatch):
         found.append(sorted(map(repr, df.collect())))
     assert found[0] == found[1] and len(found[0]) > 1000
     assert len(plans[0]) == 2 < len(plans[1])  # calls for counters and for distributions
+
+
+def test_quality_of_streams_groups_where_rows_are_dealt(spark, monkeypatch):
+    from tallyline.operators import dimensions
+
+    monkeypatch.setattr(intervals, "TASK_ROWS", 500)
+    df = dimensions.stream_quality(spark, "/root/testdata/sf0.001")
+    lines = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert len(lines) == 3 and all("REPARTITION_BY_NUM" in line for line in lines)
+    monkeypatch.setattr(intervals, "HOT_ROWS", 0)
+    assert sorted(map(repr, df.collect())) == sorted(map(repr, dimensions.stream_quality(spark, "/root/testdata/sf0.001").collect()))
